@@ -170,20 +170,30 @@ def _parsed_rating(meta: Column, missing: str) -> tuple[Column, Column]:
     return r, present
 
 
-def fake_score(context, meta, missing: str = "nan", strict_int: bool = True) -> Column:
-    """Heuristic fake score (double; +inf marks an unusable review)."""
+def score_inputs(context, meta, missing: str = "nan", strict_int: bool = True) -> Column:
+    """Parsed score inputs as one struct (computed once, then referenced by the rules)."""
     meta = col_(meta)
-    ctx = F.coalesce(col_(context), F.lit(""))
-    text = py_strip(ctx)
-    n = F.length(text)
-    has_text = n > 0
+    text = py_strip(F.coalesce(col_(context), F.lit("")))
     rating, has_rating = _parsed_rating(meta, missing)
-    valid = rating.isNotNull() & ~F.isnan(rating)
-    is_rec = safe_int(meta["is_recommended"], strict=strict_int)
-    helpful = safe_float(meta["helpfulness"])
     tfc = safe_int(meta["total_feedback_count"])
     neg = safe_int(meta["total_neg_feedback_count"])
-    neg_pct = F.when(tfc.isNotNull(), ratio_or_zero(neg, tfc)).otherwise(F.lit(0.0))
+    return F.struct(
+        F.length(text).alias("n"),
+        rating.alias("rating"),
+        has_rating.alias("has_rating"),
+        safe_int(meta["is_recommended"], strict=strict_int).alias("is_rec"),
+        safe_float(meta["helpfulness"]).alias("helpful"),
+        tfc.alias("tfc"),
+        F.when(tfc.isNotNull(), ratio_or_zero(neg, tfc)).otherwise(F.lit(0.0)).alias("neg_pct"),
+    )
+
+
+def score_from(si: Column) -> Column:
+    """Heuristic fake score (double; +inf marks an unusable review) from ``score_inputs``."""
+    n, rating, has_rating = si["n"], si["rating"], si["has_rating"]
+    is_rec, helpful, tfc, neg_pct = si["is_rec"], si["helpful"], si["tfc"], si["neg_pct"]
+    has_text = n > 0
+    valid = rating.isNotNull() & ~F.isnan(rating)
 
     def pts(cond: Column, p: int = 1) -> Column:
         return F.when(F.coalesce(cond, F.lit(False)), F.lit(p)).otherwise(F.lit(0))
@@ -212,6 +222,20 @@ def fake_score(context, meta, missing: str = "nan", strict_int: bool = True) ->
     )
 
 
+def fake_score(context, meta, missing: str = "nan", strict_int: bool = True) -> Column:
+    """Heuristic fake score. On a DataFrame prefer ``with_fake_score`` (parses once)."""
+    return score_from(score_inputs(context, meta, missing, strict_int))
+
+
+def with_fake_score(df, out_col: str = "fake_score", context: str = "context", meta: str = "meta",
+                    missing: str = "nan", strict_int: bool = True):
+    """Add ``out_col``: the inputs are parsed into one struct column first, so the rule
+    tree stays small enough for whole-stage codegen."""
+    tmp = f"__si_{out_col}"
+    return (df.withColumn(tmp, score_inputs(F.col(context), F.col(meta), missing, strict_int))
+            .withColumn(out_col, score_from(F.col(tmp))).drop(tmp))
+
+
 def final_label(fact: Column, score: Column, context, meta, missing: str = "nan",
                 threshold: float = FAKE_THRESHOLD) -> Column:
     ctx = F.coalesce(col_(context), F.lit(""))

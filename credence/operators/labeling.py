@@ -16,10 +16,10 @@ def score_reviews(df: DataFrame, missing: str = "nan", strict_int: bool = True,
 
     Re-running is a re-label: any earlier ``pseudo_label`` is overwritten."""
     fact = rules.factual_label(F.col("context"), F.col("retrieved"), with_price=with_price)
-    score = rules.fake_score(F.col("context"), F.col("meta"), missing=missing, strict_int=strict_int)
+    scored = rules.with_fake_score(df.withColumn("fact_label", fact), "fake_score", missing=missing,
+                                   strict_int=strict_int)
     return (
-        df.withColumn("fact_label", fact)
-        .withColumn("fake_score", score)
+        scored
         .withColumn("pseudo_label", rules.final_label(F.col("fact_label"), F.col("fake_score"), F.col("context"),
                                                       F.col("meta"), missing=missing, threshold=threshold))
     )

@@ -100,3 +100,40 @@ def write_collection(entries: DataFrame, path: str, mode: str = "append") -> Non
 def open_collection(spark, path: str) -> DataFrame:
     """Open a stored collection; fails when it does not exist."""
     return spark.read.parquet(path)
+
+
+def sort_products(products: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Products by name (missing names last, ties by id) with ``name_rank``.
+
+    A global rank without a single-task window: range-partition on the sort key, count
+    rows per range (one row per partition), offset, then rank inside each range."""
+    from credence.operators.sampling import bucketed_rank
+
+    n = partitions or products.sparkSession.sparkContext.defaultParallelism
+    ranged = products.repartitionByRange(n, F.asc_nulls_last("product_name"), F.asc("product_id"))
+    ranged = ranged.withColumn("__part", F.spark_partition_id())
+    return bucketed_rank(ranged, [], [F.asc_nulls_last("product_name"), F.asc("product_id")], F.col("__part"),
+                         "name_rank").drop("__part")
+
+
+def first_product_per_name(products: DataFrame) -> DataFrame:
+    """One product per name: the first in name-then-file order (a grouped ``min_by``)."""
+    packed = F.struct(*[F.col(c) for c in products.columns if c != "product_name"])
+    return (products.where(F.col("product_name").isNotNull()).groupBy("product_name")
+            .agg(F.min_by(packed, F.col("pos")).alias("__p")).select("product_name", "__p.*"))
+
+
+def request_contexts(reviews: DataFrame, products: DataFrame) -> DataFrame:
+    """Form-style contexts for a table of requests (title, text, product name, recommended
+    flag), filled with the chosen product's rating, brand and highlights."""
+    names = products.select(F.col("product_id").alias("__pid"), F.col("product_name").alias("req_product_name"))
+    req = reviews.join(names, reviews["product_id"] == names["__pid"], "left").select(
+        "review_id", "review_title", "review_text", "req_product_name",
+        (F.col("is_recommended") == F.lit("1")).alias("recommended"))
+    first = first_product_per_name(products).select(
+        F.col("product_name").alias("req_product_name"), F.col("rating").alias("p_rating"),
+        F.col("brand_name").alias("p_brand"), F.col("highlights").alias("p_highlights"))
+    j = req.join(first, "req_product_name", "inner")
+    return j.select("review_id", ctx.request_context(
+        F.col("review_title"), F.col("review_text"), F.col("recommended"), F.col("p_rating"),
+        F.col("req_product_name"), F.col("p_brand"), F.col("p_highlights")).alias("context"))

@@ -319,3 +319,454 @@ ORACLES = {
     "product_document": sql_product_document,
     "label_counts": sql_label_counts,
 }
+
+
+# ---------------------------------------------------------------------------------------
+# Label / sampling / metric bases
+# ---------------------------------------------------------------------------------------
+SEED = 7
+
+QLABELS = """
+qlabels AS (
+  SELECT l.doc_id AS pos, CAST(l.doc_id AS VARCHAR) AS review_id, d.text AS context,
+         CASE WHEN l.quality = 1 THEN 'real' ELSE 'fake' END AS pseudo_label,
+         CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS label,
+         CASE WHEN l.toxic = 0 THEN 1 ELSE 0 END AS prediction
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+)"""
+
+NOISY = """
+noisy AS (
+  SELECT pos, review_id, context, label, prediction,
+         CASE WHEN pos % 9 = 0 THEN NULL WHEN pos % 9 = 1 THEN 'unknown' ELSE pseudo_label END AS pseudo_label,
+         CASE pos % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '0' WHEN 3 THEN '1' ELSE 'real' END AS tag
+  FROM qlabels
+)"""
+
+
+def hkey(col: str, seed: int = SEED) -> str:
+    return f"md5('{seed}:' || CAST({col} AS VARCHAR))"
+
+
+def unit_draw(col: str, salt: str, seed: int = SEED) -> str:
+    return f"(CAST(CAST(('0x' || substr(md5('{seed}:{salt}' || CAST({col} AS VARCHAR)), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0)"
+
+
+def sql_shuffle_rows() -> str:
+    return with_(QLABELS) + f"\nSELECT review_id, row_number() OVER (ORDER BY {hkey('pos')}) AS shuffle_rank FROM qlabels"
+
+
+def sql_sample_exact_n() -> str:
+    return with_(QLABELS) + f"""
+SELECT review_id, pseudo_label, sample_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY pseudo_label ORDER BY {hkey('pos')}) AS sample_rank FROM qlabels)
+WHERE sample_rank <= 50"""
+
+
+def _balanced(ratio: float, split: bool, test_ratio: float = 0.2) -> str:
+    sel = "review_id, pseudo_label, " + ("split" if split else "sample_rank")
+    return with_(QLABELS) + f""",
+cnt AS (SELECT count_if(pseudo_label = 'real') AS r, count_if(pseudo_label = 'fake') AS f FROM qlabels),
+params AS (
+  SELECT r, f, r < f * {ratio} AS short,
+         CASE WHEN r < f * {ratio} THEN least(r, f) ELSE greatest(CAST(floor(f * {ratio}) AS BIGINT), 1) END AS m_real,
+         CASE WHEN r < f * {ratio} THEN least(r, f) ELSE f END AS m_fake
+  FROM cnt),
+ranked AS (
+  SELECT q.*, p.short, p.m_real, p.m_fake,
+         row_number() OVER (PARTITION BY q.pseudo_label ORDER BY {hkey('q.pos')}) AS hrank,
+         row_number() OVER (PARTITION BY q.pseudo_label ORDER BY q.pos) AS prank
+  FROM qlabels q, params p WHERE q.pseudo_label IN ('real', 'fake')),
+picked AS (
+  SELECT *, CASE WHEN pseudo_label = 'real' OR short THEN hrank ELSE prank END AS sample_rank,
+         CASE WHEN pseudo_label = 'real' THEN m_real ELSE m_fake END AS m
+  FROM ranked),
+kept AS (SELECT * FROM picked WHERE sample_rank <= m)
+SELECT {sel} FROM (
+  SELECT *, CASE WHEN sample_rank > m - greatest(CAST(floor(m * {test_ratio}) AS BIGINT), 1)
+                 THEN 'test' ELSE 'train' END AS split FROM kept)"""
+
+
+def sql_balanced_dataset() -> str:
+    return _balanced(1.0, False)
+
+
+def sql_balanced_dataset_short() -> str:
+    return _balanced(10.0, False)
+
+
+def sql_stratified_split() -> str:
+    return _balanced(1.0, True, 0.2)
+
+
+def sql_random_split() -> str:
+    return with_(QLABELS) + f"""
+SELECT review_id, CASE WHEN {unit_draw('pos', 'split:')} < 0.1 THEN 'test' ELSE 'train' END AS split FROM qlabels"""
+
+
+def sql_pick_examples() -> str:
+    return with_(QLABELS) + f"""
+SELECT CAST(pos AS VARCHAR) AS review_id, pseudo_label, context FROM (
+  SELECT *, row_number() OVER (PARTITION BY pseudo_label ORDER BY {hkey('pos')}) AS rk FROM qlabels)
+WHERE (pseudo_label = 'real' AND rk <= 2) OR (pseudo_label = 'fake' AND rk <= 2)"""
+
+
+def sql_filter_by_label() -> str:
+    return with_(QLABELS) + "\nSELECT review_id, pseudo_label FROM qlabels WHERE pseudo_label = 'real'"
+
+
+PER_CLASS = """
+conf AS (SELECT label, prediction, count(*) AS n FROM qlabels GROUP BY label, prediction),
+classes AS (SELECT label AS cls FROM conf UNION SELECT prediction FROM conf),
+pc AS (
+  SELECT c.cls,
+         coalesce((SELECT sum(n) FROM conf WHERE label = c.cls), 0) AS support,
+         coalesce((SELECT sum(n) FROM conf WHERE label = c.cls AND prediction = c.cls), 0) AS tp,
+         coalesce((SELECT sum(n) FROM conf WHERE prediction = c.cls), 0) AS predicted
+  FROM classes c),
+pcm AS (
+  SELECT cls, support, tp, predicted,
+         CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+         CASE WHEN 2 * tp + (predicted - tp) + (support - tp) > 0
+              THEN 2 * tp / (2 * tp + (predicted - tp) + (support - tp)) ELSE 0.0 END AS f1
+  FROM pc)"""
+
+
+def sql_metrics_summary() -> str:
+    return with_(QLABELS, PER_CLASS) + """
+SELECT sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1,
+       sum(support) AS n FROM pcm"""
+
+
+def sql_classification_report() -> str:
+    return with_(QLABELS, PER_CLASS) + """
+SELECT CAST(cls AS VARCHAR) AS class, round(precision, 4) AS precision, round(recall, 4) AS recall,
+       round(f1, 4) AS f1, support FROM pcm
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 4), sum(support) FROM pcm
+UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), sum(support) FROM pcm
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4),
+                 round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
+                 sum(support) FROM pcm"""
+
+
+def sql_running_accuracy() -> str:
+    return with_(QLABELS) + """
+SELECT review_id, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) OVER w / count(*) OVER w AS running_accuracy
+FROM qlabels WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def sql_running_label_counts() -> str:
+    return with_(QLABELS) + """
+SELECT review_id, sum(CASE WHEN pseudo_label = 'fake' THEN 0 ELSE 1 END) OVER w AS real_count,
+       sum(CASE WHEN pseudo_label = 'fake' THEN 1 ELSE 0 END) OVER w AS fake_count, count(*) OVER w AS total_count
+FROM qlabels WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def sql_distinct_labels() -> str:
+    return with_(QLABELS, NOISY) + """
+SELECT count(DISTINCT CASE WHEN pseudo_label = 'fake' THEN 0 ELSE 1 END) AS num_labels
+FROM noisy WHERE pseudo_label IN ('fake', 'real')"""
+
+
+def sql_argmax_array() -> str:
+    return "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax FROM embeddings"
+
+
+def sql_verdict_text() -> str:
+    return with_(QLABELS) + f"""
+SELECT review_id, CASE WHEN prediction = 1 THEN '{rules.VERDICT_USEFUL}' ELSE '{rules.VERDICT_USELESS}' END AS verdict
+FROM qlabels"""
+
+
+def sql_flag_duplicates() -> str:
+    return with_(REVIEWS) + """
+SELECT review_id, pos <> min(pos) OVER (PARTITION BY coalesce(review_text, '')) AS is_duplicate,
+       CASE WHEN pos <> min(pos) OVER (PARTITION BY coalesce(review_text, '')) THEN 'fake' ELSE 'real' END
+         AS pseudo_label
+FROM reviews"""
+
+
+def sql_split_real_fake() -> str:
+    return with_(QLABELS, NOISY) + """
+SELECT review_id, CASE WHEN v IN ('real', '0') THEN 'real' WHEN v IN ('fake', '1') THEN 'fake' END AS side FROM (
+  SELECT review_id,
+         CASE WHEN tag IS NOT NULL AND tag <> '' THEN tag
+              WHEN pseudo_label IS NOT NULL AND pseudo_label <> '' THEN pseudo_label
+              ELSE CAST(label AS VARCHAR) END AS v
+  FROM noisy)"""
+
+
+def sql_encode_labels_strict() -> str:
+    return with_(QLABELS, NOISY) + """
+SELECT review_id, CAST(CASE WHEN pseudo_label = 'fake' THEN 0 ELSE 1 END AS INTEGER) AS label
+FROM noisy WHERE pseudo_label IN ('fake', 'real')"""
+
+
+def sql_encode_labels_lenient() -> str:
+    return with_(QLABELS, NOISY) + """
+SELECT review_id, CAST(CASE WHEN pseudo_label = 'fake' THEN 0 ELSE 1 END AS INTEGER) AS label FROM noisy"""
+
+
+EXPLAIN = f"""
+ex AS (
+  SELECT review_id, context, pseudo_label AS label,
+         CASE WHEN pseudo_label = 'fake' THEN '{rules.REASON_FAKE}' ELSE '{rules.REASON_REAL}' END AS reason
+  FROM noisy WHERE pseudo_label IN ('fake', 'real')),
+ex2 AS (
+  SELECT *, 'The review context: ' || coalesce(context, '') || chr(10) || 'classify:' AS input_text,
+         'label: ' || label || '. reason: ' || reason AS target_text
+  FROM ex)"""
+
+
+def sql_explain_examples() -> str:
+    return with_(QLABELS, NOISY, EXPLAIN) + "\nSELECT review_id, label, reason, input_text, target_text FROM ex2"
+
+
+def _parse_label(x: str) -> str:
+    got = f"regexp_extract(lower(coalesce({x}, '')), '{rules.LABEL_PATTERN}', 1)"
+    return f"CASE WHEN {got} <> '' THEN {got} ELSE '{rules.LABEL_FALLBACK}' END"
+
+
+def sql_parse_label() -> str:
+    return with_(QLABELS, NOISY, EXPLAIN) + f"""
+SELECT review_id, {_parse_label('target_text')} AS from_target, {_parse_label('context')} AS from_context FROM ex2"""
+
+
+def _parse_expl(x: str, prefix: str) -> str:
+    lab = f"regexp_extract(coalesce({x}, ''), '(?i){rules.LABEL_PATTERN}', 1)"
+    # Python's '.' stops only at a newline: RE2 with (?s) off behaves the same.
+    reason = f"regexp_extract(coalesce({x}, ''), '(?i)reason:{PY_WS}*([^\\n]*)', 1)"
+    return (f"CASE WHEN {lab} <> '' THEN upper(substr({lab}, 1, 1)) || lower(substr({lab}, 2)) "
+            f"ELSE '{rules.LABEL_FALLBACK}' END AS {prefix}_label, "
+            f"CASE WHEN {reason} <> '' THEN {reason} ELSE '{rules.REASON_FALLBACK}' END AS {prefix}_reason")
+
+
+def sql_parse_explanation() -> str:
+    return with_(QLABELS, NOISY, EXPLAIN) + f"""
+SELECT review_id, {_parse_expl('target_text', 't')}, {_parse_expl('context', 'c')} FROM ex2"""
+
+
+# ---------------------------------------------------------------------------------------
+# Products and contexts
+# ---------------------------------------------------------------------------------------
+def sql_product_summary() -> str:
+    return with_(PRODUCTS, SUMMARIES) + "\nSELECT product_id, product_summary FROM summaries"
+
+
+def sql_product_metadata() -> str:
+    return with_(PRODUCTS, FILLED, ENTRIES) + """
+SELECT id, id AS product_id, m_product_name AS product_name, m_brand_id AS brand_id, m_brand_name AS brand_name,
+       m_rating AS rating, m_reviews AS reviews, m_size AS size, m_price_usd AS price_usd,
+       m_value_price_usd AS value_price_usd, m_sale_price_usd AS sale_price_usd, m_online_only AS online_only,
+       m_highlights AS highlights FROM entries"""
+
+
+def sql_product_id_default() -> str:
+    return with_(PRODUCTS) + """
+SELECT pos, CASE WHEN pos % 7 <> 0 AND product_id IS NOT NULL AND product_id <> '' THEN product_id
+                 ELSE 'prod_' || CAST(pos AS VARCHAR) END AS id FROM products"""
+
+
+def sql_review_record() -> str:
+    return with_(PRODUCTS, REVIEWS, SUMMARIES, RECORDS) + """
+SELECT review_id, product_id, CAST(NULL AS VARCHAR) AS pseudo_label, m_author_id AS author_id, m_rating AS rating,
+       m_is_recommended AS is_recommended, m_helpfulness AS helpfulness, m_tfc AS total_feedback_count,
+       m_neg AS total_neg_feedback_count, m_pos AS total_pos_feedback_count FROM records"""
+
+
+def sql_join_product_summary() -> str:
+    return with_(PRODUCTS, REVIEWS, SUMMARIES) + """
+SELECT r.review_id, s.product_summary FROM reviews r LEFT JOIN summaries s ON s.product_id = r.product_id"""
+
+
+def sql_reviews_with_known_product() -> str:
+    return with_(PRODUCTS, REVIEWS) + """
+SELECT review_id FROM reviews r WHERE EXISTS (SELECT 1 FROM products p WHERE p.product_id = r.product_id)"""
+
+
+def sql_parse_context() -> str:
+    from credence.functions import context as c
+    rec = f"regexp_extract(context, '{c.PARSE_RECOMMENDED}', 1)"
+    return with_(PRODUCTS, REVIEWS, SUMMARIES, RECORDS) + f"""
+SELECT review_id, regexp_extract(context, '{c.PARSE_TITLE}', 1) AS review_title,
+       regexp_extract(context, '{c.PARSE_TEXT}', 1) AS review_text,
+       regexp_extract(context, '{c.PARSE_NAME}', 1) AS product_name,
+       CASE WHEN {rec} <> '' THEN {rec} ELSE '0.0' END AS recommended
+FROM records"""
+
+
+def sql_sort_products() -> str:
+    return with_(PRODUCTS) + """
+SELECT product_id, row_number() OVER (ORDER BY product_name ASC NULLS LAST, product_id) AS name_rank FROM products"""
+
+
+def sql_build_request_context() -> str:
+    return with_(PRODUCTS, REVIEWS) + """,
+firsts0 AS (SELECT product_name, arg_min({'r': rating, 'b': brand_name, 'h': highlights}, pos) AS f
+            FROM products WHERE product_name IS NOT NULL GROUP BY product_name),
+firsts AS (SELECT product_name, f.r AS p_rating, f.b AS p_brand, f.h AS p_highlights FROM firsts0),
+req AS (SELECT r.review_id, r.review_title, r.review_text, p.product_name AS req_product_name,
+               r.is_recommended = '1' AS recommended
+        FROM reviews r LEFT JOIN products p ON p.product_id = r.product_id)
+SELECT q.review_id,
+       'Review title: ' || coalesce(q.review_title, '') || ' | Review text: ' || coalesce(q.review_text, '')
+       || ' | Rating: ' || coalesce(f.p_rating, 'nan') || ' | Recommended: '
+       || CASE WHEN coalesce(q.recommended, false) THEN '1.0' ELSE '0.0' END
+       || ' | Product summary: ' || coalesce(q.req_product_name, 'nan') || ' by ' || coalesce(f.p_brand, 'nan')
+       || '. Highlights: ' || coalesce(f.p_highlights, 'nan') || '.' AS context
+FROM req q JOIN firsts f ON f.product_name = q.req_product_name"""
+
+
+def sql_retrieval_rank() -> str:
+    return with_(*retrieval_ctes()) + """
+SELECT r.review_id, 'Rank ' || CAST(k.rank AS VARCHAR) AS rank_label, k.id AS product_id, e.document
+FROM topk k JOIN records r ON r.pos = k.pos JOIN entries e ON e.id = k.id"""
+
+
+# ---------------------------------------------------------------------------------------
+# Scalar rules
+# ---------------------------------------------------------------------------------------
+CTX_BASE = (PRODUCTS, REVIEWS, SUMMARIES, RECORDS)
+
+
+def sql_safe_casts() -> str:
+    loose = (f"coalesce({safe_int('m_is_recommended')}, CASE WHEN NOT isnan({safe_float('m_is_recommended')}) "
+             f"AND abs({safe_float('m_is_recommended')}) < 9.2e18 THEN CAST(trunc({safe_float('m_is_recommended')}) "
+             f"AS BIGINT) END)")
+    return with_(*CTX_BASE) + f"""
+SELECT review_id, {safe_float('m_rating')} AS rating_f, {safe_int('m_is_recommended')} AS recommended_i,
+       {loose} AS recommended_loose, {safe_float('m_helpfulness')} AS helpfulness_f,
+       {safe_int('m_tfc')} AS feedback_i FROM records"""
+
+
+def sql_text_norm() -> str:
+    words = f"CASE WHEN {strip('context')} = '' THEN 0 ELSE len(string_split_regex({strip('context')}, '{PY_WS}+')) END"
+    flat = strip("replace(context, chr(10), ' ')")
+    return with_(*CTX_BASE) + f"""
+SELECT review_id, length({strip('context')}) AS stripped_len, lower(context) AS lower_ctx,
+       length({flat}) AS flat_len, {words} AS n_words FROM records"""
+
+
+def sql_extract_capacity() -> str:
+    p = rules.CAPACITY_PATTERN
+    factor = "CASE unit " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.UNIT_TO_ML.items()) + " ELSE 1.0 END"
+    return with_(*CTX_BASE) + f""",
+caps AS (SELECT review_id, regexp_extract_all(lower(context), '{p}', 1) AS a,
+                regexp_extract_all(lower(context), '{p}', 3) AS u FROM records),
+flat AS (SELECT review_id, i - 1 AS i, TRY_CAST(a[i] AS DOUBLE) AS amount, u[i] AS unit
+         FROM caps, range(1, len(a) + 1) t(i))
+SELECT review_id, CAST(i AS INTEGER) AS i, amount, unit, amount * ({factor}) AS ml FROM flat"""
+
+
+def sql_extract_price() -> str:
+    t = "lower(context)"
+    return with_(*CTX_BASE) + f"""
+SELECT review_id, CASE WHEN regexp_matches({t}, '{rules.PRICE_PATTERN}')
+                       THEN {safe_float(f"regexp_extract({t}, '{rules.PRICE_PATTERN}', 1)")} END AS price
+FROM records"""
+
+
+OWN = """
+own AS (
+  SELECT r.review_id, lower(r.context) AS t, r.context, e.m_highlights, e.m_size, e.m_online_only, e.m_price_usd,
+         e.m_value_price_usd, e.m_sale_price_usd, e.id AS own_id,
+         r.m_rating, r.m_is_recommended, r.m_helpfulness, r.m_tfc, r.m_neg
+  FROM records r LEFT JOIN entries e ON e.id = r.product_id)"""
+
+
+def _own_sql(select: str) -> str:
+    return with_(*CTX_BASE, FILLED, ENTRIES, OWN) + "\n" + select
+
+
+def sql_capacity_mismatch() -> str:
+    pc = ml_list("lower(m_size)")
+    rc = ml_list("t")
+    cap = (f"(len({rc}) > 0 AND len({pc}) > 0 AND coalesce(list_bool_and(list_transform({rc}, lambda c: "
+           f"list_bool_and(list_transform({pc}, lambda p: abs(c - p) > p * {rules.CAPACITY_REL_TOL} "
+           f"AND abs(c - p) > {rules.CAPACITY_ABS_TOL})))), false))")
+    return _own_sql(f"SELECT review_id, coalesce({cap}, false) AS flag FROM own")
+
+
+def sql_skin_type_mismatch() -> str:
+    hl = "coalesce(m_highlights, '')"
+    return _own_sql(f"""SELECT review_id, (({contains('t', 'oily')} AND {contains(hl, 'dry')}) OR
+       ({contains('t', 'dry')} AND {contains(hl, 'oily')})) AS flag FROM own""")
+
+
+def sql_gender_mismatch() -> str:
+    hl = "coalesce(m_highlights, '')"
+    gendered = " OR ".join(contains(hl, w) for w in ["men", "women", "unisex", "gender-neutral", "genderless"])
+    return _own_sql(f"""SELECT review_id, ({contains('t', 'men')} AND ({gendered}) AND NOT {contains(hl, 'unisex')}
+       AND NOT {contains(hl, 'genderless')}) AS flag FROM own""")
+
+
+def sql_online_only_mismatch() -> str:
+    return _own_sql(f"""SELECT review_id, (m_online_only IS NOT NULL AND m_online_only <> '' AND
+       coalesce(regexp_matches(t, '{rules.STORE_PATTERN}'), false)) AS flag FROM own""")
+
+
+def sql_price_mismatch() -> str:
+    price = (f"(CASE WHEN regexp_matches(t, '{rules.PRICE_PATTERN}') "
+             f"THEN {safe_float(f'regexp_extract(t, {chr(39)}{rules.PRICE_PATTERN}{chr(39)}, 1)')} END)")
+    far = " AND ".join(
+        f"({safe_float(p)} IS NOT NULL AND {safe_float(p)} <> 0 AND abs({price} - {safe_float(p)}) > "
+        f"{safe_float(p)} * {rules.PRICE_REL_TOL})"
+        for p in ["m_price_usd", "m_value_price_usd", "m_sale_price_usd"])
+    return _own_sql(f"SELECT review_id, coalesce({price} IS NOT NULL AND {price} <> 0 AND {far}, false) AS flag FROM own")
+
+
+def sql_factual_label() -> str:
+    fact = fact_pair("t", ml_list("t"), "coalesce(m_highlights, '')", "coalesce(m_size, '')", "m_online_only")
+    return _own_sql(f"""SELECT review_id, CASE WHEN own_id IS NOT NULL AND coalesce({fact}, false) THEN 'fake'
+       ELSE 'real' END AS fact_label FROM own""")
+
+
+def _strict_loose_score(missing: str, loose: bool) -> str:
+    if not loose:
+        return fake_score("context", "m_rating", "m_is_recommended", "m_helpfulness", "m_tfc", "m_neg", missing)
+    # Loose ints: '1.0' counts as 1 for the recommended flag.
+    rec = (f"(CASE WHEN {safe_int('m_is_recommended')} IS NOT NULL THEN CAST({safe_int('m_is_recommended')} "
+           f"AS VARCHAR) WHEN NOT isnan({safe_float('m_is_recommended')}) AND abs({safe_float('m_is_recommended')})"
+           f" < 9.2e18 THEN CAST(CAST(trunc({safe_float('m_is_recommended')}) AS BIGINT) AS VARCHAR) END)")
+    return fake_score("context", "m_rating", rec, "m_helpfulness", "m_tfc", "m_neg", missing)
+
+
+def sql_fake_score() -> str:
+    return with_(*CTX_BASE) + f"""
+SELECT review_id, {_strict_loose_score('nan', False)} AS score_nan, {_strict_loose_score('null', False)} AS score_null,
+       {_strict_loose_score('nan', True)} AS score_loose FROM records"""
+
+
+def sql_final_label() -> str:
+    fact = fact_pair("t", ml_list("t"), "coalesce(m_highlights, '')", "coalesce(m_size, '')", "m_online_only")
+
+    def lab(missing: str) -> str:
+        s = fake_score("context", "m_rating", "m_is_recommended", "m_helpfulness", "m_tfc", "m_neg", missing)
+        return (f"CASE WHEN fact = 'fake' THEN 'fake' WHEN {s} > {float(rules.FAKE_THRESHOLD)} THEN 'fake' "
+                f"WHEN length(coalesce(context, '')) >= {rules.MIN_REAL_CONTEXT_CHARS} AND "
+                f"{has_rating('m_rating', missing)} THEN 'real' ELSE 'fake' END")
+
+    return _own_sql(f"""SELECT review_id, {lab('nan')} AS label_nan, {lab('null')} AS label_null FROM (
+  SELECT *, CASE WHEN own_id IS NOT NULL AND coalesce({fact}, false) THEN 'fake' ELSE 'real' END AS fact FROM own)""")
+
+
+def sql_format_valid() -> str:
+    cond = " AND ".join(f"contains(coalesce(context, ''), '{m}')" for m in rules.FORMAT_MARKERS)
+    return with_(*CTX_BASE) + f"\nSELECT review_id, ({cond}) AS valid FROM records"
+
+
+def sql_row_count() -> str:
+    return with_(*CTX_BASE) + "\nSELECT count(*) AS n FROM records"
+
+
+def sql_embed_texts() -> str:
+    return with_(*CTX_BASE) + f""",
+qb AS (SELECT review_id, {token_buckets('context')} AS b FROM records),
+qc AS (SELECT review_id, {bucket_counts('b')} AS c FROM qb),
+qv AS (SELECT review_id, {normalised('c')} AS vec FROM qc)
+SELECT review_id, CAST(i - 1 AS INTEGER) AS i, CAST(vec[i] AS DOUBLE) AS v FROM qv, range(1, {DEFAULT_DIM} + 1) t(i)"""
+
+
+ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())
+                if name.startswith("sql_") and callable(fn)})

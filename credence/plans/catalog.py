@@ -53,3 +53,366 @@ QUERIES = {
     "product_document": q_product_document,
     "label_counts": q_label_counts,
 }
+
+
+# ---------------------------------------------------------------------------------------
+# Shared bases
+# ---------------------------------------------------------------------------------------
+SEED = 7
+
+
+def _qlabels(spark, sf):
+    return testdata.quality_labels(spark, sf)
+
+
+def _noisy_labels(spark, sf):
+    """Quality labels with unknown / missing labels and a free-form ``tag`` label field."""
+    q = _qlabels(spark, sf)
+    p = F.col("pos")
+    noisy = F.when(p % 9 == 0, F.lit(None).cast("string")).when(p % 9 == 1, F.lit("unknown")).otherwise(
+        F.col("pseudo_label"))
+    tag = (F.when(p % 5 == 0, F.lit("")).when(p % 5 == 1, F.lit(None).cast("string")).when(p % 5 == 2, F.lit("0"))
+           .when(p % 5 == 3, F.lit("1")).otherwise(F.lit("real")))
+    return q.withColumn("pseudo_label", noisy).withColumn("tag", tag)
+
+
+def _own_pairs(spark, sf):
+    """Each context record with its own product's collection entry (equi-join on id)."""
+    recs = jobs.context_records(spark, sf)
+    ent = records.product_entries(testdata.products(spark, sf)).select(
+        F.col("id").alias("product_id"), F.struct("id", "document", "metadata").alias("own"))
+    return recs.join(ent, "product_id", "left")
+
+
+# ---------------------------------------------------------------------------------------
+# Sampling / splits / metrics / windows
+# ---------------------------------------------------------------------------------------
+from credence.operators import metrics, sampling  # noqa: E402
+
+
+def q_shuffle_rows(spark, sf):
+    return sampling.shuffle_rows(_qlabels(spark, sf), SEED).select("review_id", "shuffle_rank")
+
+
+def q_sample_exact_n(spark, sf):
+    return sampling.sample_exact_n(_qlabels(spark, sf), 50, SEED).select("review_id", "pseudo_label", "sample_rank")
+
+
+def q_balanced_dataset(spark, sf):
+    out = sampling.balanced_dataset(_qlabels(spark, sf), 1.0, SEED)
+    return out.select("review_id", "pseudo_label", "sample_rank")
+
+
+def q_balanced_dataset_short(spark, sf):
+    out = sampling.balanced_dataset(_qlabels(spark, sf), 10.0, SEED)
+    return out.select("review_id", "pseudo_label", "sample_rank")
+
+
+def q_stratified_split(spark, sf):
+    out = sampling.balanced_dataset(_qlabels(spark, sf), 1.0, SEED, split=True, test_ratio=0.2)
+    return out.select("review_id", "pseudo_label", "split")
+
+
+def q_random_split(spark, sf):
+    return sampling.random_split(_qlabels(spark, sf), 0.1, SEED).select("review_id", "split")
+
+
+def q_pick_examples(spark, sf):
+    return sampling.pick_examples(_qlabels(spark, sf), 2, 2, SEED).select(
+        F.col("pos").cast("string").alias("review_id"), "pseudo_label", "context")
+
+
+def q_filter_by_label(spark, sf):
+    return _qlabels(spark, sf).where(F.col("pseudo_label") == "real").select("review_id", "pseudo_label")
+
+
+def q_metrics_summary(spark, sf):
+    return metrics.metrics_summary(_qlabels(spark, sf))
+
+
+def q_classification_report(spark, sf):
+    return metrics.classification_report(_qlabels(spark, sf))
+
+
+def q_running_accuracy(spark, sf):
+    return metrics.running_accuracy(_qlabels(spark, sf)).select("review_id", "running_accuracy")
+
+
+def q_running_label_counts(spark, sf):
+    return labeling.running_label_counts(_qlabels(spark, sf)).select(
+        "review_id", "real_count", "fake_count", "total_count")
+
+
+def q_distinct_labels(spark, sf):
+    from credence.operators import dataset
+    return metrics.distinct_labels(dataset.encode_labels_strict(_noisy_labels(spark, sf)))
+
+
+def q_argmax_array(spark, sf):
+    e = testdata.table(spark, sf, "embeddings")
+    return e.select("vec_id", rules.argmax_array(F.col("embedding")).alias("argmax"))
+
+
+def q_verdict_text(spark, sf):
+    return _qlabels(spark, sf).select("review_id", rules.verdict_text(F.col("prediction")).alias("verdict"))
+
+
+def q_flag_duplicates(spark, sf):
+    rv = testdata.reviews(spark, sf).withColumn("pseudo_label", F.lit("real"))
+    return labeling.flag_duplicates(rv, "review_text").select("review_id", "is_duplicate", "pseudo_label")
+
+
+# ---------------------------------------------------------------------------------------
+# Label handling
+# ---------------------------------------------------------------------------------------
+def q_split_real_fake(spark, sf):
+    from credence.operators import dataset
+    return dataset.split_real_fake(_noisy_labels(spark, sf), "tag").select("review_id", "side")
+
+
+def q_encode_labels_strict(spark, sf):
+    from credence.operators import dataset
+    return dataset.encode_labels_strict(_noisy_labels(spark, sf)).select("review_id", "label")
+
+
+def q_encode_labels_lenient(spark, sf):
+    from credence.operators import dataset
+    return dataset.encode_labels_lenient(_noisy_labels(spark, sf)).select("review_id", "label")
+
+
+def q_explain_examples(spark, sf):
+    from credence.operators import dataset
+    ex = dataset.explain_examples(_noisy_labels(spark, sf))
+    return ex.select("review_id", "label", "reason", "input_text", "target_text")
+
+
+def q_parse_label(spark, sf):
+    from credence.operators import dataset
+    ex = dataset.explain_examples(_noisy_labels(spark, sf))
+    return ex.select("review_id", rules.parse_label(F.col("target_text")).alias("from_target"),
+                     rules.parse_label(F.col("context")).alias("from_context"))
+
+
+def q_parse_explanation(spark, sf):
+    from credence.operators import dataset
+    ex = dataset.explain_examples(_noisy_labels(spark, sf))
+    a = rules.parse_explanation(F.col("target_text"))
+    b = rules.parse_explanation(F.col("context"))
+    return ex.select("review_id", a["label"].alias("t_label"), a["reason"].alias("t_reason"),
+                     b["label"].alias("c_label"), b["reason"].alias("c_reason"))
+
+
+# ---------------------------------------------------------------------------------------
+# Products and contexts
+# ---------------------------------------------------------------------------------------
+def q_product_summary(spark, sf):
+    return records.product_summaries(testdata.products(spark, sf))
+
+
+def q_product_metadata(spark, sf):
+    e = records.product_entries(testdata.products(spark, sf))
+    return e.select("id", "metadata.*")
+
+
+def q_product_id_default(spark, sf):
+    p = testdata.products(spark, sf)
+    p = p.withColumn("product_id", F.when(F.col("pos") % 7 == 0, F.lit("")).otherwise(F.col("product_id")))
+    return p.select("pos", ctxf.product_id_default().alias("id"))
+
+
+def q_review_record(spark, sf):
+    r = jobs.context_records(spark, sf)
+    return r.select("review_id", "product_id", "pseudo_label", "meta.*")
+
+
+def q_join_product_summary(spark, sf):
+    j = records.join_product_summary(testdata.reviews(spark, sf), testdata.products(spark, sf))
+    return j.select("review_id", "product_summary")
+
+
+def q_reviews_with_known_product(spark, sf):
+    return records.reviews_with_known_product(testdata.reviews(spark, sf), testdata.products(spark, sf)).select(
+        "review_id")
+
+
+def q_parse_context(spark, sf):
+    r = jobs.context_records(spark, sf)
+    return r.select("review_id", ctxf.parse_context(F.col("context")).alias("p")).select("review_id", "p.*")
+
+
+def q_sort_products(spark, sf):
+    return records.sort_products(testdata.products(spark, sf)).select("product_id", "name_rank")
+
+
+def q_build_request_context(spark, sf):
+    return records.request_contexts(testdata.reviews(spark, sf), testdata.products(spark, sf)).select(
+        "review_id", "context")
+
+
+def q_retrieval_rank(spark, sf):
+    q = retrieval.embed_texts(jobs.context_records(spark, sf), "context", "qvec")
+    r = retrieval.topk_similar(q, jobs.product_collection(spark, sf), k=K, vec_col="qvec")
+    x = r.select("review_id", F.posexplode("retrieved").alias("i", "doc"))
+    return x.select("review_id", F.concat(F.lit("Rank "), (F.col("i") + 1).cast("string")).alias("rank_label"),
+                    F.col("doc.id").alias("product_id"), F.col("doc.document").alias("document"))
+
+
+# ---------------------------------------------------------------------------------------
+# Scalar rules
+# ---------------------------------------------------------------------------------------
+def q_safe_casts(spark, sf):
+    r = jobs.context_records(spark, sf)
+    m = F.col("meta")
+    return r.select("review_id", tx.safe_float(m["rating"]).alias("rating_f"),
+                    tx.safe_int(m["is_recommended"]).alias("recommended_i"),
+                    tx.safe_int(m["is_recommended"], strict=False).alias("recommended_loose"),
+                    tx.safe_float(m["helpfulness"]).alias("helpfulness_f"),
+                    tx.safe_int(m["total_feedback_count"]).alias("feedback_i"))
+
+
+def q_text_norm(spark, sf):
+    r = jobs.context_records(spark, sf)
+    c = F.col("context")
+    return r.select("review_id", F.length(tx.py_strip(c)).alias("stripped_len"), F.lower(c).alias("lower_ctx"),
+                    F.length(tx.flatten_newlines(c)).alias("flat_len"), F.size(tx.split_words(c)).alias("n_words"))
+
+
+def q_extract_capacity(spark, sf):
+    r = jobs.context_records(spark, sf)
+    x = r.select("review_id", F.posexplode(rules.extract_capacity(F.col("context"))).alias("i", "cap"))
+    return x.select("review_id", "i", F.col("cap.amount").alias("amount"), F.col("cap.unit").alias("unit"),
+                    rules.to_ml(F.col("cap.amount"), F.col("cap.unit")).alias("ml"))
+
+
+def q_extract_price(spark, sf):
+    r = jobs.context_records(spark, sf)
+    return r.select("review_id", rules.extract_price(F.col("context")).alias("price"))
+
+
+def _own_checks(spark, sf):
+    o = _own_pairs(spark, sf)
+    t = F.lower(F.col("context"))
+    meta = F.col("own.metadata")
+    return o, t, meta
+
+
+def q_capacity_mismatch(spark, sf):
+    o, t, meta = _own_checks(spark, sf)
+    return o.select("review_id", F.coalesce(rules.capacity_mismatch(rules.capacities_ml(t), meta["size"]),
+                                            F.lit(False)).alias("flag"))
+
+
+def q_skin_type_mismatch(spark, sf):
+    o, t, meta = _own_checks(spark, sf)
+    return o.select("review_id", rules.skin_type_mismatch(t, meta["highlights"]).alias("flag"))
+
+
+def q_gender_mismatch(spark, sf):
+    o, t, meta = _own_checks(spark, sf)
+    return o.select("review_id", rules.gender_mismatch(t, meta["highlights"]).alias("flag"))
+
+
+def q_online_only_mismatch(spark, sf):
+    o, t, meta = _own_checks(spark, sf)
+    return o.select("review_id", F.coalesce(rules.online_only_mismatch(t, meta["online_only"]),
+                                            F.lit(False)).alias("flag"))
+
+
+def q_price_mismatch(spark, sf):
+    o, t, meta = _own_checks(spark, sf)
+    flag = rules.price_mismatch(rules.extract_price(t), meta["price_usd"], meta["value_price_usd"],
+                                meta["sale_price_usd"])
+    return o.select("review_id", F.coalesce(flag, F.lit(False)).alias("flag"))
+
+
+def q_factual_label(spark, sf):
+    o = _own_pairs(spark, sf)
+    own = F.when(F.col("own").isNotNull(), F.array(F.col("own"))).otherwise(F.array().cast(
+        "array<struct<id:string,document:string,metadata:struct<product_id:string,product_name:string,"
+        "brand_id:string,brand_name:string,rating:string,reviews:string,size:string,price_usd:string,"
+        "value_price_usd:string,sale_price_usd:string,online_only:string,highlights:string>>>"))
+    return o.select("review_id", rules.factual_label(F.col("context"), own).alias("fact_label"))
+
+
+def q_fake_score(spark, sf):
+    r = jobs.context_records(spark, sf)
+    r = rules.with_fake_score(r, "score_nan", missing="nan")
+    r = rules.with_fake_score(r, "score_null", missing="null")
+    r = rules.with_fake_score(r, "score_loose", missing="nan", strict_int=False)
+    return r.select("review_id", "score_nan", "score_null", "score_loose")
+
+
+def q_final_label(spark, sf):
+    o = q_factual_label(spark, sf)
+    r = jobs.context_records(spark, sf).join(o, "review_id", "inner")
+    r = rules.with_fake_score(rules.with_fake_score(r, "s_nan", missing="nan"), "s_null", missing="null")
+    return r.select("review_id", rules.final_label(F.col("fact_label"), F.col("s_nan"), F.col("context"),
+                                                   F.col("meta")).alias("label_nan"),
+                    rules.final_label(F.col("fact_label"), F.col("s_null"), F.col("context"), F.col("meta"),
+                                      "null").alias("label_null"))
+
+
+def q_format_valid(spark, sf):
+    r = jobs.context_records(spark, sf)
+    return r.select("review_id", rules.format_valid(F.col("context")).alias("valid"))
+
+
+def q_row_count(spark, sf):
+    return jobs.context_records(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_embed_texts(spark, sf):
+    e = retrieval.embed_texts(jobs.context_records(spark, sf), "context", "vec")
+    x = e.select("review_id", F.posexplode("vec").alias("i", "v"))
+    return x.select("review_id", "i", F.col("v").cast("double").alias("v"))
+
+
+QUERIES.update({
+    "shuffle_rows": q_shuffle_rows,
+    "sample_exact_n": q_sample_exact_n,
+    "balanced_dataset": q_balanced_dataset,
+    "balanced_dataset_short": q_balanced_dataset_short,
+    "stratified_split": q_stratified_split,
+    "random_split": q_random_split,
+    "pick_examples": q_pick_examples,
+    "filter_by_label": q_filter_by_label,
+    "metrics_summary": q_metrics_summary,
+    "classification_report": q_classification_report,
+    "running_accuracy": q_running_accuracy,
+    "running_label_counts": q_running_label_counts,
+    "distinct_labels": q_distinct_labels,
+    "argmax_array": q_argmax_array,
+    "verdict_text": q_verdict_text,
+    "flag_duplicates": q_flag_duplicates,
+    "split_real_fake": q_split_real_fake,
+    "encode_labels_strict": q_encode_labels_strict,
+    "encode_labels_lenient": q_encode_labels_lenient,
+    "explain_examples": q_explain_examples,
+    "parse_label": q_parse_label,
+    "parse_explanation": q_parse_explanation,
+    "product_summary": q_product_summary,
+    "product_metadata": q_product_metadata,
+    "product_id_default": q_product_id_default,
+    "review_record": q_review_record,
+    "join_product_summary": q_join_product_summary,
+    "reviews_with_known_product": q_reviews_with_known_product,
+    "parse_context": q_parse_context,
+    "sort_products": q_sort_products,
+    "build_request_context": q_build_request_context,
+    "retrieval_rank": q_retrieval_rank,
+    "safe_casts": q_safe_casts,
+    "text_norm": q_text_norm,
+    "extract_capacity": q_extract_capacity,
+    "extract_price": q_extract_price,
+    "capacity_mismatch": q_capacity_mismatch,
+    "skin_type_mismatch": q_skin_type_mismatch,
+    "gender_mismatch": q_gender_mismatch,
+    "online_only_mismatch": q_online_only_mismatch,
+    "price_mismatch": q_price_mismatch,
+    "factual_label": q_factual_label,
+    "fake_score": q_fake_score,
+    "final_label": q_final_label,
+    "format_valid": q_format_valid,
+    "row_count": q_row_count,
+    "embed_texts": q_embed_texts,
+})
