@@ -130,29 +130,54 @@ def price_mismatch(review_price: Column, price: Column, value_price: Column, sal
     return review_price.isNotNull() & (review_price != 0) & F.coalesce(far, F.lit(False))
 
 
-def document_contradicts(text_lc: Column, review_ml: Column, doc: Column, with_price: bool = False) -> Column:
+def review_features(context, with_price: bool = False) -> Column:
+    """Review-side inputs of the fact check, computed once per review (not per product)."""
+    t = F.lower(F.coalesce(col_(context), F.lit("")))
+    fields = [
+        _has(t, "oily").alias("oily"),
+        _has(t, "dry").alias("dry"),
+        _has(t, "men").alias("men"),
+        F.coalesce(t.rlike(STORE_PATTERN), F.lit(False)).alias("store"),
+        capacities_ml(t).alias("ml"),
+    ]
+    if with_price:
+        fields.append(extract_price(t).alias("price"))
+    return F.struct(*fields)
+
+
+def document_contradicts(feat: Column, doc: Column, with_price: bool = False) -> Column:
+    """One retrieved product against the review features (only short product fields are scanned)."""
     meta = doc["metadata"]
-    checks = (
-        skin_type_mismatch(text_lc, meta["highlights"])
-        | gender_mismatch(text_lc, meta["highlights"])
-        | capacity_mismatch(review_ml, meta["size"])
-        | online_only_mismatch(text_lc, meta["online_only"])
-    )
+    h = F.coalesce(meta["highlights"], F.lit(""))
+    skin = (feat["oily"] & _has(h, "dry")) | (feat["dry"] & _has(h, "oily"))
+    gendered = _has(h, "men") | _has(h, "women") | _has(h, "unisex") | _has(h, "gender-neutral") | _has(h, "genderless")
+    gender = feat["men"] & gendered & ~_has(h, "unisex") & ~_has(h, "genderless")
+    online = meta["online_only"].isNotNull() & (meta["online_only"] != F.lit("")) & feat["store"]
+    checks = skin | gender | capacity_mismatch(feat["ml"], meta["size"]) | online
     if with_price:
-        checks = checks | price_mismatch(
-            extract_price(text_lc), meta["price_usd"], meta["value_price_usd"], meta["sale_price_usd"]
-        )
+        checks = checks | price_mismatch(feat["price"], meta["price_usd"], meta["value_price_usd"],
+                                         meta["sale_price_usd"])
     return checks
 
 
-def factual_label(context, retrieved, with_price: bool = False) -> Column:
-    """``fake`` when any retrieved product contradicts the review, else ``real``."""
-    text_lc = F.lower(F.coalesce(col_(context), F.lit("")))
-    review_ml = capacities_ml(text_lc)
-    bad = F.exists(F.coalesce(col_(retrieved), F.array()), lambda d: document_contradicts(text_lc, review_ml, d, with_price))
+def factual_label_from(feat: Column, retrieved, with_price: bool = False) -> Column:
+    bad = F.exists(col_(retrieved), lambda d: F.coalesce(document_contradicts(feat, d, with_price), F.lit(False)))
     return F.when(F.coalesce(bad, F.lit(False)), F.lit("fake")).otherwise(F.lit("real"))
 
 
+def factual_label(context, retrieved, with_price: bool = False) -> Column:
+    """``fake`` when any retrieved product contradicts the review, else ``real``.
+    On a DataFrame prefer ``with_factual_label`` (review features computed once)."""
+    return factual_label_from(review_features(context, with_price), retrieved, with_price)
+
+
+def with_factual_label(df, out_col: str = "fact_label", context: str = "context", retrieved: str = "retrieved",
+                       with_price: bool = False):
+    tmp = f"__rf_{out_col}"
+    return (df.withColumn(tmp, review_features(F.col(context), with_price))
+            .withColumn(out_col, factual_label_from(F.col(tmp), F.col(retrieved), with_price)).drop(tmp))
+
+
 # ---------------------------------------------------------------------------------------
 # Heuristic score and final label
 # ---------------------------------------------------------------------------------------

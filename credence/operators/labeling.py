@@ -15,9 +15,8 @@ def score_reviews(df: DataFrame, missing: str = "nan", strict_int: bool = True,
     """Given ``context, meta, retrieved``: add ``fact_label``, ``fake_score``, ``pseudo_label``.
 
     Re-running is a re-label: any earlier ``pseudo_label`` is overwritten."""
-    fact = rules.factual_label(F.col("context"), F.col("retrieved"), with_price=with_price)
-    scored = rules.with_fake_score(df.withColumn("fact_label", fact), "fake_score", missing=missing,
-                                   strict_int=strict_int)
+    facts = rules.with_factual_label(df, "fact_label", with_price=with_price)
+    scored = rules.with_fake_score(facts, "fake_score", missing=missing, strict_int=strict_int)
     return (
         scored
         .withColumn("pseudo_label", rules.final_label(F.col("fact_label"), F.col("fake_score"), F.col("context"),

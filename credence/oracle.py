@@ -136,9 +136,13 @@ def safe_int(x: str) -> str:
 
 
 def token_buckets(x: str, dim: int = DEFAULT_DIM) -> str:
-    """Hashed bag of words, step 1: md5 bucket of every [a-z0-9]+ token of lower(x)."""
-    toks = f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
-    return f"list_transform({toks}, lambda t: CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {dim})"
+    """Hashed bag of words, step 1: FNV-1a (32 bit) bucket of every [a-z0-9]+ token of lower(x)."""
+    from credence.operators.retrieval import FNV_OFFSET, FNV_PRIME, TOKEN_PATTERN
+
+    toks = f"list_filter(string_split_regex(lower(coalesce({x}, '')), '{TOKEN_PATTERN}'), lambda t: t <> '')"
+    fnv = (f"list_reduce(list_prepend(CAST({FNV_OFFSET} AS BIGINT), list_transform(string_split(t, ''), "
+           f"lambda ch: CAST(ord(ch) AS BIGINT))), lambda h, ch: (xor(h, ch) * {FNV_PRIME}) % 4294967296)")
+    return f"list_transform({toks}, lambda t: {fnv} % {dim})"
 
 
 def bucket_counts(b: str, dim: int = DEFAULT_DIM) -> str:

@@ -331,7 +331,8 @@ def q_factual_label(spark, sf):
         "array<struct<id:string,document:string,metadata:struct<product_id:string,product_name:string,"
         "brand_id:string,brand_name:string,rating:string,reviews:string,size:string,price_usd:string,"
         "value_price_usd:string,sale_price_usd:string,online_only:string,highlights:string>>>"))
-    return o.select("review_id", rules.factual_label(F.col("context"), own).alias("fact_label"))
+    return rules.with_factual_label(o.withColumn("own_arr", own), "fact_label", retrieved="own_arr").select(
+        "review_id", "fact_label")
 
 
 def q_fake_score(spark, sf):
