@@ -772,5 +772,116 @@ qv AS (SELECT review_id, {normalised('c')} AS vec FROM qc)
 SELECT review_id, CAST(i - 1 AS INTEGER) AS i, CAST(vec[i] AS DOUBLE) AS v FROM qv, range(1, {DEFAULT_DIM} + 1) t(i)"""
 
 
+ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())
+                if name.startswith("sql_") and callable(fn)})
+
+
+# ---------------------------------------------------------------------------------------
+# Augmentation
+# ---------------------------------------------------------------------------------------
+def seeded_int_sql(key: str, n: str, salt: str, seed: int = SEED) -> str:
+    return f"(CAST(('0x' || substr(md5('{seed}:{salt}' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) % ({n}))"
+
+
+def sql_pair_real_fake() -> str:
+    return with_(QLABELS) + f""",
+reals AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS ri FROM qlabels WHERE pseudo_label = 'real'),
+fakes AS (SELECT context AS fake_context, row_number() OVER (ORDER BY pos) - 1 AS fi FROM qlabels
+          WHERE pseudo_label = 'fake'),
+cnt AS (SELECT (SELECT count(*) FROM reals) AS nr, (SELECT count(*) FROM fakes) AS nf),
+steps AS (SELECT s.range AS step FROM range(100000000) s, cnt WHERE s.range < cnt.nr),
+drawn AS (SELECT step, {seeded_int_sql('step', 'nr', 'real:')} AS ri, {seeded_int_sql('step', 'nf', 'fake:')} AS fi
+          FROM steps, cnt)
+SELECT d.step, r.review_id, f.fake_context FROM drawn d JOIN reals r ON r.ri = d.ri JOIN fakes f ON f.fi = d.fi"""
+
+
+def info_sql(key: str) -> str:
+    from credence.operators import augment as a
+
+    rating = f"(CASE {seeded_int_sql(key, '2', 'rating:')} WHEN 0 THEN {a.RATINGS[0]} ELSE {a.RATINGS[1]} END)"
+    total = seeded_int_sql(key, str(a.MAX_FEEDBACK + 1), "total:")
+    pos = f"(CASE WHEN {total} = 0 THEN 0 ELSE {seeded_int_sql(key, f'{total} + 1', 'pos:')} END)"
+    return (f"CAST({rating} AS INTEGER) AS rating, CAST(CASE WHEN {rating} >= 4 THEN 1 ELSE 0 END AS INTEGER) "
+            f"AS is_recommended, CAST({total} AS INTEGER) AS total_feedback_count, CAST({pos} AS INTEGER) AS "
+            f"total_pos_feedback_count, CAST({total} - {pos} AS INTEGER) AS total_neg_feedback_count, "
+            f"CASE WHEN {total} = 0 THEN 0.0 ELSE CAST({pos} AS DOUBLE) / {total} END AS helpfulness, "
+            f"CASE WHEN {rating} = 5 THEN '{a.TITLE_HIGH}' ELSE '{a.TITLE_LOW}' END AS review_title")
+
+
+def sql_random_review_info() -> str:
+    return f"SELECT doc_id, {info_sql('doc_id')} FROM documents"
+
+
+def augment_sql(text: str, key: str, seed: int = SEED) -> str:
+    from credence.operators import augment as a
+
+    s = strip(text)
+    words = f"(CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE string_split_regex({s}, '{PY_WS}+') END)"
+    syn = "CASE lower(w) " + " ".join(
+        f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in a.SYNONYMS.items()) + " END"
+
+    def draw(i: str, salt: str, n: int) -> str:
+        return (f"(CAST(('0x' || substr(md5('{seed}:{salt}' || CAST({key} AS VARCHAR) || ':' || CAST({i} AS VARCHAR)),"
+                f" 1, 8)) AS BIGINT) % {n})")
+
+    subst = f"list_transform({words}, lambda w, i: coalesce(({syn})[1 + {draw('i - 1', 'syn:', 3)}], w))"
+    keyed = (f"list_transform({subst}, lambda w, i: {{'k': md5('{seed}:order:' || CAST({key} AS VARCHAR) || ':' "
+             f"|| CAST(i - 1 AS VARCHAR)), 'w': w}})")
+    shuffled = f"list_transform(list_sort({keyed}), lambda x: x.w)"
+    u = (f"(CAST(CAST(('0x' || substr(md5('{seed}:shuffle:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) AS DOUBLE)"
+         f" / 4294967296.0)")
+    return f"array_to_string(CASE WHEN {u} > {a.SHUFFLE_ABOVE} THEN {shuffled} ELSE {subst} END, ' ')"
+
+
+def sql_augment_text() -> str:
+    return with_(QLABELS) + f"\nSELECT review_id, {augment_sql('context', 'review_id')} AS augmented FROM qlabels"
+
+
+def sql_inflate_duplicates() -> str:
+    from credence.operators import augment as a
+
+    n = seeded_int_sql("doc_id", str(a.TROLL_MAX_COPIES + 1), "troll:")
+    return f"""SELECT d.doc_id AS step, CAST(c.range + 1 AS INTEGER) AS copy
+FROM documents d, range(100) c WHERE d.doc_id % {a.TROLL_EVERY} = 0 AND c.range < {n}"""
+
+
+def sql_build_prompt() -> str:
+    from credence.operators import augment as a
+
+    parts = a.PROMPT_TEMPLATE.split("%s")
+    vals = [strip("replace(coalesce(o.context, ''), chr(10), ' ')"),
+            strip("replace(coalesce(e.document, ''), chr(10), ' ')"),
+            "e.m_product_name", "e.m_brand_name", "e.m_highlights", "e.m_rating", "e.m_price_usd", "e.m_sale_price_usd"]
+
+    def lit(x: str) -> str:
+        return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    expr = lit(parts[0])
+    for v, p in zip(vals, parts[1:]):
+        expr += f" || coalesce({v}, 'null') || {lit(p)}"
+    return with_(*CTX_BASE, FILLED, ENTRIES) + f"""
+SELECT o.review_id, {expr} AS prompt FROM records o JOIN entries e ON e.id = o.product_id"""
+
+
+def sql_field_fallback() -> str:
+    from credence.operators import dataset as ds
+
+    return with_(*CTX_BASE, FILLED, ENTRIES) + f""",
+rec AS (
+  SELECT r.review_id,
+         CASE r.pos % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Top ' || CAST(r.pos AS VARCHAR) END AS top_name,
+         CASE WHEN r.pos % 4 = 0 THEN '' ELSE e.m_product_name END AS meta_name, r.m_rating
+  FROM records r JOIN entries e ON e.id = r.product_id)
+SELECT review_id,
+       coalesce(nullif(top_name, ''), nullif(meta_name, '')) AS name_or_null,
+       coalesce(nullif(top_name, ''), nullif(meta_name, ''), '{ds.PRODUCT_NAME_FALLBACK}') AS product_name,
+       coalesce(nullif(m_rating, ''), 'n/a') AS rating
+FROM rec"""
+
+
+def sql_product_name_fallback() -> str:
+    return sql_field_fallback()
+
+
 ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())
                 if name.startswith("sql_") and callable(fn)})

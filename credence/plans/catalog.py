@@ -417,3 +417,80 @@ QUERIES.update({
     "row_count": q_row_count,
     "embed_texts": q_embed_texts,
 })
+
+
+# ---------------------------------------------------------------------------------------
+# Augmentation
+# ---------------------------------------------------------------------------------------
+from credence.operators import augment, dataset  # noqa: E402
+
+
+def q_pair_real_fake(spark, sf):
+    p = augment.pair_real_fake(_qlabels(spark, sf), ratio=1.0, seed=SEED)
+    return p.select("step", "review_id", "fake_context")
+
+
+def q_random_review_info(spark, sf):
+    d = testdata.table(spark, sf, "documents")
+    return d.select("doc_id", augment.random_review_info(SEED, F.col("doc_id")).alias("i")).select("doc_id", "i.*")
+
+
+def q_augment_text(spark, sf):
+    q = _qlabels(spark, sf)
+    return q.select("review_id", augment.augment_text(F.col("context"), SEED, F.col("review_id")).alias("augmented"))
+
+
+def q_inflate_duplicates(spark, sf):
+    d = testdata.table(spark, sf, "documents").select(F.col("doc_id").alias("step"))
+    n = tx.seeded_int(SEED, F.col("step"), augment.TROLL_MAX_COPIES + 1, "troll:").cast("int")
+    x = d.where(F.col("step") % augment.TROLL_EVERY == 0).select(
+        "step", F.posexplode(F.array_repeat(F.lit(1), n)).alias("copy", "one"))
+    return x.select("step", (F.col("copy") + 1).alias("copy"))
+
+
+def q_build_prompt(spark, sf):
+    o = _own_pairs(spark, sf).where(F.col("own").isNotNull())
+    return o.select("review_id", augment.build_prompt(F.col("context"), F.col("own.document"),
+                                                      F.col("own.metadata")).alias("prompt"))
+
+
+def q_field_fallback(spark, sf):
+    o = _own_pairs(spark, sf).where(F.col("own").isNotNull())
+    p = F.col("pos")
+    top = F.when(p % 3 == 0, F.lit(None).cast("string")).when(p % 3 == 1, F.lit("")).otherwise(
+        F.concat(F.lit("Top "), p.cast("string")))
+    meta_name = F.when(p % 4 == 0, F.lit("")).otherwise(F.col("own.metadata.product_name"))
+    rec = o.select("review_id", top.alias("product_name"),
+                   F.struct(meta_name.alias("product_name"), F.col("meta.rating").alias("rating")).alias("meta"))
+    return rec.select("review_id", dataset.field_fallback(rec, "product_name").alias("name_or_null"),
+                      dataset.product_name_or_default(rec).alias("product_name"),
+                      dataset.field_fallback(rec, "rating", "n/a").alias("rating"))
+
+
+def q_synth_fakes(spark, sf):
+    out = augment.synth_fakes(_qlabels(spark, sf).withColumn("meta", F.struct(*[
+        F.lit(None).cast("string").alias(f) for f in augment.META_FIELDS])),
+        jobs.product_collection(spark, sf), ratio=1.0, seed=SEED, combine_ratio=2, troll=True)
+    return out.select("step", "kind", "copy", "review_id", "context", "pseudo_label", "rating", "is_recommended",
+                      "total_feedback_count", "total_pos_feedback_count", "total_neg_feedback_count", "helpfulness",
+                      "review_title", F.col("meta.product_name").alias("meta_product_name"))
+
+
+def q_augment_union(spark, sf):
+    base = _qlabels(spark, sf).withColumn("meta", F.struct(*[
+        F.lit(None).cast("string").alias(f) for f in augment.META_FIELDS]))
+    syn = augment.synth_fakes(base, jobs.product_collection(spark, sf), ratio=0.5, seed=SEED)
+    return augment.augment_union(base, syn, SEED).select("row_key", "pseudo_label", "shuffle_rank")
+
+
+QUERIES.update({
+    "pair_real_fake": q_pair_real_fake,
+    "random_review_info": q_random_review_info,
+    "augment_text": q_augment_text,
+    "inflate_duplicates": q_inflate_duplicates,
+    "build_prompt": q_build_prompt,
+    "field_fallback": q_field_fallback,
+    "product_name_fallback": q_field_fallback,
+    "synth_fakes": q_synth_fakes,
+    "augment_union": q_augment_union,
+})
