@@ -885,3 +885,78 @@ def sql_product_name_fallback() -> str:
 
 ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())
                 if name.startswith("sql_") and callable(fn)})
+
+
+# ---------------------------------------------------------------------------------------
+# Explanations, sources and sinks
+# ---------------------------------------------------------------------------------------
+def sql_explain_reviews() -> str:
+    hl = "coalesce(m_highlights, '')"
+    rc = ml_list("t")
+    pc = ml_list("lower(coalesce(m_size, ''))")
+    cap = (f"(len({rc}) > 0 AND len({pc}) > 0 AND coalesce(list_bool_and(list_transform({rc}, lambda c: "
+           f"list_bool_and(list_transform({pc}, lambda p: abs(c - p) > p * {rules.CAPACITY_REL_TOL} "
+           f"AND abs(c - p) > {rules.CAPACITY_ABS_TOL})))), false))")
+    gendered = " OR ".join(contains(hl, w) for w in ["men", "women", "unisex", "gender-neutral", "genderless"])
+    score = fake_score("context", "m_rating", "m_is_recommended", "m_helpfulness", "m_tfc", "m_neg", "nan")
+    return _own_sql(f"""SELECT review_id, label AS pseudo_label, reason,
+       'label: ' || label || '. reason: ' || reason AS explanation,
+       concat_ws(',', CASE WHEN skin_type THEN 'skin_type' END, CASE WHEN gender THEN 'gender' END,
+                 CASE WHEN capacity THEN 'capacity' END, CASE WHEN online_only THEN 'online_only' END,
+                 CASE WHEN heuristic_score THEN 'heuristic_score' END,
+                 CASE WHEN too_short THEN 'too_short_or_unrated' END) AS rules_fired,
+       label AS parsed_label
+FROM (
+  SELECT *, CASE WHEN label = 'fake' THEN '{rules.REASON_FAKE}' ELSE '{rules.REASON_REAL}' END AS reason FROM (
+    SELECT *, CASE WHEN (own_id IS NOT NULL AND (skin_type OR gender OR capacity OR online_only)) OR heuristic_score
+                        OR too_short THEN 'fake' ELSE 'real' END AS label
+    FROM (
+      SELECT review_id, own_id,
+             (({contains('t', 'oily')} AND {contains(hl, 'dry')}) OR ({contains('t', 'dry')} AND {contains(hl, 'oily')}))
+               AS skin_type,
+             ({contains('t', 'men')} AND ({gendered}) AND NOT {contains(hl, 'unisex')}
+               AND NOT {contains(hl, 'genderless')}) AS gender,
+             coalesce({cap}, false) AS capacity,
+             coalesce(m_online_only IS NOT NULL AND m_online_only <> '' AND
+                      regexp_matches(t, '{rules.STORE_PATTERN}'), false) AS online_only,
+             {score} > {float(rules.FAKE_THRESHOLD)} AS heuristic_score,
+             NOT (length(coalesce(context, '')) >= {rules.MIN_REAL_CONTEXT_CHARS} AND {has_rating('m_rating')})
+               AS too_short
+      FROM own)))""")
+
+
+def sql_scan_reviews_csv() -> str:
+    return with_(REVIEWS) + """
+SELECT review_id, product_id, rating, is_recommended, helpfulness, review_title, review_text FROM reviews"""
+
+
+def sql_scan_products_csv() -> str:
+    return with_(PRODUCTS) + "\nSELECT product_id, product_name, size, value_price_usd, online_only, highlights FROM products"
+
+
+def sql_roundtrip_jsonl() -> str:
+    return sql_review_record().replace("SELECT review_id, product_id, CAST(NULL AS VARCHAR) AS pseudo_label,",
+                                       "SELECT review_id, product_id, context, CAST(NULL AS VARCHAR) AS pseudo_label,")
+
+
+def sql_scan_jsonl() -> str:
+    return with_(*CTX_BASE) + "\nSELECT review_id, context FROM records"
+
+
+def sql_limit_prefix() -> str:
+    return with_(*CTX_BASE) + "\nSELECT review_id, context FROM records ORDER BY pos LIMIT 100"
+
+
+def sql_json_roundtrip() -> str:
+    return with_(*CTX_BASE) + """
+SELECT review_id, CAST(to_json({'author_id': m_author_id, 'rating': m_rating, 'is_recommended': m_is_recommended,
+       'helpfulness': m_helpfulness, 'total_feedback_count': m_tfc, 'total_neg_feedback_count': m_neg,
+       'total_pos_feedback_count': m_pos}) AS VARCHAR) AS meta_json, true AS same FROM records"""
+
+
+def sql_upsert_products() -> str:
+    return with_(PRODUCTS, FILLED, ENTRIES) + "\nSELECT id, document FROM entries WHERE pos % 2 <> 0"
+
+
+ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())
+                if name.startswith("sql_") and callable(fn)})

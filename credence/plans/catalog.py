@@ -494,3 +494,121 @@ QUERIES.update({
     "synth_fakes": q_synth_fakes,
     "augment_union": q_augment_union,
 })
+
+
+# ---------------------------------------------------------------------------------------
+# Models and explanations
+# ---------------------------------------------------------------------------------------
+from credence.operators import models  # noqa: E402
+
+
+def q_explain_reviews(spark, sf):
+    flags = models.rule_flags(_own_pairs(spark, sf))
+    ex = models.explain_reviews(flags)
+    return ex.select("review_id", "pseudo_label", "reason", "explanation", "rules_fired",
+                     rules.parse_label(F.col("explanation")).alias("parsed_label"))
+
+
+def _classifier_examples(spark, sf):
+    return dataset.encode_labels_strict(_qlabels(spark, sf))
+
+
+def q_train_classifier(spark, sf):
+    _, summary = models.train_classifier(_classifier_examples(spark, sf), test_fraction=0.2, seed=SEED)
+    return summary
+
+
+def q_evaluate_classifier(spark, sf):
+    model, _ = models.train_classifier(_classifier_examples(spark, sf), test_fraction=0.2, seed=SEED)
+    return models.evaluate_classifier(model, _qlabels(spark, sf))
+
+
+# ---------------------------------------------------------------------------------------
+# Sources and sinks
+# ---------------------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from credence.schemas import CONTEXT_RECORD_SCHEMA  # noqa: E402
+from credence.session import checkpoint_dir  # noqa: E402
+from credence.sources import files  # noqa: E402
+from pyspark.sql.types import LongType, StructField, StructType  # noqa: E402
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/credence-io/{name}-{uuid.uuid4().hex}"
+
+
+def _write_ordered_csv(df, path, parts=None):
+    """CSV part files in position order (range partitions, sorted inside), no pos column."""
+    n = parts or df.sparkSession.sparkContext.defaultParallelism
+    ordered = df.repartitionByRange(n, "pos").sortWithinPartitions("pos").drop("pos")
+    files.write_csv(ordered, path)
+
+
+def q_scan_reviews_csv(spark, sf):
+    path = _scratch(spark, "reviews_csv")
+    _write_ordered_csv(testdata.reviews(spark, sf), path)
+    r = files.read_reviews_csv(spark, path)
+    return r.select("review_id", "product_id", "rating", "is_recommended", "helpfulness", "review_title",
+                    "review_text")
+
+
+def q_scan_products_csv(spark, sf):
+    path = _scratch(spark, "products_csv")
+    _write_ordered_csv(testdata.products(spark, sf), path)
+    p = files.read_products_csv(spark, path)
+    return p.select("product_id", "product_name", "size", "value_price_usd", "online_only", "highlights")
+
+
+def _records_jsonl(spark, sf):
+    path = _scratch(spark, "records_jsonl")
+    files.write_jsonl(jobs.context_records(spark, sf), path)
+    schema = StructType(CONTEXT_RECORD_SCHEMA.fields + [StructField("pos", LongType(), True)])
+    return path, schema
+
+
+def q_roundtrip_jsonl(spark, sf):
+    path, schema = _records_jsonl(spark, sf)
+    back = files.read_jsonl(spark, path, schema, strict=True)
+    return back.select("review_id", "product_id", "context", "pseudo_label", "meta.*")
+
+
+def q_scan_jsonl(spark, sf):
+    path, schema = _records_jsonl(spark, sf)
+    back = files.read_jsonl(spark, path, schema, strict=False)
+    return back.select("review_id", "context")
+
+
+def q_limit_prefix(spark, sf):
+    return files.limit_prefix(jobs.context_records(spark, sf), 100).select("review_id", "context")
+
+
+def q_json_roundtrip(spark, sf):
+    r = jobs.context_records(spark, sf)
+    js = F.to_json(F.col("meta"), {"ignoreNullFields": "false"})
+    back = F.from_json(js, r.schema["meta"].dataType)
+    return r.select("review_id", js.alias("meta_json"), (back == F.col("meta")).alias("same"))
+
+
+def q_upsert_products(spark, sf):
+    entries = records.product_entries(testdata.products(spark, sf))
+    path = _scratch(spark, "collection")
+    stored = records.build_collection(testdata.products(spark, sf).where(F.col("pos") % 2 == 0))
+    records.write_collection(stored, path, mode="overwrite")
+    existing = records.open_collection(spark, path)
+    batch = entries.unionByName(entries.where(F.col("pos") % 5 == 0))  # repeated ids within the batch
+    return records.upsert_collection(existing, batch).select("id", "document")
+
+
+QUERIES.update({
+    "explain_reviews": q_explain_reviews,
+    "train_classifier": q_train_classifier,
+    "evaluate_classifier": q_evaluate_classifier,
+    "scan_reviews_csv": q_scan_reviews_csv,
+    "scan_products_csv": q_scan_products_csv,
+    "roundtrip_jsonl": q_roundtrip_jsonl,
+    "scan_jsonl": q_scan_jsonl,
+    "limit_prefix": q_limit_prefix,
+    "json_roundtrip": q_json_roundtrip,
+    "upsert_products": q_upsert_products,
+})

@@ -9,11 +9,11 @@
 
 from __future__ import annotations
 
-import glob
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.types import StringType, StructType
 
 # Cell texts that pandas reads as missing by default.
@@ -33,46 +33,35 @@ def normalise_na(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     ])
 
 
-def find_review_files(input_dir: str) -> list[str]:
-    files = sorted(glob.glob(os.path.join(input_dir, "reviews*.csv")))
-    return files or sorted(glob.glob(os.path.join(input_dir, "*.csv")))
-
-
-def _csv_reader(spark: SparkSession):
-    return (spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true")
-            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-            .option("nullValue", None).option("emptyValue", ""))
-
-
-def with_row_index(df: DataFrame, file_index: int = 0, out_col: str = "pos") -> DataFrame:
-    """Dense 0-based row number in scan order (plus ``file_index * POS_STRIDE``).
-
-    JVM-only: ``monotonically_increasing_id`` is (partition << 33) + row; one small job
-    counts rows per scan partition, and the per-partition offsets (one row per input
-    split, a proven bound) are broadcast back."""
-    tagged = df.withColumn("__mid", F.monotonically_increasing_id()).withColumn("__pid", F.spark_partition_id())
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    prior = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(prior), F.lit(0)).alias("__off"))
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33)
-    return (tagged.join(F.broadcast(offsets), "__pid", "inner")
-            .withColumn(out_col, F.lit(file_index * POS_STRIDE) + F.col("__off") + local)
-            .drop("__mid", "__pid", "__off"))
-
-
-def read_csv_table(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
-    """All-string CSV scan of ``paths`` (in order) with NA normalisation and ``pos``."""
-    frames = []
-    for i, path in enumerate(paths):
-        raw = _csv_reader(spark).csv(path)
-        raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns])
-        frames.append(with_row_index(raw, i))
-    if not frames:
-        raise FileNotFoundError("no CSV files to read")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    out = normalise_na(out, [c for c in out.columns if c != "pos"])
+def _csv_reader(spark: SparkSession, glob_filter: str | None = None):
+    r = (spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true")
+         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("encoding", "UTF-8"))
+    return r.option("pathGlobFilter", glob_filter) if glob_filter else r
+
+
+def with_file_position(df: DataFrame, file_col: str = "__file", out_col: str = "pos") -> DataFrame:
+    """``pos`` = rank of the file path * POS_STRIDE + row number inside the file.
+
+    Multi-line CSV files are never split, so a file's rows are contiguous in one scan
+    partition and ``monotonically_increasing_id`` minus the file's smallest id is the
+    row number. The per-file table (one row per input file, a bound the file listing
+    itself imposes) is broadcast back; the rows never leave their partition."""
+    tagged = df.withColumn("__mid", F.monotonically_increasing_id())
+    per_file = tagged.groupBy(file_col).agg(F.min("__mid").alias("__m0"))
+    per_file = per_file.withColumn("__fi", F.row_number().over(Window.orderBy(file_col)) - 1)
+    pos = F.col("__fi") * F.lit(POS_STRIDE) + (F.col("__mid") - F.col("__m0"))
+    return (tagged.join(F.broadcast(per_file), file_col, "inner").withColumn(out_col, pos)
+            .drop("__mid", "__m0", "__fi", file_col))
+
+
+def read_csv_table(spark: SparkSession, paths, glob_filter: str | None = None,
+                   columns: list[str] | None = None) -> DataFrame:
+    """All-string CSV scan (files read in path order) with NA normalisation and ``pos``."""
+    raw = _csv_reader(spark, glob_filter).csv(paths)
+    data_cols = [c for c in raw.columns]
+    raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in data_cols],
+                     F.col("_metadata.file_path").alias("__file"))
+    out = normalise_na(with_file_position(raw), data_cols)
     if columns:
         for c in columns:
             if c not in out.columns:
@@ -81,14 +70,19 @@ def read_csv_table(spark: SparkSession, paths: list[str], columns: list[str] | N
 
 
 def read_reviews_csv(spark: SparkSession, input_dir: str) -> DataFrame:
-    return read_csv_table(spark, find_review_files(input_dir))
+    """``reviews*.csv`` files of a folder in name order; when there are none, every ``*.csv``."""
+    try:
+        return read_csv_table(spark, input_dir, "reviews*.csv")
+    except AnalysisException:
+        return read_csv_table(spark, input_dir, "*.csv")
 
 
 def read_products_csv(spark: SparkSession, path: str) -> DataFrame | None:
-    """Product table, or None when the file does not exist (no summaries, not an error)."""
-    if not os.path.exists(path):
+    """Product table, or None when the path does not exist (no summaries, not an error)."""
+    try:
+        return read_csv_table(spark, path, "*.csv")
+    except AnalysisException:
         return None
-    return read_csv_table(spark, [path])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -130,6 +124,6 @@ def derived_paths(output: str) -> tuple[str, str]:
     return f"{base}_train.jsonl", f"{base}_test.jsonl"
 
 
-__all__ = ["NA_TOKENS", "normalise_na", "find_review_files", "read_csv_table", "read_reviews_csv",
+__all__ = ["NA_TOKENS", "normalise_na", "with_file_position", "read_csv_table", "read_reviews_csv",
            "read_products_csv", "write_csv", "read_jsonl", "limit_prefix", "write_jsonl", "derived_paths",
            "Window"]
