@@ -58,7 +58,7 @@ def review_records(reviews: DataFrame, products: DataFrame | None) -> DataFrame:
         ctx.context_text(joined).alias("context"),
         ctx.review_meta(joined).alias("meta"),
         F.lit(None).cast("string").alias("pseudo_label"),
-        F.col("pos"),
+        (F.col("pos") if "pos" in joined.columns else F.lit(None).cast("long")).alias("pos"),
     )
 
 

@@ -960,3 +960,15 @@ def sql_upsert_products() -> str:
 
 ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())
                 if name.startswith("sql_") and callable(fn)})
+
+
+def sql_stream_label_reviews() -> str:
+    return sql_label_reviews()
+
+
+def sql_stream_flag_duplicates() -> str:
+    return sql_flag_duplicates()
+
+
+ORACLES.update({"stream_label_reviews": sql_stream_label_reviews,
+                "stream_flag_duplicates": sql_stream_flag_duplicates})

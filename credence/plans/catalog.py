@@ -612,3 +612,45 @@ QUERIES.update({
     "json_roundtrip": q_json_roundtrip,
     "upsert_products": q_upsert_products,
 })
+
+
+# ---------------------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------------------
+from credence.streaming import scoring  # noqa: E402
+
+
+def q_stream_label_reviews(spark, sf):
+    """The labelling job as a stream over review CSV files; returns what the sink holds."""
+    src = _scratch(spark, "stream_in")
+    _write_ordered_csv(testdata.reviews(spark, sf), src)
+    header = testdata.reviews(spark, sf).drop("pos").columns
+    stream = scoring.read_review_stream(spark, src, header, max_files_per_trigger=2)
+    labelled = scoring.label_review_stream(stream, testdata.products(spark, sf), jobs.product_collection(spark, sf))
+    out = _scratch(spark, "stream_out")
+    q = scoring.start_file_sink(labelled.select("review_id", "pseudo_label", "fact_label", "fake_score"), out,
+                                _scratch(spark, "stream_ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def q_stream_flag_duplicates(spark, sf):
+    src = _scratch(spark, "dup_in")
+    _write_ordered_csv(testdata.reviews(spark, sf), src)
+    header = testdata.reviews(spark, sf).drop("pos").columns
+    stream = scoring.read_review_stream(spark, src, header)  # one micro-batch: first copy = smallest id
+    # Synthetic event time, one second per review, well after the initial watermark (epoch 0).
+    stream = stream.withColumn("ts", F.timestamp_seconds(F.col("review_id").cast("long") + 1_600_000_000))
+    flags = scoring.flag_duplicates_stream(stream, "review_text", "review_id", "ts", "review_id", delay="3650 days")
+    out = _scratch(spark, "dup_out")
+    q = scoring.start_file_sink(flags, out, _scratch(spark, "dup_ckpt"))
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select(F.col("row_key").alias("review_id"), "is_duplicate",
+                      F.when(F.col("is_duplicate"), F.lit("fake")).otherwise(F.lit("real")).alias("pseudo_label"))
+
+
+QUERIES.update({
+    "stream_label_reviews": q_stream_label_reviews,
+    "stream_flag_duplicates": q_stream_flag_duplicates,
+})
