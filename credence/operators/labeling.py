@@ -32,7 +32,9 @@ def label_reviews(records: DataFrame, collection: DataFrame, k: int = 3, missing
     check facts, score, decide. Output = record + ``retrieved`` + ``pseudo_label``
     (+ ``fact_label``, ``fake_score`` when ``keep_scores``)."""
     q = embed_texts(records, "context", "__qvec", dim=dim, embedder=embedder)
-    r = topk_similar(q, collection, k=k, vec_col="__qvec", keep_dist=keep_dist, max_block_bytes=max_block_bytes)
+    key = "pos" if "pos" in records.columns and not records.isStreaming else None
+    r = topk_similar(q, collection, k=k, vec_col="__qvec", keep_dist=keep_dist, max_block_bytes=max_block_bytes,
+                     key_col=key)
     out = score_reviews(r.drop("__qvec"), missing=missing, strict_int=strict_int, with_price=with_price)
     if not keep_scores:
         out = out.drop("fact_label", "fake_score")
