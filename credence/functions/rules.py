@@ -117,7 +117,7 @@ def gender_mismatch(text_lc: Column, highlights: Column) -> Column:
 
 def online_only_mismatch(text_lc: Column, online_only: Column) -> Column:
     flag_on = online_only.isNotNull() & (online_only != F.lit(""))
-    return flag_on & F.coalesce(text_lc.rlike(STORE_PATTERN), F.lit(False))
+    return flag_on & store_mention(text_lc)
 
 
 def price_mismatch(review_price: Column, price: Column, value_price: Column, sale_price: Column) -> Column:
@@ -130,6 +130,21 @@ def price_mismatch(review_price: Column, price: Column, value_price: Column, sal
     return review_price.isNotNull() & (review_price != 0) & F.coalesce(far, F.lit(False))
 
 
+def store_mention(text_lc: Column) -> Column:
+    """In-store purchase phrase as a whole phrase. A plain substring test runs first, so
+    the regex only scans texts that can match."""
+    maybe = _has(text_lc, "store") | _has(text_lc, "brick and mortar")
+    return maybe & F.coalesce(text_lc.rlike(STORE_PATTERN), F.lit(False))
+
+
+def review_capacities(text_lc: Column) -> Column:
+    """``capacities_ml`` of texts that contain a digit (others have none)."""
+    digit = F.lit(False)
+    for d in "0123456789":
+        digit = digit | _has(text_lc, d)
+    return F.when(digit, capacities_ml(text_lc)).otherwise(F.array().cast("array<double>"))
+
+
 def review_features(context, with_price: bool = False) -> Column:
     """Review-side inputs of the fact check, computed once per review (not per product)."""
     t = F.lower(F.coalesce(col_(context), F.lit("")))
@@ -137,8 +152,8 @@ def review_features(context, with_price: bool = False) -> Column:
         _has(t, "oily").alias("oily"),
         _has(t, "dry").alias("dry"),
         _has(t, "men").alias("men"),
-        F.coalesce(t.rlike(STORE_PATTERN), F.lit(False)).alias("store"),
-        capacities_ml(t).alias("ml"),
+        store_mention(t).alias("store"),
+        review_capacities(t).alias("ml"),
     ]
     if with_price:
         fields.append(extract_price(t).alias("price"))

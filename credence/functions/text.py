@@ -31,9 +31,14 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same whitespace set as characters, for btrim (scans only the two ends of the text).
+PY_WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading/trailing Python whitespace."""
-    return F.regexp_replace(col_(c), rf"^{PY_WS}+|{PY_WS}+$", "")
+    return F.btrim(col_(c), F.lit(PY_WS_CHARS))
 
 
 def safe_float(c) -> Column:

@@ -240,48 +240,55 @@ def synth_fakes(records: DataFrame, collection: DataFrame, n_samples: int | None
     gen = generate_with_retry(top1, cols, generator, "__gen").where(F.col("__gen").isNotNull())
 
     base_cols = [c for c in records.columns if c not in ("context", "meta", "pseudo_label", "side")]
-    review_meta = F.col("meta")
-
-    def record(context: Column, meta: Column, info: Column, kind: str, copy: Column) -> list[Column]:
-        return ([F.col(c) for c in base_cols] + [
-            context.alias("context"), meta.alias("meta"), F.lit("fake").alias("pseudo_label"),
-            info["rating"].alias("rating"), info["is_recommended"].alias("is_recommended"),
-            info["total_feedback_count"].alias("total_feedback_count"),
-            info["total_pos_feedback_count"].alias("total_pos_feedback_count"),
-            info["total_neg_feedback_count"].alias("total_neg_feedback_count"),
-            info["helpfulness"].alias("helpfulness"), info["review_title"].alias("review_title"),
-            step.alias("step"), F.lit(kind).alias("kind"), copy.alias("copy"),
-        ])
-
-    product_meta = _union_meta(F.col("__pmeta"), PRODUCT_META_FIELDS)
-    real_meta = _union_meta(review_meta, META_FIELDS)
-    parts = [gen.select(*record(F.col("__gen"), product_meta, F.col("__info"), "generated", F.lit(0)))]
-
-    def copies(df: DataFrame, max_copies: int, salt: str) -> DataFrame:
-        n = seeded_int(seed, step, max_copies + 1, salt).cast("int")
-        return df.where(step % TROLL_EVERY == 0).select("*", F.posexplode(F.array_repeat(F.lit(1), n)).alias(
-            "__copy", "__one")).drop("__one")
 
-    def copy_key(salt: str) -> Column:
-        return F.concat(step.cast("string"), F.lit(f":{salt}:"), (F.col("__copy") + 1).cast("string"))
+    # Every output variant of a step comes from ONE pass: an array of (kind, copy) per
+    # generated row, exploded once. (A union of branches would recompute the pairing,
+    # embedding and retrieval per branch: a filter cannot pass through a Python map.)
+    def variant(kind: str, copy: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), copy.cast("int").alias("copy"))
+
+    def copies(kind: str, max_copies: int, salt: str) -> Column:
+        n = seeded_int(seed, step, max_copies + 1, salt).cast("int")
+        many = F.transform(F.array_repeat(F.lit(0), n), lambda _x, i: variant(kind, i + 1))
+        return F.when(step % TROLL_EVERY == 0, many).otherwise(F.array().cast("array<struct<kind:string,copy:int>>"))
 
+    empty = F.array().cast("array<struct<kind:string,copy:int>>")
+    parts = [F.array(variant("generated", F.lit(0)))]
     if troll:
-        dup = copies(gen, TROLL_MAX_COPIES, "troll:").withColumn("__ci", random_review_info(seed, copy_key("dup")))
-        parts.append(dup.select(*record(F.col("__gen"), real_meta, F.col("__ci"), "duplicate", F.col("__copy") + 1)))
+        parts.append(copies("duplicate", TROLL_MAX_COPIES, "troll:"))
     if combine_ratio:
-        comb = gen.where(step % combine_ratio == 0)
-        one = comb.withColumn("__ci", random_review_info(seed, F.concat(step.cast("string"), F.lit(":comb"))))
-        parts.append(one.select(*record(augment_text(F.col("__gen"), seed, step.cast("string")), real_meta,
-                                        F.col("__ci"), "combined", F.lit(0))))
+        on = step % combine_ratio == 0
+        parts.append(F.when(on, F.array(variant("combined", F.lit(0)))).otherwise(empty))
         if troll:
-            many = copies(comb, TROLL_MAX_COMBINED, "troll_comb:").withColumn(
-                "__ci", random_review_info(seed, copy_key("combinfo")))
-            parts.append(many.select(*record(augment_text(F.col("__gen"), seed, copy_key("comb")), real_meta,
-                                             F.col("__ci"), "combined", F.col("__copy") + 1)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            parts.append(F.when(on, copies("combined", TROLL_MAX_COMBINED, "troll_comb:")).otherwise(empty))
+    rows = gen.select("*", F.explode(F.concat(*parts)).alias("__v"))
+    kind, copy = F.col("__v.kind"), F.col("__v.copy")
+    s_step = step.cast("string")
+
+    def keyed(salt: str) -> Column:
+        return F.concat(s_step, F.lit(f":{salt}:"), copy.cast("string"))
+
+    info_key = (F.when(kind == "generated", s_step)
+                .when(kind == "duplicate", keyed("dup"))
+                .when(copy == 0, F.concat(s_step, F.lit(":comb")))
+                .otherwise(keyed("combinfo")))
+    aug_key = F.when(copy == 0, s_step).otherwise(keyed("comb"))
+    rows = rows.withColumn("__ci", F.when(kind == "generated", F.col("__info")).otherwise(
+        random_review_info(seed, info_key)))
+    context = F.when(kind == "combined", augment_text(F.col("__gen"), seed, aug_key)).otherwise(F.col("__gen"))
+    meta = F.when(kind == "generated", _union_meta(F.col("__pmeta"), PRODUCT_META_FIELDS)).otherwise(
+        _union_meta(F.col("meta"), META_FIELDS))
+    info = F.col("__ci")
+    return rows.select(
+        *[F.col(c) for c in base_cols],
+        context.alias("context"), meta.alias("meta"), F.lit("fake").alias("pseudo_label"),
+        info["rating"].alias("rating"), info["is_recommended"].alias("is_recommended"),
+        info["total_feedback_count"].alias("total_feedback_count"),
+        info["total_pos_feedback_count"].alias("total_pos_feedback_count"),
+        info["total_neg_feedback_count"].alias("total_neg_feedback_count"),
+        info["helpfulness"].alias("helpfulness"), info["review_title"].alias("review_title"),
+        step.alias("step"), kind.alias("kind"), copy.alias("copy"),
+    )
 
 
 def augment_union(records: DataFrame, synthetic: DataFrame, seed: int = 0) -> DataFrame:
