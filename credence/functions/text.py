@@ -42,9 +42,12 @@ def py_strip(c) -> Column:
 
 
 def safe_float(c) -> Column:
-    """``float(x)`` or NULL when it would raise. NaN and +-inf are kept."""
+    """``float(x)`` or NULL when it would raise. NaN and +-inf (any case, optional sign) are kept."""
     s = py_strip(col_(c).cast("string"))
-    return F.when(s.rlike(FLOAT_PATTERN), F.regexp_replace(s, "_", "").try_cast("double"))
+    return (F.when(s.rlike(r"^[+-]?(?i:nan)$"), F.lit(float("nan")))
+            .when(s.rlike(r"^\+?(?i:inf|infinity)$"), F.lit(float("inf")))
+            .when(s.rlike(r"^-(?i:inf|infinity)$"), F.lit(float("-inf")))
+            .when(s.rlike(FLOAT_PATTERN), F.regexp_replace(s, "_", "").try_cast("double")))
 
 
 def safe_int(c, strict: bool = True) -> Column:

@@ -127,7 +127,10 @@ def strip(x: str) -> str:
 
 def safe_float(x: str) -> str:
     s = strip(x)
-    return f"(CASE WHEN regexp_matches({s}, '{FLOAT_PATTERN}') THEN TRY_CAST(replace({s}, '_', '') AS DOUBLE) END)"
+    return (f"(CASE WHEN regexp_matches({s}, '^[+-]?(?i:nan)$') THEN CAST('nan' AS DOUBLE) "
+            f"WHEN regexp_matches({s}, '^\\+?(?i:inf|infinity)$') THEN CAST('inf' AS DOUBLE) "
+            f"WHEN regexp_matches({s}, '^-(?i:inf|infinity)$') THEN CAST('-inf' AS DOUBLE) "
+            f"WHEN regexp_matches({s}, '{FLOAT_PATTERN}') THEN TRY_CAST(replace({s}, '_', '') AS DOUBLE) END)")
 
 
 def safe_int(x: str) -> str:
