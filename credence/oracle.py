@@ -300,7 +300,7 @@ def sql_label_reviews() -> str:
 
 def sql_topk_similar_products() -> str:
     return with_(*retrieval_ctes()) + """
-SELECT r.review_id, k.rank, k.id AS product_id, k.dist FROM topk k JOIN records r ON r.pos = k.pos"""
+SELECT r.review_id, CAST(k.rank AS INTEGER) AS rank, k.id AS product_id, k.dist FROM topk k JOIN records r ON r.pos = k.pos"""
 
 
 def sql_build_context() -> str:
@@ -315,8 +315,8 @@ SELECT id, document, m_product_name, m_size, m_price_usd, m_value_price_usd, m_s
 
 def sql_label_counts() -> str:
     return with_(*label_ctes()) + """
-SELECT count_if(pseudo_label <> 'fake') AS real_count, count_if(pseudo_label = 'fake') AS fake_count,
-       count(*) AS total_count FROM final"""
+SELECT CAST(count_if(pseudo_label <> 'fake') AS BIGINT) AS real_count,
+       CAST(count_if(pseudo_label = 'fake') AS BIGINT) AS fake_count, count(*) AS total_count FROM final"""
 
 
 ORACLES = {
@@ -443,18 +443,19 @@ pcm AS (
 def sql_metrics_summary() -> str:
     return with_(QLABELS, PER_CLASS) + """
 SELECT sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1,
-       sum(support) AS n FROM pcm"""
+       CAST(sum(support) AS BIGINT) AS n FROM pcm"""
 
 
 def sql_classification_report() -> str:
     return with_(QLABELS, PER_CLASS) + """
 SELECT CAST(cls AS VARCHAR) AS class, round(precision, 4) AS precision, round(recall, 4) AS recall,
-       round(f1, 4) AS f1, support FROM pcm
-UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 4), sum(support) FROM pcm
-UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), sum(support) FROM pcm
+       round(f1, 4) AS f1, CAST(support AS BIGINT) AS support FROM pcm
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM pcm
+UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4),
+                 CAST(sum(support) AS BIGINT) FROM pcm
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4),
                  round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4),
-                 sum(support) FROM pcm"""
+                 CAST(sum(support) AS BIGINT) FROM pcm"""
 
 
 def sql_running_accuracy() -> str:
@@ -465,8 +466,9 @@ FROM qlabels WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURR
 
 def sql_running_label_counts() -> str:
     return with_(QLABELS) + """
-SELECT review_id, sum(CASE WHEN pseudo_label = 'fake' THEN 0 ELSE 1 END) OVER w AS real_count,
-       sum(CASE WHEN pseudo_label = 'fake' THEN 1 ELSE 0 END) OVER w AS fake_count, count(*) OVER w AS total_count
+SELECT review_id, CAST(sum(CASE WHEN pseudo_label = 'fake' THEN 0 ELSE 1 END) OVER w AS BIGINT) AS real_count,
+       CAST(sum(CASE WHEN pseudo_label = 'fake' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS fake_count,
+       count(*) OVER w AS total_count
 FROM qlabels WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
@@ -651,8 +653,8 @@ def sql_text_norm() -> str:
     words = f"CASE WHEN {strip('context')} = '' THEN 0 ELSE len(string_split_regex({strip('context')}, '{PY_WS}+')) END"
     flat = strip("replace(context, chr(10), ' ')")
     return with_(*CTX_BASE) + f"""
-SELECT review_id, length({strip('context')}) AS stripped_len, lower(context) AS lower_ctx,
-       length({flat}) AS flat_len, {words} AS n_words FROM records"""
+SELECT review_id, CAST(length({strip('context')}) AS INTEGER) AS stripped_len, lower(context) AS lower_ctx,
+       CAST(length({flat}) AS INTEGER) AS flat_len, CAST({words} AS INTEGER) AS n_words FROM records"""
 
 
 def sql_extract_capacity() -> str:

@@ -10,7 +10,8 @@ from conftest import SF_SMALL
 
 FAST_KEYS = ["label_reviews", "topk_similar_products", "build_context", "balanced_dataset", "stratified_split",
              "flag_duplicates", "classification_report", "running_label_counts", "augment_text", "pair_real_fake",
-             "explain_reviews", "scan_reviews_csv", "sort_products", "parse_context", "fake_score"]
+             "explain_reviews", "scan_reviews_csv", "sort_products", "parse_context", "fake_score", "label_counts",
+             "metrics_summary", "text_norm", "random_review_info", "safe_casts"]
 
 
 def test_entry(spark):
@@ -38,6 +39,11 @@ def test_query_matches_oracle(spark, key):
     for t in ["part", "documents", "embeddings", "labels"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     sdf = entry.queries()[key](spark, SF_SMALL)
+    rel = con.sql(entry.oracle_sql()[key])
+    spark_types = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE",
+                   "boolean": "BOOLEAN", "float": "FLOAT"}
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: spark_types.get(t, t) for c, t in sdf.dtypes} == duck_types
     cur = con.execute(entry.oracle_sql()[key])
     names = [d[0] for d in cur.description]
     assert sorted(sdf.columns) == sorted(names)
