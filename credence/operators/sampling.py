@@ -70,11 +70,12 @@ def shuffle_rows(df: DataFrame, seed: int, key: str = "pos") -> DataFrame:
 
 
 def sample_exact_n(df: DataFrame, n: int | dict, seed: int, key: str = "pos", by: str | None = "pseudo_label",
-                   rank_col: str = "sample_rank") -> DataFrame:
+                   rank_col: str = "sample_rank", total: int | None = None) -> DataFrame:
     """Exactly ``n`` rows per class (or ``n[class]``; fewer if the class is smaller),
-    without replacement, chosen by the seeded order. Keeps ``sample_rank``."""
+    without replacement, chosen by the seeded order. Keeps ``sample_rank``. ``total``
+    (row count, when already known) saves the counting pass that sizes the buckets."""
     parts = [by] if by else []
-    ranked = hash_rank(df, seed, key, parts, rank_col)
+    ranked = hash_rank(df, seed, key, parts, rank_col, total=total)
     if isinstance(n, dict):
         limit = None
         for cls, m in n.items():
@@ -111,11 +112,11 @@ def balanced_dataset(df: DataFrame, ratio_real_to_fake: float = 1.0, seed: int =
     if real < fake * ratio_real_to_fake:
         m = min(real, fake)
         sizes = {"real": m, "fake": m}
-        out = sample_exact_n(labelled, sizes, seed, key, label_col)
+        out = sample_exact_n(labelled, sizes, seed, key, label_col, total=real + fake)
     else:
         m = max(int(fake * ratio_real_to_fake), 1)
         sizes = {"real": m, "fake": fake}
-        reals = sample_exact_n(labelled.where(F.col(label_col) == "real"), m, seed, key, label_col)
+        reals = sample_exact_n(labelled.where(F.col(label_col) == "real"), m, seed, key, label_col, total=real)
         fakes = pos_rank(labelled.where(F.col(label_col) == "fake"), pos, [label_col], "sample_rank")
         out = reals.unionByName(fakes)
     if not split:

@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from credence.operators import augment, labeling, models, records, sampling
 from credence.schemas import CONTEXT_RECORD_SCHEMA, LABELLED_RECORD_SCHEMA
+from credence.session import checkpoint_dir
 from credence.sources import files
 
 _POS = StructField("pos", LongType(), True)
@@ -81,6 +82,9 @@ def small_dataset(spark: SparkSession, in_path: str, out_path: str, ratio_real_t
     ``<stem>_train.jsonl`` / ``<stem>_test.jsonl``, each in a seeded shuffled order."""
     recs = spark.read.schema(_with_pos(LABELLED_RECORD_SCHEMA)).json(in_path)
     ds = sampling.balanced_dataset(recs, ratio_real_to_fake, seed, split=split, test_ratio=test_ratio)
+    # Three outputs come from one sample: materialise it once in the shared checkpoint folder.
+    checkpoint_dir(spark)
+    ds = ds.checkpoint(eager=True)
     cols = [c for c in recs.columns]
     shuffled = sampling.shuffle_rows(ds, seed)
     files.write_jsonl(shuffled.orderBy("shuffle_rank").select(*cols), out_path)
