@@ -977,3 +977,104 @@ def sql_stream_flag_duplicates() -> str:
 
 ORACLES.update({"stream_label_reviews": sql_stream_label_reviews,
                 "stream_flag_duplicates": sql_stream_flag_duplicates})
+
+
+# ---------------------------------------------------------------------------------------
+# Synthetic job (deterministic: template generator + md5 draws)
+# ---------------------------------------------------------------------------------------
+def _synth_ctes(ratio: float = 1.0) -> list[str]:
+    from credence.operators import augment as a
+
+    name = "coalesce(g.m_product_name, 'a skincare product')"
+    text = (f"CASE WHEN g.rating = 5 THEN replace('{a.TEMPLATE_POSITIVE}', '%s', {name}) "
+            f"ELSE replace('{a.TEMPLATE_NEGATIVE}', '%s', {name}) END")
+    return [
+        QLABELS, PRODUCTS, FILLED, ENTRIES,
+        f"""
+pbuckets AS (SELECT id, {token_buckets('document')} AS b FROM entries)""",
+        f"""
+pcounts AS (SELECT id, {bucket_counts('b')} AS c FROM pbuckets)""",
+        f"""
+pvec AS (SELECT id, {normalised('c')} AS vec FROM pcounts)""",
+        """
+reals AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS ri FROM qlabels WHERE pseudo_label = 'real')""",
+        """
+fakes AS (SELECT context AS fake_context, row_number() OVER (ORDER BY pos) - 1 AS fi FROM qlabels
+          WHERE pseudo_label = 'fake')""",
+        """
+cnt AS (SELECT (SELECT count(*) FROM reals) AS nr, (SELECT count(*) FROM fakes) AS nf)""",
+        f"""
+steps AS (SELECT s.range AS step FROM range(100000000) s, cnt WHERE s.range < CAST(floor({ratio} * cnt.nr) AS BIGINT))""",
+        f"""
+pairs AS (
+  SELECT d.step, r.review_id, r.context, f.fake_context FROM (
+    SELECT step, {seeded_int_sql('step', 'nr', 'real:')} AS ri, {seeded_int_sql('step', 'nf', 'fake:')} AS fi
+    FROM steps, cnt) d JOIN reals r ON r.ri = d.ri JOIN fakes f ON f.fi = d.fi)""",
+        f"""
+qb AS (SELECT step, {token_buckets('context')} AS b FROM pairs)""",
+        f"""
+qc AS (SELECT step, {bucket_counts('b')} AS c FROM qb)""",
+        f"""
+qv AS (SELECT step, {normalised('c')} AS vec FROM qc)""",
+        f"""
+top1 AS (
+  SELECT step, id FROM (
+    SELECT q.step, p.id, row_number() OVER (PARTITION BY q.step ORDER BY
+             round(pow(array_distance(CAST(q.vec AS DOUBLE[{DEFAULT_DIM}]), CAST(p.vec AS DOUBLE[{DEFAULT_DIM}])), 2), 6),
+             p.id) AS rk
+    FROM qv q, pvec p) WHERE rk = 1)""",
+        f"""
+info AS (SELECT step, {info_sql('step')} FROM steps)""",
+        f"""
+gen AS (
+  SELECT p.step, p.review_id, e.m_product_name, g2.*
+  FROM pairs p JOIN top1 t ON t.step = p.step JOIN entries e ON e.id = t.id JOIN (
+    SELECT g.step AS gstep,
+           'Review title: ' || g.review_title || ' | Review text: ' || {text} || ' | Rating: ' || CAST(g.rating AS VARCHAR)
+           || ' | Recommended: ' || CAST(CAST(g.is_recommended AS DOUBLE) AS VARCHAR) || ' | Product summary: '
+           || {name} || ' by ' || coalesce(g.m_brand_name, '') || '. Highlights: ' || coalesce(g.m_highlights, '')
+           || '.' AS gen_text
+    FROM (SELECT i.*, e.m_product_name, e.m_brand_name, e.m_highlights
+          FROM info i JOIN top1 t ON t.step = i.step JOIN entries e ON e.id = t.id) g) g2 ON g2.gstep = p.step)""",
+    ]
+
+
+def sql_synth_fakes() -> str:
+    from credence.operators import augment as a
+
+    dup_n = seeded_int_sql("step", str(a.TROLL_MAX_COPIES + 1), "troll:")
+    comb_n = seeded_int_sql("step", str(a.TROLL_MAX_COMBINED + 1), "troll_comb:")
+    every = a.TROLL_EVERY
+    return with_(*_synth_ctes(1.0)) + f""",
+var AS (
+  SELECT step, 'generated' AS kind, 0 AS copy FROM gen
+  UNION ALL SELECT step, 'duplicate', c.range + 1 FROM gen, range(100) c
+    WHERE step % {every} = 0 AND c.range < {dup_n}
+  UNION ALL SELECT step, 'combined', 0 FROM gen WHERE step % 2 = 0
+  UNION ALL SELECT step, 'combined', c.range + 1 FROM gen, range(100) c
+    WHERE step % {every} = 0 AND step % 2 = 0 AND c.range < {comb_n}),
+keyed AS (
+  SELECT v.step, v.kind, v.copy, g.review_id, g.gen_text, g.m_product_name,
+         CASE WHEN v.kind = 'generated' THEN CAST(v.step AS VARCHAR)
+              WHEN v.kind = 'duplicate' THEN CAST(v.step AS VARCHAR) || ':dup:' || CAST(v.copy AS VARCHAR)
+              WHEN v.copy = 0 THEN CAST(v.step AS VARCHAR) || ':comb'
+              ELSE CAST(v.step AS VARCHAR) || ':combinfo:' || CAST(v.copy AS VARCHAR) END AS ikey,
+         CASE WHEN v.copy = 0 THEN CAST(v.step AS VARCHAR)
+              ELSE CAST(v.step AS VARCHAR) || ':comb:' || CAST(v.copy AS VARCHAR) END AS akey
+  FROM var v JOIN gen g ON g.step = v.step)
+SELECT step, kind, CAST(copy AS INTEGER) AS copy, review_id,
+       CASE WHEN kind = 'combined' THEN {augment_sql('gen_text', 'akey')} ELSE gen_text END AS context,
+       'fake' AS pseudo_label, {info_sql('ikey')},
+       CASE WHEN kind = 'generated' THEN m_product_name END AS meta_product_name
+FROM keyed"""
+
+
+def sql_augment_union() -> str:
+    return with_(*_synth_ctes(0.5)) + f""",
+rows_all AS (
+  SELECT 'o:' || CAST(pos AS VARCHAR) AS row_key, pseudo_label FROM qlabels
+  UNION ALL SELECT 's:' || CAST(step AS VARCHAR) || ':generated:0', 'fake' FROM gen)
+SELECT row_key, pseudo_label, row_number() OVER (ORDER BY {hkey('row_key')}) AS shuffle_rank FROM rows_all"""
+
+
+ORACLES.update({"synth_fakes": sql_synth_fakes, "augment_union": sql_augment_union})
