@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.functions.text import PY_WS
 from credence.schemas import META_FIELDS, PRODUCT_META_FIELDS
 
 # Labels of the review context parts, in output order, and their separator.
@@ -147,5 +146,5 @@ def parse_context(ctx: Column) -> Column:
 
 __all__ = [
     "context_text", "product_summary", "product_document", "product_id_default", "product_metadata",
-    "review_meta", "request_context", "parse_context", "PY_WS",
+    "review_meta", "request_context", "parse_context",
 ]

@@ -20,14 +20,20 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Per class (present in truth or predictions): tp, support, predicted, precision, recall, f1."""
+    """Per class (present in truth or predictions): tp, support, predicted, precision, recall, f1.
+
+    One pass: every confusion cell contributes to its true class and to its predicted class
+    (an explode of two entries), then one group-by over at most classes^2 rows."""
     c = confusion(df, label, prediction)
-    truth = c.groupBy(F.col("label").alias("cls")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    pred = c.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    j = truth.join(pred, "cls", "full_outer").select(
-        "cls", F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    n, same = F.col("n"), F.col("label") == F.col("prediction")
+    parts = F.array(
+        F.struct(F.col("label").alias("cls"), n.alias("support"), F.when(same, n).otherwise(0).alias("tp"),
+                 F.lit(0).cast("bigint").alias("predicted")),
+        F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("bigint").alias("support"),
+                 F.lit(0).cast("bigint").alias("tp"), n.alias("predicted")),
+    )
+    j = c.select(F.explode(parts).alias("p")).groupBy(F.col("p.cls").alias("cls")).agg(
+        F.sum("p.support").alias("support"), F.sum("p.tp").alias("tp"), F.sum("p.predicted").alias("predicted"))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     den = 2 * F.col("tp") + (F.col("predicted") - F.col("tp")) + (F.col("support") - F.col("tp"))
@@ -48,23 +54,39 @@ def metrics_summary(df: DataFrame, label: str = "label", prediction: str = "pred
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
                           digits: int = REPORT_DIGITS) -> DataFrame:
-    """Rows per class, then ``accuracy``, ``macro avg``, ``weighted avg``; zero division -> 0."""
-    pc = per_class(df, label, prediction)
+    """Rows per class, then ``accuracy``, ``macro avg``, ``weighted avg``; zero division -> 0.
+
+    The input is read once: the summary rows come from window aggregates over the
+    per-class table (a handful of rows) and are emitted by the first class row."""
+    every = Window.partitionBy()
+    pc = per_class(df, label, prediction).select(
+        "*",
+        F.sum("support").over(every).alias("__tot"),
+        F.sum("tp").over(every).alias("__tp"),
+        F.avg("precision").over(every).alias("__mp"), F.avg("recall").over(every).alias("__mr"),
+        F.avg("f1").over(every).alias("__mf"),
+        F.sum(F.col("precision") * F.col("support")).over(every).alias("__wp"),
+        F.sum(F.col("recall") * F.col("support")).over(every).alias("__wr"),
+        F.sum(F.col("f1") * F.col("support")).over(every).alias("__wf"),
+        (F.row_number().over(Window.orderBy("cls")) == 1).alias("__first"),
+    )
     r = lambda c: F.round(c, digits)
-    classes = pc.select(F.col("cls").cast("string").alias("class"), r(F.col("precision")).alias("precision"),
-                        r(F.col("recall")).alias("recall"), r(F.col("f1")).alias("f1"),
-                        F.col("support").cast("bigint").alias("support"))
-    tot = F.sum("support")
-    acc = pc.agg(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), r(F.sum("tp") / tot).alias("f1"),
-                 tot.cast("bigint").alias("support"))
-    macro = pc.agg(F.lit("macro avg").alias("class"), r(F.avg("precision")).alias("precision"),
-                   r(F.avg("recall")).alias("recall"), r(F.avg("f1")).alias("f1"), tot.cast("bigint").alias("support"))
-    weighted = pc.agg(
-        F.lit("weighted avg").alias("class"), r(F.sum(F.col("precision") * F.col("support")) / tot).alias("precision"),
-        r(F.sum(F.col("recall") * F.col("support")) / tot).alias("recall"),
-        r(F.sum(F.col("f1") * F.col("support")) / tot).alias("f1"), tot.cast("bigint").alias("support"))
-    return classes.unionByName(acc).unionByName(macro).unionByName(weighted)
+    tot = F.col("__tot")
+
+    def row(name, p, rc, f, sup):
+        return F.struct(name.alias("class"), p.alias("precision"), rc.alias("recall"), f.alias("f1"),
+                        sup.cast("bigint").alias("support"))
+
+    none = F.lit(None).cast("double")
+    own = row(F.col("cls").cast("string"), r(F.col("precision")), r(F.col("recall")), r(F.col("f1")), F.col("support"))
+    summary = F.array(
+        row(F.lit("accuracy"), none, none, r(F.col("__tp") / tot), tot),
+        row(F.lit("macro avg"), r(F.col("__mp")), r(F.col("__mr")), r(F.col("__mf")), tot),
+        row(F.lit("weighted avg"), r(F.col("__wp") / tot), r(F.col("__wr") / tot), r(F.col("__wf") / tot), tot),
+    )
+    empty = F.array().cast("array<struct<class:string,precision:double,recall:double,f1:double,support:bigint>>")
+    rows = F.concat(F.array(own), F.when(F.col("__first"), summary).otherwise(empty))
+    return pc.select(F.explode(rows).alias("row")).select("row.*")
 
 
 def running_accuracy(df: DataFrame, pos: str = "pos", label: str = "label", prediction: str = "prediction",
@@ -80,4 +102,4 @@ def distinct_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 __all__ = ["confusion", "per_class", "metrics_summary", "classification_report", "running_accuracy",
-           "distinct_labels", "Window"]
+           "distinct_labels"]

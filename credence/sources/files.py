@@ -125,5 +125,4 @@ def derived_paths(output: str) -> tuple[str, str]:
 
 
 __all__ = ["NA_TOKENS", "normalise_na", "with_file_position", "read_csv_table", "read_reviews_csv",
-           "read_products_csv", "write_csv", "read_jsonl", "limit_prefix", "write_jsonl", "derived_paths",
-           "Window"]
+           "read_products_csv", "write_csv", "read_jsonl", "limit_prefix", "write_jsonl", "derived_paths"]

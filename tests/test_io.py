@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from credence.schemas import CONTEXT_RECORD_SCHEMA
 from credence.sources import files
 
