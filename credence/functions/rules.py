@@ -188,9 +188,12 @@ def factual_label(context, retrieved, with_price: bool = False) -> Column:
 
 def with_factual_label(df, out_col: str = "fact_label", context: str = "context", retrieved: str = "retrieved",
                        with_price: bool = False):
+    """Add ``out_col``; review features are a struct column first (two projections, each
+    analysed once, instead of a chain of withColumn / drop)."""
     tmp = f"__rf_{out_col}"
-    return (df.withColumn(tmp, review_features(F.col(context), with_price))
-            .withColumn(out_col, factual_label_from(F.col(tmp), F.col(retrieved), with_price)).drop(tmp))
+    keep = [F.col(c) for c in df.columns if c != out_col]
+    staged = df.select(*keep, review_features(F.col(context), with_price).alias(tmp))
+    return staged.select(*keep, factual_label_from(F.col(tmp), F.col(retrieved), with_price).alias(out_col))
 
 
 # ---------------------------------------------------------------------------------------
@@ -272,8 +275,9 @@ def with_fake_score(df, out_col: str = "fake_score", context: str = "context", m
     """Add ``out_col``: the inputs are parsed into one struct column first, so the rule
     tree stays small enough for whole-stage codegen."""
     tmp = f"__si_{out_col}"
-    return (df.withColumn(tmp, score_inputs(F.col(context), F.col(meta), missing, strict_int))
-            .withColumn(out_col, score_from(F.col(tmp))).drop(tmp))
+    keep = [F.col(c) for c in df.columns if c != out_col]
+    staged = df.select(*keep, score_inputs(F.col(context), F.col(meta), missing, strict_int).alias(tmp))
+    return staged.select(*keep, score_from(F.col(tmp)).alias(out_col))
 
 
 def final_label(fact: Column, score: Column, context, meta, missing: str = "nan",

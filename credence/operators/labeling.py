@@ -14,14 +14,25 @@ def score_reviews(df: DataFrame, missing: str = "nan", strict_int: bool = True,
                   threshold: float = rules.FAKE_THRESHOLD) -> DataFrame:
     """Given ``context, meta, retrieved``: add ``fact_label``, ``fake_score``, ``pseudo_label``.
 
-    Re-running is a re-label: any earlier ``pseudo_label`` is overwritten."""
-    facts = rules.with_factual_label(df, "fact_label", with_price=with_price)
-    scored = rules.with_fake_score(facts, "fake_score", missing=missing, strict_int=strict_int)
-    return (
-        scored
-        .withColumn("pseudo_label", rules.final_label(F.col("fact_label"), F.col("fake_score"), F.col("context"),
-                                                      F.col("meta"), missing=missing, threshold=threshold))
-    )
+    Re-running is a re-label: any earlier ``pseudo_label`` is overwritten. Built as three
+    wide projections (parsed inputs, then fact + score, then the label) so the rule trees
+    are analysed a fixed number of times."""
+    base = [c for c in df.columns if c not in ("fact_label", "fake_score", "pseudo_label", "__rf", "__si")]
+    ctx = F.col("context")
+    staged = df.select(*base, rules.review_features(ctx, with_price).alias("__rf"),
+                       rules.score_inputs(ctx, F.col("meta"), missing, strict_int).alias("__si"))
+    scored = staged.select(*base, "__si",
+                           rules.factual_label_from(F.col("__rf"), F.col("retrieved"), with_price).alias("fact_label"),
+                           rules.score_from(F.col("__si")).alias("fake_score"))
+    label = (F.when(F.col("fact_label") == "fake", F.lit("fake"))
+             .when(F.col("fake_score") > F.lit(float(threshold)), F.lit("fake"))
+             .when((F.length(F.coalesce(ctx, F.lit(""))) >= rules.MIN_REAL_CONTEXT_CHARS) & F.col("__si.has_rating"),
+                   F.lit("real"))
+             .otherwise(F.lit("fake")))
+    ordered = [c for c in df.columns if c not in ("fact_label", "fake_score")]
+    ordered = ordered if "pseudo_label" in ordered else ordered + ["pseudo_label"]
+    out = [label.alias("pseudo_label") if c == "pseudo_label" else F.col(c) for c in ordered]
+    return scored.select(*out, "fact_label", "fake_score")
 
 
 def label_reviews(records: DataFrame, collection: DataFrame, k: int = 3, missing: str = "nan",
