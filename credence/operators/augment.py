@@ -300,3 +300,31 @@ def augment_union(records: DataFrame, synthetic: DataFrame, seed: int = 0) -> Da
                                                    F.col("kind"), F.lit(":"), F.col("copy").cast("string")))
     both = orig.unionByName(syn, allowMissingColumns=True)
     return sampling.hash_rank(both, seed, "row_key", out_col="shuffle_rank")
+
+
+def batch_generator(fn, deterministic: bool = False):
+    """Plug a batch text generator (e.g. a local LLM client) into ``synth_fakes``:
+    ``fn(prompts: list[str], attempt: int) -> list[str | None]``. Prompts are built with
+    ``build_prompt`` from the real and fake texts and the product facts; the call runs as
+    an Arrow-batched UDF on the executors, and failed or malformed outputs are retried by
+    ``generate_with_retry``."""
+    from pyspark.sql.types import StringType
+
+    def make(attempt: int):
+        @F.pandas_udf(StringType())
+        def _gen(prompts):  # pandas Series -> pandas Series
+            import pandas as pd
+
+            return pd.Series(fn(list(prompts), attempt), dtype=object)
+
+        return _gen
+
+    udfs = {}
+
+    def generator(cols: dict, attempt: int) -> Column:
+        if attempt not in udfs:
+            udfs[attempt] = make(attempt)
+        return udfs[attempt](build_prompt(cols["real"], cols["fake"], cols["meta"]))
+
+    generator.deterministic = deterministic  # type: ignore[attr-defined]
+    return generator

@@ -33,3 +33,37 @@ def test_template_generator_output_is_valid(spark):
     got = spark.range(1).select(augment.template_generator(cols, 0).alias("g"),
                                 rules.format_valid(augment.template_generator(cols, 0)).alias("ok")).first()
     assert got.ok and got.g.startswith("Review title: ")
+
+
+def test_batch_generator_retries(spark):
+    from credence.plans import catalog
+    from conftest import SF_SMALL
+
+    calls = []
+
+    def fake_llm(prompts, attempt):
+        # attempt 0 returns junk, attempt 1 a well-formed context: the retry must take it
+        calls.append(attempt)
+        if attempt == 0:
+            return ["not the format" for _ in prompts]
+        return ["Review title: t | Review text: x | Rating: 5 | Product summary: p by b. Highlights: h."
+                for _ in prompts]
+
+    base = catalog._qlabels(spark, SF_SMALL).withColumn("meta", F.struct(*[
+        F.lit(None).cast("string").alias(f) for f in augment.META_FIELDS]))
+    from credence.plans import jobs
+    out = augment.synth_fakes(base, jobs.product_collection(spark, SF_SMALL), ratio=0.2, seed=1,
+                              generator=augment.batch_generator(fake_llm))
+    rows = out.collect()
+    assert rows and all(r.context.startswith("Review title: t") for r in rows)
+
+
+def test_batch_embedder(spark):
+    import numpy as np
+
+    from credence.operators import retrieval
+
+    emb = retrieval.batch_embedder(lambda texts: np.array([[len(t), 1.0] for t in texts]), 2)
+    df = spark.createDataFrame([("abc",), (None,)], "t string")
+    got = [r.v for r in retrieval.embed_texts(df, "t", "v", embedder=emb).collect()]
+    assert got == [[3.0, 1.0], [0.0, 1.0]]
