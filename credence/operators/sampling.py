@@ -46,12 +46,19 @@ def bucketed_rank(df: DataFrame, part_cols: list[str], order_cols: list[str], bu
     return joined.withColumn(out_col, F.row_number().over(within) + F.col("__off")).drop("__bk", "__off")
 
 
+BUCKETS_PER_CORE = 8
+
+
 def hash_rank(df: DataFrame, seed: int, key: str, part_cols: list[str] | None = None, out_col: str = "rank",
               total: int | None = None) -> DataFrame:
-    """Rank rows by ``md5('<seed>:<key>')`` within ``part_cols`` (a seeded shuffle order)."""
+    """Rank rows by ``md5('<seed>:<key>')`` within ``part_cols`` (a seeded shuffle order).
+
+    The md5 key is uniform, so buckets cut along it are even. Without a known ``total``
+    the bucket count follows the cluster (several buckets per core), so no counting pass
+    over the input is needed; with one, buckets hold at most ``TARGET_BUCKET_ROWS`` rows."""
     part_cols = part_cols or []
-    total = df.count() if total is None else total
-    nb = _n_buckets(total)
+    per_cluster = df.sparkSession.sparkContext.defaultParallelism * BUCKETS_PER_CORE
+    nb = _n_buckets(total) if total is not None else per_cluster
     h = df.withColumn("__hk", seeded_key(seed, key))
     bucket = F.floor(F.conv(F.substring("__hk", 1, 8), 16, 10).cast("bigint") * F.lit(nb) / F.lit(4294967296.0))
     return bucketed_rank(h, part_cols, ["__hk"], bucket.cast("bigint"), out_col).drop("__hk")
