@@ -65,11 +65,6 @@ def safe_int(c, strict: bool = True) -> Column:
     return F.coalesce(exact, loose)
 
 
-def nullif_empty(c) -> Column:
-    c = col_(c)
-    return F.when(c != F.lit(""), c)
-
-
 def flatten_newlines(c) -> Column:
     """``text.replace('\\n', ' ').strip()``."""
     return py_strip(F.replace(col_(c), F.lit("\n"), F.lit(" ")))
