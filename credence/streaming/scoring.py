@@ -90,3 +90,11 @@ def flag_duplicates_stream(df: DataFrame, col: str, order_col: str, event_time:
     flags = keyed.groupBy("__h").applyInPandasWithState(
         _dup_state_fn, _DUP_OUT, _DUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return flags.select(F.col("row_key"), F.col("is_duplicate"))
+
+
+def drop_duplicates_stream(df: DataFrame, col: str, event_time: str, delay: str = "1 day") -> DataFrame:
+    """Streaming "cleaned" output: later copies of a text within the watermark are dropped
+    (Spark's built-in ``dropDuplicatesWithinWatermark`` on the text hash; state expires
+    with the watermark)."""
+    keyed = df.withWatermark(event_time, delay).withColumn("__h", content_hash(F.col(col)))
+    return keyed.dropDuplicatesWithinWatermark(["__h"]).drop("__h")

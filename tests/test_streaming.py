@@ -31,3 +31,16 @@ def test_duplicates_across_micro_batches(spark):
     got = {r.row_key: r.is_duplicate for r in spark.read.parquet(out + "/data").collect()}
     assert got == {"1": False, "2": False, "3": True, "4": True, "5": False, "6": True}
     assert len(q.recentProgress) >= 2  # two micro-batches: the state carried across them
+
+
+def test_drop_duplicates_stream(spark):
+    src = tempfile.mkdtemp(prefix="credence-stream-drop-")
+    _write(os.path.join(src, "a.csv"), [("1", "same words"), ("2", "other"), ("3", "same words")])
+    stream = scoring.read_review_stream(spark, src, ["review_id", "review_text"])
+    stream = stream.withColumn("ts", F.timestamp_seconds(F.col("review_id").cast("long") + 1_600_000_000))
+    cleaned = scoring.drop_duplicates_stream(stream, "review_text", "ts", "3650 days")
+    out = tempfile.mkdtemp(prefix="credence-stream-drop-out-")
+    q = scoring.start_file_sink(cleaned.select("review_id", "review_text"), out + "/data", out + "/ckpt")
+    q.awaitTermination()
+    got = sorted(r.review_text for r in spark.read.parquet(out + "/data").collect())
+    assert got == ["other", "same words"]
