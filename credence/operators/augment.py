@@ -164,6 +164,10 @@ def generate_with_retry(df: DataFrame, cols: dict, generator: Callable[[dict, in
     called once (repeating it cannot turn a rejected text into an accepted one)."""
     if getattr(generator, "deterministic", False):
         attempts = 1
+    if attempts == 1:  # one projection: nothing to retry
+        g = F.trim(generator(cols, 0))
+        ok = g.isNotNull() & (g != "") & rules.format_valid(g)
+        return df.select("*", F.when(ok, g).alias(out_col))
     out = df
     result = None
     for a in range(attempts):
@@ -231,10 +235,12 @@ def synth_fakes(records: DataFrame, collection: DataFrame, n_samples: int | None
     pairs = pair_real_fake(records, n_samples, ratio, seed, label_field, pos)
     q = retrieval.embed_texts(pairs, "context", "__qvec")
     top1 = retrieval.topk_similar(q, collection, k=1, vec_col="__qvec", out_col="__top", **retrieval_kw)
-    top1 = top1.drop("__qvec").withColumn("__pmeta", F.element_at("__top", 1)["metadata"]).drop("__top")
     step = F.col("step")
-    # Draws are materialised once as struct columns, then referenced field by field.
-    top1 = top1.withColumn("__info", random_review_info(seed, step))
+    # Product facts and the draws become struct columns in one projection, then are
+    # referenced field by field.
+    top1 = top1.select(*[c for c in top1.columns if c not in ("__qvec", "__top")],
+                       F.element_at("__top", 1)["metadata"].alias("__pmeta"),
+                       random_review_info(seed, step).alias("__info"))
     cols = {"meta": F.col("__pmeta"), "info": F.col("__info"), "real": F.col("context"),
             "fake": F.col("fake_context")}
     gen = generate_with_retry(top1, cols, generator, "__gen").where(F.col("__gen").isNotNull())
