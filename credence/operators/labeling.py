@@ -116,3 +116,8 @@ def running_label_counts(df: DataFrame, pos: str = "pos", label_col: str = "pseu
         "fake_count": F.when(is_fake, 1).otherwise(0),
         "total_count": F.lit(1),
     }, bucket_rows)
+
+
+def distinct_by_text(df: DataFrame, col: str = "context", pos: str = "pos") -> DataFrame:
+    """First occurrence of every text (later identical copies removed)."""
+    return flag_duplicates(df, col, pos, label_col="__none").where(~F.col("is_duplicate")).drop("is_duplicate")

@@ -1078,3 +1078,11 @@ SELECT row_key, pseudo_label, row_number() OVER (ORDER BY {hkey('row_key')}) AS
 
 
 ORACLES.update({"synth_fakes": sql_synth_fakes, "augment_union": sql_augment_union})
+
+
+def sql_distinct_texts() -> str:
+    return with_(REVIEWS) + """
+SELECT review_id FROM reviews QUALIFY pos = min(pos) OVER (PARTITION BY coalesce(review_text, ''))"""
+
+
+ORACLES.update({"distinct_texts": sql_distinct_texts})

@@ -654,3 +654,10 @@ QUERIES.update({
     "stream_label_reviews": q_stream_label_reviews,
     "stream_flag_duplicates": q_stream_flag_duplicates,
 })
+
+
+def q_distinct_texts(spark, sf):
+    return labeling.distinct_by_text(testdata.reviews(spark, sf), "review_text").select("review_id")
+
+
+QUERIES.update({"distinct_texts": q_distinct_texts})

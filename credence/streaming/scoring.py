@@ -93,8 +93,9 @@ def flag_duplicates_stream(df: DataFrame, col: str, order_col: str, event_time:
 
 
 def drop_duplicates_stream(df: DataFrame, col: str, event_time: str, delay: str = "1 day") -> DataFrame:
-    """Streaming "cleaned" output: later copies of a text within the watermark are dropped
+    """Streaming "cleaned" output: one copy of each text within the watermark is kept
     (Spark's built-in ``dropDuplicatesWithinWatermark`` on the text hash; state expires
-    with the watermark)."""
+    with the watermark). The copy kept is the first to *arrive*, not the first by file
+    position; ``flag_duplicates_stream`` gives position-exact flags."""
     keyed = df.withWatermark(event_time, delay).withColumn("__h", content_hash(F.col(col)))
     return keyed.dropDuplicatesWithinWatermark(["__h"]).drop("__h")
