@@ -39,7 +39,12 @@ def _csv_reader(spark: SparkSession, glob_filter: str | None = None):
     return r.option("pathGlobFilter", glob_filter) if glob_filter else r
 
 
-def with_file_position(df: DataFrame, file_col: str = "__file", out_col: str = "pos") -> DataFrame:
+# Largest per-file table broadcast back to the rows (one small row per input file).
+MAX_BROADCAST_FILES = 200_000
+
+
+def with_file_position(df: DataFrame, file_col: str = "__file", out_col: str = "pos",
+                       n_files: int | None = None) -> DataFrame:
     """``pos`` = rank of the file path * POS_STRIDE + row number inside the file.
 
     Multi-line CSV files are never split, so a file's rows are contiguous in one scan
@@ -50,7 +55,11 @@ def with_file_position(df: DataFrame, file_col: str = "__file", out_col: str = "
     per_file = tagged.groupBy(file_col).agg(F.min("__mid").alias("__m0"))
     per_file = per_file.withColumn("__fi", F.row_number().over(Window.orderBy(file_col)) - 1)
     pos = F.col("__fi") * F.lit(POS_STRIDE) + (F.col("__mid") - F.col("__m0"))
-    return (tagged.join(F.broadcast(per_file), file_col, "inner").withColumn(out_col, pos)
+    # The per-file table has one row per input file: broadcast it when the file count
+    # (known from the listing) is within bounds; otherwise let the planner choose.
+    small = n_files is not None and n_files <= MAX_BROADCAST_FILES
+    side = F.broadcast(per_file) if small else per_file
+    return (tagged.join(side, file_col, "inner").withColumn(out_col, pos)
             .drop("__mid", "__m0", "__fi", file_col))
 
 
@@ -61,7 +70,7 @@ def read_csv_table(spark: SparkSession, paths, glob_filter: str | None = None,
     data_cols = [c for c in raw.columns]
     raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in data_cols],
                      F.col("_metadata.file_path").alias("__file"))
-    out = normalise_na(with_file_position(raw), data_cols)
+    out = normalise_na(with_file_position(raw, n_files=len(raw.inputFiles())), data_cols)
     if columns:
         for c in columns:
             if c not in out.columns:
