@@ -64,14 +64,15 @@ def encode_labels_strict(df: DataFrame, label_col: str = "pseudo_label", text_co
     lab = F.col(label_col)
     return (df.where(lab.isin("fake", "real"))
             .withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
-            .withColumn("label", F.when(lab == "fake", 0).otherwise(1).cast("int")))
+            .withColumn("label", F.when(lab == "fake", TRAIN_CODES["fake"]).otherwise(TRAIN_CODES["real"]).cast("int")))
 
 
 def encode_labels_lenient(df: DataFrame, label_col: str = "pseudo_label", text_col: str = "context") -> DataFrame:
     """Evaluation examples: every row kept; anything but ``fake`` is real (1)."""
     lab = F.col(label_col)
     return (df.withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
-            .withColumn("label", F.when(F.coalesce(lab == "fake", F.lit(False)), 0).otherwise(1).cast("int")))
+            .withColumn("label", F.when(F.coalesce(lab == "fake", F.lit(False)), TRAIN_CODES["fake"])
+                        .otherwise(TRAIN_CODES["real"]).cast("int")))
 
 
 def explain_examples(df: DataFrame, label_col: str = "pseudo_label", context_col: str = "context") -> DataFrame:
@@ -85,4 +86,5 @@ def explain_examples(df: DataFrame, label_col: str = "pseudo_label", context_col
 
 def label_totals(df: DataFrame) -> DataFrame:
     """real/fake example counts of an encoded set (label 1/0)."""
-    return df.agg(F.count_if(F.col("label") == 1).alias("real_count"), F.count_if(F.col("label") == 0).alias("fake_count"))
+    return df.agg(F.count_if(F.col("label") == TRAIN_CODES["real"]).alias("real_count"),
+                  F.count_if(F.col("label") == TRAIN_CODES["fake"]).alias("fake_count"))

@@ -11,7 +11,8 @@ from conftest import SF_SMALL
 FAST_KEYS = ["label_reviews", "topk_similar_products", "build_context", "balanced_dataset", "stratified_split",
              "flag_duplicates", "classification_report", "running_label_counts", "augment_text", "pair_real_fake",
              "explain_reviews", "scan_reviews_csv", "sort_products", "parse_context", "fake_score", "label_counts",
-             "metrics_summary", "text_norm", "random_review_info", "safe_casts"]
+             "metrics_summary", "text_norm", "random_review_info", "safe_casts", "distinct_texts",
+             "encode_labels_strict", "encode_labels_lenient"]
 
 
 def test_entry(spark):
