@@ -88,27 +88,29 @@ def explain_reviews(df: DataFrame, label_col: str = "pseudo_label") -> DataFrame
 
 def rule_flags(df: DataFrame, own_col: str = "own") -> DataFrame:
     """Per-rule booleans of a review against one product struct (``id, document, metadata``)
-    plus the heuristic score, for ``explain_reviews``."""
-    feat = rules.review_features(F.col("context"))
-    meta = F.col(f"{own_col}.metadata")
+    plus the heuristic score, for ``explain_reviews``. Three projections: parsed inputs,
+    then the rule flags and score, then the label."""
+    base = [c for c in df.columns if c not in REASON_NAMES + ["fake_score", "pseudo_label", "__f", "__si"]]
+    staged = df.select(*base, rules.review_features(F.col("context")).alias("__f"),
+                       rules.score_inputs(F.col("context"), F.col("meta")).alias("__si"))
+    f, meta = F.col("__f"), F.col(f"{own_col}.metadata")
     h = F.coalesce(meta["highlights"], F.lit(""))
-    out = df.withColumn("__f", feat)
-    f = F.col("__f")
     has = lambda c, w: F.coalesce(F.contains(c, F.lit(w)), F.lit(False))
-    out = out.withColumn("skin_type", (f["oily"] & has(h, "dry")) | (f["dry"] & has(h, "oily")))
     gendered = has(h, "men") | has(h, "women") | has(h, "unisex") | has(h, "gender-neutral") | has(h, "genderless")
-    out = out.withColumn("gender", f["men"] & gendered & ~has(h, "unisex") & ~has(h, "genderless"))
-    out = out.withColumn("capacity", F.coalesce(rules.capacity_mismatch(f["ml"], meta["size"]), F.lit(False)))
-    out = out.withColumn("online_only", F.coalesce(meta["online_only"].isNotNull() & (meta["online_only"] != "")
-                                                   & f["store"], F.lit(False)))
-    out = rules.with_fake_score(out, "fake_score")
-    out = out.withColumn("heuristic_score", F.col("fake_score") > F.lit(float(rules.FAKE_THRESHOLD)))
-    si = rules.score_inputs(F.col("context"), F.col("meta"))
-    out = out.withColumn("__si", si).withColumn(
-        "too_short_or_unrated",
-        ~((F.length(F.coalesce(F.col("context"), F.lit(""))) >= rules.MIN_REAL_CONTEXT_CHARS) & F.col("__si.has_rating")))
+    score = rules.score_from(F.col("__si"))
+    flagged = staged.select(
+        *base,
+        ((f["oily"] & has(h, "dry")) | (f["dry"] & has(h, "oily"))).alias("skin_type"),
+        (f["men"] & gendered & ~has(h, "unisex") & ~has(h, "genderless")).alias("gender"),
+        F.coalesce(rules.capacity_mismatch(f["ml"], meta["size"]), F.lit(False)).alias("capacity"),
+        F.coalesce(meta["online_only"].isNotNull() & (meta["online_only"] != "") & f["store"],
+                   F.lit(False)).alias("online_only"),
+        score.alias("fake_score"),
+        (score > F.lit(float(rules.FAKE_THRESHOLD))).alias("heuristic_score"),
+        (~((F.length(F.coalesce(F.col("context"), F.lit(""))) >= rules.MIN_REAL_CONTEXT_CHARS)
+           & F.col("__si.has_rating"))).alias("too_short_or_unrated"),
+    )
     own_fact = F.col(own_col).isNotNull() & (F.col("skin_type") | F.col("gender") | F.col("capacity")
                                              | F.col("online_only"))
-    out = out.withColumn("pseudo_label", F.when(own_fact | F.col("heuristic_score") | F.col("too_short_or_unrated"),
-                                                F.lit("fake")).otherwise(F.lit("real")))
-    return out.drop("__f", "__si")
+    fake = own_fact | F.col("heuristic_score") | F.col("too_short_or_unrated")
+    return flagged.select("*", F.when(fake, F.lit("fake")).otherwise(F.lit("real")).alias("pseudo_label"))
