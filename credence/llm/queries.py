@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import exact_dedup, mixing
+from credence.llm import exact_dedup, mixing, packing, token_counts, token_files
+from credence.llm._scratch import folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,48 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_report(_read(spark, sf_dir, "documents"))
 
 
+def _tokenizer() -> str:
+    """Path of the public vocabulary file that the queries use (installed on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the rendered document "source:lang:text" per field, the text's first line apart."""
+    docs = _read(spark, sf_dir, "documents")
+    source, lang, text = (F.coalesce(F.col(c), F.lit("")) for c in ("source", "lang", "text"))
+    head = F.when(F.instr(text, "\n") > 0, F.instr(text, "\n") - 1).otherwise(F.char_length(text))
+    lang_at = F.char_length(source) + 1
+    text_at = lang_at + F.char_length(lang) + 1
+
+    def section(name, start, length):
+        return F.struct(F.lit(name).alias("name"), start.cast("int").alias("start"), (start + length).cast("int").alias("end"))
+
+    rendered = docs.select(
+        "doc_id",
+        F.concat(source, F.lit(":"), lang, F.lit(":"), text).alias("text"),
+        F.array(
+            section("source", F.lit(0), F.char_length(source)),
+            section("lang", lang_at, F.char_length(lang)),
+            section("first_line", text_at, head),
+            section("body", text_at + head, F.char_length(text) - head),
+        ).alias("sections"),
+    )
+    return token_counts.section_tokens(rendered, _tokenizer())
+
+
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), _tokenizer())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "token-files")
+    token_files.write_token_files(_read(spark, sf_dir, "documents"), path, _tokenizer())
+    return token_files.read_token_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_read(spark, sf_dir, "documents"))
 
@@ -70,6 +113,9 @@ SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM co
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_harmonic_packing": op5_harmonic_packing,
+    "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
 }
 
