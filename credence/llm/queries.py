@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import exact_dedup, mixing, packing, token_counts, token_files
+from credence.llm import exact_dedup, licenses, mixing, packing, quality, token_counts, token_files
 from credence.llm._scratch import folder
 
 
@@ -55,6 +55,15 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-files")
     token_files.write_token_files(_read(spark, sf_dir, "documents"), path, _tokenizer())
@@ -111,15 +120,53 @@ copied AS (
 SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM copied
 """
 
+def _op6_sql() -> str:
+    values = ", ".join(f"({t}, '{label}', {str(base).lower()}, {at}, '{word}', {str(key).lower()})" for t, label, base, at, word, key in licenses.postings())
+    return f"""
+WITH postings(template, label, base, position, word, mandatory) AS (VALUES {values}),
+files AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+places AS (
+  SELECT r, unnest(words) AS word, unnest(range(len(words))) AS pos FROM files),
+licence AS (SELECT * FROM places WHERE word IN (SELECT word FROM postings)),
+df AS (SELECT word, count(DISTINCT r) AS df FROM licence GROUP BY word),
+weighed AS (
+  SELECT p.*, ln(((SELECT count(*) FROM files) + 1.0::DOUBLE) / (coalesce(df, 0) + 1)) + 1e-6::DOUBLE AS idf
+  FROM postings p LEFT JOIN df USING (word)),
+indexed AS (
+  SELECT *, sum(idf) OVER (PARTITION BY template) AS total,
+         sum(CAST(mandatory AS INT)) OVER (PARTITION BY template) AS n_key,
+         row_number() OVER (PARTITION BY template ORDER BY mandatory DESC, round(idf, 9) DESC, position) = 1 AS anchor
+  FROM weighed),
+aligned AS (
+  SELECT r, template, label, base, pos - position AS start,
+         least(1.0::DOUBLE, round(sum(idf) / max(total), 6)) AS share
+  FROM licence JOIN indexed USING (word) GROUP BY ALL
+  HAVING bool_or(anchor) AND sum(CAST(mandatory AS INT)) = max(n_key) AND round(sum(idf) / max(total), 6) >= {licenses.MIN_SHARE}),
+found AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels,
+         array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
+  FROM aligned GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM files LEFT JOIN found USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_license_scan": op6_license_scan,
+    "op7_quality_cotraining": op7_quality_cotraining,
     "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
+    "op6_license_scan": _op6_sql(),
     "op9_mix_sources": OP9_SQL,
 }
