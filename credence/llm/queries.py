@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, substring_dedup, token_counts, token_files
+from credence.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, substring_dedup, token_counts, token_files, vector_dedup
 from credence.llm._scratch import folder
 
 
@@ -15,6 +15,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_counts(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
@@ -165,6 +169,7 @@ FROM files LEFT JOIN found USING (r)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
