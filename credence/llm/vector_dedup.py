@@ -3,11 +3,11 @@
 Vectors are rotated by a seeded random orthogonal matrix and cut in two halves; each half has B
 random unit code words, and a filter direction is the concatenation of one code word from each, so
 B * B filters need only 2 * B inner products. List decoding enumerates, for each vector, all filters
-it exceeds: half scores are taken in falling order, and pairs that cannot reach the cap's height are
-dropped at once. Vectors that share a filter (and label) are compared by cosine in double precision.
-B grows with the number of distinct vectors, so a filter holds about as many unrelated vectors at
-any size; the cap's height is set so that a vector exceeds ``FILTERS`` of them on average, which
-keeps the recall (measured: tests, README).
+it exceeds at its own cap height: the r-th and s-th best code words of the halves can only be among
+the L best sums if r * s <= L, so the other pairs are never looked at. Vectors that share a filter
+(and label) are compared by cosine in double precision. B grows with the number of distinct vectors,
+so a filter holds about as many unrelated vectors at any size; the height leaves a vector 16
+filters up to B = 128 and 8 more for each doubling of B, which keeps the recall (tests, README).
 
 A pair is counted in the smallest filter both exceed, so counts need no list of pairs: each task
 returns link counts per vector and star edges per local component. A filter with more than
@@ -25,7 +25,6 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from credence.llm._scratch import materialize
 from credence.llm.components import components
 
 THRESHOLD = 0.93
-FILTERS = 16
+MIN_FILTERS = 16
 MIN_WORDS = 64
 BLOCK_ROWS = 2000
 PAIR_ROWS = 64  # filters with up to so many vectors are compared many at once
@@ -49,45 +48,34 @@ SEED = 20
 class Code:
     """The product code for vectors of ``dim`` components."""
 
-    def __init__(self, dim: int, words: int, filters: float, seed: int = SEED):
+    def __init__(self, dim: int, words: int, seed: int = SEED):
         rng = np.random.default_rng([seed, dim])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.half = max(1, dim // 2)
-        self.words = [self._unit(rng.standard_normal((words, size))) for size in (self.half, max(1, dim - self.half))]
+        sizes = (self.half, max(1, dim - self.half))
+        self.words = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((words, n)) for n in sizes)]
         self.n = words
-        share = min(0.5, filters / (words * words))
-        self.height = NormalDist().inv_cdf(1 - share) / np.sqrt(dim) * np.sqrt(2)
-
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.filters = min(words, max(MIN_FILTERS, 8 * (words.bit_length() - 1) - 40))
+        # the r-th and s-th best code words can be among the best L sums only if r * s <= L
+        r, q = np.nonzero(np.outer(np.arange(1, self.filters + 1), np.arange(1, self.filters + 1)) <= self.filters)
+        self.pairs = r, q
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, filter) of every filter that a unit vector exceeds, in this order; at least the
-        best filter of each vector."""
+        """(vector, filter), ascending: all filter directions that each unit vector exceeds at its
+        own cap height, which is that of its ``filters``-th best direction."""
         x = unit @ self.turn
-        a = x[:, : self.half] @ self.words[0].T
-        rest = x[:, self.half :] if x.shape[1] > self.half else np.zeros((len(x), 1))
-        b = rest @ self.words[1].T
-        rank = np.argsort(-b, axis=1, kind="stable")
-        best = np.take_along_axis(b, rank, 1)
-        least = np.minimum(self.height, a.max(1) + best[:, 0])
-        vec, first = np.nonzero(a >= (least - best[:, 0])[:, None])
-        out_v, out_f = [vec], [first * self.n + rank[vec, 0]]
-        for r in range(1, self.n):
-            go_on = a[vec, first] + best[vec, r] >= least[vec]
-            vec, first = vec[go_on], first[go_on]
-            if len(vec) == 0:
-                break
-            out_v.append(vec)
-            out_f.append(first * self.n + rank[vec, r])
-        v, f = np.concatenate(out_v), np.concatenate(out_f)
-        order = np.lexsort((f, v))
-        return v[order], f[order]
-
-
-def _units(bodies: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(bodies), "<f8").reshape(len(bodies), -1)
+        halves = (x[:, : self.half], x[:, self.half :] if x.shape[1] > self.half else np.zeros((len(x), 1)))
+        scores = [h @ w.T for h, w in zip(halves, self.words, strict=True)]
+        rank = [np.argsort(-s, axis=1, kind="stable")[:, : self.filters] for s in scores]
+        a, b = (np.take_along_axis(s, k, 1) for s, k in zip(scores, rank, strict=True))
+        r, q = self.pairs
+        best = np.argsort(-(a[:, r] + b[:, q]), axis=1, kind="stable")[:, : self.filters]
+        f = np.take_along_axis(rank[0], r[best], 1) * self.n + np.take_along_axis(rank[1], q[best], 1)
+        return np.repeat(np.arange(len(x)), f.shape[1]), np.sort(f, axis=1).ravel()
+
+
+def _units(bodies: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(bodies), kind).reshape(len(bodies), -1).astype(float)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -106,7 +94,7 @@ def _star_edges(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return x, low[x]
 
 
-def _compare(table: pa.Table, at: np.ndarray, threshold: float) -> pa.RecordBatch:
+def _compare(table: pa.Table, at: np.ndarray, threshold: float, kind: str) -> pa.RecordBatch:
     """Link counts (u, null, n) and star edges (u, v, 0) of whole (filter, block pair) groups."""
     ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
     own, filter_ = table.column("own").to_numpy(), table.column("filter").to_numpy()
@@ -124,8 +112,8 @@ def _compare(table: pa.Table, at: np.ndarray, threshold: float) -> pa.RecordBatc
     for groups in by_dim.values():
         m = size[groups]
         rows = np.concatenate([np.arange(at[g], at[g + 1]) for g in groups])
-        unit = np.zeros((len(ids), len(bodies[rows[0]]) // 8))
-        unit[rows] = _units([bodies[r] for r in rows.tolist()])
+        unit = np.zeros((len(ids), len(bodies[rows[0]]) // np.dtype(kind).itemsize))
+        unit[rows] = _units([bodies[r] for r in rows.tolist()], kind)
         # each row against the rows after it in its group
         last = np.repeat(at[np.array(groups) + 1], m)
         n_after = last - rows - 1
@@ -146,7 +134,7 @@ def _compare(table: pa.Table, at: np.ndarray, threshold: float) -> pa.RecordBatc
 
     for g in np.flatnonzero(size > PAIR_ROWS).tolist():
         s = slice(int(at[g]), int(at[g + 1]))
-        unit = _units(bodies[s])
+        unit = _units(bodies[s], kind)
         near = unit @ unit.T >= threshold
         if cross[s.start]:
             near &= own[s][:, None] != own[s][None, :]
@@ -183,11 +171,13 @@ def _first_common(a: pa.Scalar, b: pa.Scalar) -> int:
     return min(set(a.as_py()) & set(b.as_py()))
 
 
-def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, filters: float = FILTERS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: id, n_links (other vectors linked directly), component_id, kept."""
     spark = vectors.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    x = F.col(vector_col) if single else F.transform(F.col(vector_col), lambda v: v.cast("double"))
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     usable = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & whole
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), x.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
@@ -210,19 +200,19 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, filters: float
                 dims = values.value_lengths().to_numpy()
                 for dim in np.unique(dims).tolist():
                     which = np.flatnonzero(dims == dim)
-                    raw = values.take(pa.array(which)).flatten().to_numpy().reshape(len(which), dim)
-                    code = codes.setdefault(dim, Code(dim, words, filters))
+                    raw = values.take(pa.array(which)).flatten().to_numpy().astype(float).reshape(len(which), dim)
+                    code = codes.setdefault(dim, Code(dim, words))
                     v, f = code.decode(raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None])
                     at = np.searchsorted(v, np.arange(len(which) + 1)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(f))
-                    bodies = pa.array([r.astype("<f8").tobytes() for r in raw], pa.binary())
+                    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32)))
+                    bodies = pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary())
                     one, per = pa.array(which[v]), pa.array(v)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(v), dim, np.int32)), part.column(1).take(one), pa.array(f), part.column(0).take(one),
                         part.column(2).take(one), bodies.take(per), lists.take(per),
                     ], names=["dim", "label", "filter", "id", "times", "vector", "filters"])
 
-    schema = "dim int, label string, filter long, id long, times long, vector binary, filters array<long>"
+    schema = "dim int, label string, filter long, id long, times long, vector binary, filters array<int>"
     spread = reps.select("id", "label", "times", "vector").repartition(parts, "id").mapInArrow(decode, schema)
     spread = materialize(spread, "caps")
     key = ["dim", "label", "filter"]
@@ -235,7 +225,7 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, filters: float
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, 5, 8000):
-            yield _compare(table, at, threshold)
+            yield _compare(table, at, threshold, kind)
 
     order = [*key, "i", "j"]
     found = placed.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "u long, v long, n long")
