@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
 
 

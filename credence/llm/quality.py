@@ -7,7 +7,7 @@ rounds each view gives the other its confident pseudo-labels of a bounded unlabe
 view's logit is then calibrated, and both are combined, by a logistic fit on a held-out fold. Every
 document, whole text, is scored on the executors. A document is rejected when a combined probability
 reaches the target's limit: at least 0.5, and high enough that at most ``FALSE_REJECTS`` of the
-held-out good documents reach it.
+good documents reach it, of the held-out ones and of all that are known.
 
 Bounds: ``PER_CLASS`` labelled documents of each of (good, low quality, toxic) and ``POOL``
 unlabelled ones are fitted on, taken in md5 order of their ids; only their features reach the
@@ -154,7 +154,7 @@ def _choose(doc: np.ndarray, bins: np.ndarray, y: np.ndarray, use: np.ndarray) -
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     z[pos + neg < 5] = 0
     best = np.argsort(-z, kind="stable")[:CHOSEN]
-    return np.sort(best[z[best] > 3])
+    return np.sort(best[z[best] > 4])
 
 
 def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: np.ndarray, fold: np.ndarray) -> View:
@@ -171,7 +171,7 @@ def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.nda
         for name, x, other in (("text", text, "meta"), ("meta", meta, "text")):
             given = np.where(pool, pseudo[other], y)  # confident labels of the other view
             use = (train | pool) & ~np.isnan(given)
-            w = _logistic(x[use], given[use])
+            w = _logistic(x[use], given[use], max(1e-3, 2 / use.sum()))
             setattr(view, name, w)
             p = _sigmoid(x @ w[:-1] + w[-1])
             prior = y[train].mean()  # the fit is class-balanced: back to the sample's odds
@@ -179,10 +179,10 @@ def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.nda
             pseudo[name] = np.where(p <= CONFIDENT[0], 0.0, np.where(p >= CONFIDENT[1], 1.0, np.nan))
     logits = np.stack([text @ view.text[:-1] + view.text[-1], meta @ view.meta[:-1] + view.meta[-1]], 1)
     scale = np.maximum(logits[held].std(0), 1e-6)
-    w = _logistic(logits[held] / scale, y[held], l2=1e-3, steps=400)
+    w = _logistic(logits[held] / scale, y[held], max(1e-3, 2 / held.sum()), steps=400)
     view.combine = np.array([w[0] / scale[0], w[1] / scale[1], w[2]])
-    good = _sigmoid(logits[held & (y == 0)] @ view.combine[:2] + view.combine[2])
-    view.limit = max(0.5, float(np.quantile(good, 1 - FALSE_REJECTS)) + 1e-6)
+    reach = [_sigmoid(logits[s & (y == 0)] @ view.combine[:2] + view.combine[2]) for s in (held, known)]
+    view.limit = max(0.5, *(float(np.quantile(good, 1 - FALSE_REJECTS)) + 1e-6 for good in reach))
     return view
 
 

@@ -215,10 +215,10 @@ def _kept(data: np.ndarray, offsets: np.ndarray, spans: list) -> tuple[np.ndarra
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` (without its text) with n_words, n_removed and kept_text."""
     found = factors(docs, window, anchor, hot_rows, id_col, text_col)
-    spans = found.groupBy("id", "fp").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    spans = found.groupBy(F.col("id").alias("__id"), F.col("fp").alias("__print")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     rest = [c for c in docs.columns if c not in (text_col, "n_words", "n_removed", "kept_text")]
     rows = docs.withColumn("__fp", F.xxhash64(text_col))
-    rows = rows.join(spans, (rows[id_col] == spans["id"]) & (rows["__fp"] == spans["fp"]), "left").select(F.col(text_col).alias("__text"), "__spans", *rest)
+    rows = rows.join(spans, (rows[id_col] == spans["__id"]) & (rows["__fp"] == spans["__print"]), "left").select(F.col(text_col).alias("__text"), "__spans", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.chunks(batches, "__text"):

@@ -53,12 +53,12 @@ class Code:
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.half = max(1, dim // 2)
         sizes = (self.half, max(1, dim - self.half))
-        self.words = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((words, n)) for n in sizes)]
-        self.n = words
-        self.filters = min(words, max(MIN_FILTERS, 8 * (words.bit_length() - 1) - 40))
+        # short halves take at most 2 ** size code words: very short vectors exceed every filter
+        self.words = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((min(words, 2 ** min(n, 32)), n)) for n in sizes)]
+        self.filters = max(MIN_FILTERS, 8 * (words.bit_length() - 1) - 40)
         # the r-th and s-th best code words can be among the best L sums only if r * s <= L
-        r, q = np.nonzero(np.outer(np.arange(1, self.filters + 1), np.arange(1, self.filters + 1)) <= self.filters)
-        self.pairs = r, q
+        n, m = (min(len(w), self.filters) for w in self.words)
+        self.pairs = np.nonzero(np.outer(np.arange(1, n + 1), np.arange(1, m + 1)) <= self.filters)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, filter), ascending: all filter directions that each unit vector exceeds at its
@@ -70,7 +70,7 @@ class Code:
         a, b = (np.take_along_axis(s, k, 1) for s, k in zip(scores, rank, strict=True))
         r, q = self.pairs
         best = np.argsort(-(a[:, r] + b[:, q]), axis=1, kind="stable")[:, : self.filters]
-        f = np.take_along_axis(rank[0], r[best], 1) * self.n + np.take_along_axis(rank[1], q[best], 1)
+        f = np.take_along_axis(rank[0], r[best], 1) * len(self.words[1]) + np.take_along_axis(rank[1], q[best], 1)
         return np.repeat(np.arange(len(x)), f.shape[1]), np.sort(f, axis=1).ravel()
 
 

@@ -1,0 +1,19 @@
+import os
+import sys
+
+import duckdb
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session")
+def small_docs():
+    return duckdb.sql("SELECT doc_id, text, source FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+@pytest.fixture(scope="session")
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
