@@ -39,7 +39,7 @@ POOL = 4000
 ROUNDS = 3
 BINS = 1 << 18
 CHOSEN = 400
-FALSE_REJECTS = 0.002
+FALSE_REJECTS = 0.003
 CONFIDENT = (0.01, 0.95)
 TARGETS = ("low_quality", "toxic")
 META_SLOTS = 64  # hashed values of each of lang and source
@@ -79,6 +79,10 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     shares.append(np.diff(offsets) / np.maximum(n_words, 1) / 20)
     shares.append(distinct_lines / np.maximum(np.diff(line_first), 1))
     shares.append(np.log1p(np.diff(offsets)) / 12)
+    again = np.zeros(len(hashes), bool)  # the word before is the same
+    again[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+    shares.append(np.bincount(doc[again], minlength=len(size)) / np.maximum(n_words, 1))
+    shares.append(np.bincount(np.unique(doc * BINS + bins) // BINS, minlength=len(size)) / np.maximum(n_words, 1))
     return doc, bins, np.sqrt(np.abs(np.stack(shares, 1)))
 
 
@@ -121,6 +125,8 @@ class View:
     """One target's two classifiers, their combination and the rejection limit."""
 
     bins: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     text: np.ndarray = field(default_factory=lambda: np.zeros(0))
     meta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     combine: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -133,7 +139,7 @@ class View:
         hit[inside] = self.bins[at[inside]] == bins[inside]
         words = np.zeros((len(dense), len(self.bins)), np.float32)
         words[doc[hit], at[hit]] = 1
-        return np.concatenate([words, dense], 1)
+        return np.concatenate([words, (dense - self.centre) / self.scale], 1)
 
     def probability(self, doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if len(self.combine) == 0:
@@ -154,7 +160,7 @@ def _choose(doc: np.ndarray, bins: np.ndarray, y: np.ndarray, use: np.ndarray) -
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     z[pos + neg < 5] = 0
     best = np.argsort(-z, kind="stable")[:CHOSEN]
-    return np.sort(best[z[best] > 4])
+    return np.sort(best[z[best] > 5.5])
 
 
 def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: np.ndarray, fold: np.ndarray) -> View:
@@ -165,13 +171,14 @@ def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.nda
         return View()
     view = View()
     view.bins = _choose(doc, bins, np.nan_to_num(y), train)
+    view.centre, view.scale = dense[train].mean(0), dense[train].std(0) + 1e-3
     text = view.text_matrix(doc, bins, dense).astype(np.float32)
     pseudo = {"text": np.full(len(y), np.nan), "meta": np.full(len(y), np.nan)}
     for _ in range(ROUNDS):
         for name, x, other in (("text", text, "meta"), ("meta", meta, "text")):
             given = np.where(pool, pseudo[other], y)  # confident labels of the other view
             use = (train | pool) & ~np.isnan(given)
-            w = _logistic(x[use], given[use], max(1e-3, 2 / use.sum()))
+            w = _logistic(x[use], given[use], max(1e-4, 0.3 / use.sum()))
             setattr(view, name, w)
             p = _sigmoid(x @ w[:-1] + w[-1])
             prior = y[train].mean()  # the fit is class-balanced: back to the sample's odds
@@ -179,8 +186,11 @@ def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.nda
             pseudo[name] = np.where(p <= CONFIDENT[0], 0.0, np.where(p >= CONFIDENT[1], 1.0, np.nan))
     logits = np.stack([text @ view.text[:-1] + view.text[-1], meta @ view.meta[:-1] + view.meta[-1]], 1)
     scale = np.maximum(logits[held].std(0), 1e-6)
-    w = _logistic(logits[held] / scale, y[held], max(1e-3, 2 / held.sum()), steps=400)
-    view.combine = np.array([w[0] / scale[0], w[1] / scale[1], w[2]])
+    use = np.ones(2)
+    for _ in range(2):  # a view whose logit falls with the target on held-out rows is left out
+        w = _logistic(logits[held] / scale * use, y[held], max(1e-3, 2 / held.sum()), steps=400)
+        use *= w[:2] > 0
+    view.combine = np.append(np.maximum(w[:2], 0) * use / scale, w[2])
     reach = [_sigmoid(logits[s & (y == 0)] @ view.combine[:2] + view.combine[2]) for s in (held, known)]
     view.limit = max(0.5, *(float(np.quantile(good, 1 - FALSE_REJECTS)) + 1e-6 for good in reach))
     return view
