@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from credence.functions import rules
 from credence.functions.text import content_hash
+from credence.operators.skew import attach, require_key
 from credence.operators.retrieval import DEFAULT_BLOCK_BYTES, DEFAULT_DIM, embed_texts, topk_similar
 
 
@@ -43,9 +44,7 @@ def label_reviews(records: DataFrame, collection: DataFrame, k: int = 3, missing
     check facts, score, decide. Output = record + ``retrieved`` + ``pseudo_label``
     (+ ``fact_label``, ``fake_score`` when ``keep_scores``)."""
     q = embed_texts(records, "context", "__qvec", dim=dim, embedder=embedder)
-    key = "pos" if "pos" in records.columns and not records.isStreaming else None
-    r = topk_similar(q, collection, k=k, vec_col="__qvec", keep_dist=keep_dist, max_block_bytes=max_block_bytes,
-                     key_col=key)
+    r = topk_similar(q, collection, k=k, vec_col="__qvec", keep_dist=keep_dist, max_block_bytes=max_block_bytes)
     out = score_reviews(r.drop("__qvec"), missing=missing, strict_int=strict_int, with_price=with_price)
     if not keep_scores:
         out = out.drop("fact_label", "fake_score")
@@ -55,12 +54,11 @@ def label_reviews(records: DataFrame, collection: DataFrame, k: int = 3, missing
 def flag_duplicates(df: DataFrame, col: str = "context", pos: str = "pos", label_col: str = "pseudo_label") -> DataFrame:
     """Later copies of an identical text become ``fake``; the first occurrence keeps its label.
 
-    Adds ``is_duplicate``. First positions come from a grouped ``min`` (partial aggregation
-    map-side, so a text repeated millions of times is combined before the shuffle) joined
-    back on the hash, instead of a window that would put every copy in one task."""
-    h = df.withColumn("__h", content_hash(F.col(col)))
-    first = h.groupBy("__h").agg(F.min(pos).alias("__first"))
-    out = h.join(first, "__h", "inner")
+    Adds ``is_duplicate``. ``pos`` must be unique and not NULL. First positions come from a
+    grouped ``min`` joined back on (hash, salt): the copies of a text repeated millions of
+    times are dealt over many tasks."""
+    h = require_key(df, pos).withColumn("__h", content_hash(F.col(col)))
+    out = attach(h, ["__h"], F.col(pos), {"__m": F.min(pos)}, {"__first": F.min("__m")})
     dup = F.col(pos) != F.col("__first")
     out = out.withColumn("is_duplicate", dup)
     if label_col in df.columns:
@@ -91,7 +89,7 @@ def running_sums(df: DataFrame, order_col: str, values: dict, bucket_rows: int =
     window partitioned by range adds the in-range running sum. ``values`` maps output
     name -> numeric Column."""
     bucket = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("bigint")
-    base = df.withColumn("__b", bucket)
+    base = require_key(df, order_col).withColumn("__b", bucket)
     for name, c in values.items():
         base = base.withColumn(f"__v_{name}", c.cast("bigint"))
     totals = base.groupBy("__b").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])

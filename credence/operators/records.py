@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from credence.functions import context as ctx
 from credence.operators.retrieval import DEFAULT_DIM, embed_texts
+from credence.operators.skew import spread_lookup
 from credence.schemas import PRODUCT_COLUMNS
+from credence.session import checkpoint_dir
 
 
 def latest_per_key(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -34,12 +36,12 @@ def product_summaries(products: DataFrame) -> DataFrame:
 def join_product_summary(reviews: DataFrame, products: DataFrame | None) -> DataFrame:
     """Left equi-join of reviews to product summaries; never multiplies review rows.
 
-    No hint: the summary side is one row per product, and the planner broadcasts it when
-    its estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at
-    run time); otherwise it is a shuffled join, split by AQE if one product is hot."""
+    The summary side has one row per product and is repeated over a few salts: the planner
+    broadcasts it when it is small, else a hot product's reviews are met by several tasks."""
     if products is None:
         return reviews.withColumn("product_summary", F.lit(None).cast("string"))
-    return reviews.join(product_summaries(products), "product_id", "left")
+    spread = F.col("pos") if "pos" in reviews.columns else F.struct(*reviews.columns)
+    return spread_lookup(reviews, product_summaries(products), "product_id", spread)
 
 
 def reviews_with_known_product(reviews: DataFrame, products: DataFrame, known: bool = True) -> DataFrame:
@@ -105,13 +107,15 @@ def open_collection(spark, path: str) -> DataFrame:
 def sort_products(products: DataFrame, partitions: int | None = None) -> DataFrame:
     """Products by name (missing names last, ties by id) with ``name_rank``.
 
-    A global rank without a single-task window: range-partition on the sort key, count
-    rows per range (one row per partition), offset, then rank inside each range."""
+    A global rank without a single-task window: range-partition on the sort key, write the
+    rows once with their range number (a second run could sample other split points), count
+    rows per range, offset, then rank inside each range."""
     from credence.operators.sampling import bucketed_rank
 
     n = partitions or products.sparkSession.sparkContext.defaultParallelism
     ranged = products.repartitionByRange(n, F.asc_nulls_last("product_name"), F.asc("product_id"))
-    ranged = ranged.withColumn("__part", F.spark_partition_id())
+    checkpoint_dir(products.sparkSession)
+    ranged = ranged.withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
     return bucketed_rank(ranged, [], [F.asc_nulls_last("product_name"), F.asc("product_id")], F.col("__part"),
                          "name_rank").drop("__part")
 
@@ -126,10 +130,11 @@ def first_product_per_name(products: DataFrame) -> DataFrame:
 def request_contexts(reviews: DataFrame, products: DataFrame) -> DataFrame:
     """Form-style contexts for a table of requests (title, text, product name, recommended
     flag), filled with the chosen product's rating, brand and highlights."""
-    names = products.select(F.col("product_id").alias("__pid"), F.col("product_name").alias("req_product_name"))
+    names = latest_per_key(products.select("product_id", "pos", "product_name"), "product_id").select(
+        F.col("product_id").alias("__pid"), F.col("product_name").alias("req_product_name"))
     req = reviews.join(names, reviews["product_id"] == names["__pid"], "left").select(
         "review_id", "review_title", "review_text", "req_product_name",
-        (F.col("is_recommended") == F.lit("1")).alias("recommended"))
+        (F.expr("try_cast(is_recommended AS double)") == 1).alias("recommended"))
     first = first_product_per_name(products).select(
         F.col("product_name").alias("req_product_name"), F.col("rating").alias("p_rating"),
         F.col("brand_name").alias("p_brand"), F.col("highlights").alias("p_highlights"))

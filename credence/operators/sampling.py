@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.functions.text import seeded_key
+from credence.operators.skew import require_key
 
 TARGET_BUCKET_ROWS = 1 << 20
 
@@ -59,7 +60,7 @@ def hash_rank(df: DataFrame, seed: int, key: str, part_cols: list[str] | None =
     part_cols = part_cols or []
     per_cluster = df.sparkSession.sparkContext.defaultParallelism * BUCKETS_PER_CORE
     nb = _n_buckets(total) if total is not None else per_cluster
-    h = df.withColumn("__hk", seeded_key(seed, key))
+    h = require_key(df, key).withColumn("__hk", seeded_key(seed, key))
     bucket = F.floor(F.conv(F.substring("__hk", 1, 8), 16, 10).cast("bigint") * F.lit(nb) / F.lit(4294967296.0))
     return bucketed_rank(h, part_cols, ["__hk"], bucket.cast("bigint"), out_col).drop("__hk")
 
@@ -68,7 +69,7 @@ def pos_rank(df: DataFrame, pos: str = "pos", part_cols: list[str] | None = None
              bucket_rows: int = TARGET_BUCKET_ROWS) -> DataFrame:
     """Rank rows by position (file order) within ``part_cols``."""
     bucket = F.floor(F.col(pos) / F.lit(bucket_rows)).cast("bigint")
-    return bucketed_rank(df, part_cols or [], [pos], bucket, out_col)
+    return bucketed_rank(require_key(df, pos), part_cols or [], [pos], bucket, out_col)
 
 
 def shuffle_rows(df: DataFrame, seed: int, key: str = "pos") -> DataFrame:
@@ -143,7 +144,7 @@ def random_split(df: DataFrame, test_fraction: float = 0.1, seed: int = 0, key:
     re-read gives the same split."""
     h = F.md5(F.concat(F.lit(f"{seed}:split:"), F.col(key).cast("string")))
     u = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    return df.withColumn("split", F.when(u < F.lit(test_fraction), F.lit("test")).otherwise(F.lit("train")))
+    return require_key(df, key).withColumn("split", F.when(u < F.lit(test_fraction), F.lit("test")).otherwise(F.lit("train")))
 
 
 def pick_examples(df: DataFrame, real_num: int = 1, fake_num: int = 1, seed: int = 0, key: str = "pos",
