@@ -16,18 +16,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import StructType
 
 from credence.operators import augment, labeling, models, records, sampling
 from credence.schemas import CONTEXT_RECORD_SCHEMA, LABELLED_RECORD_SCHEMA
 from credence.session import checkpoint_dir
 from credence.sources import files
 
-_POS = StructField("pos", LongType(), True)
 
-
-def _with_pos(schema: StructType) -> StructType:
-    return StructType(schema.fields + [_POS])
+def _records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """JSONL records with their position: the stored one, else the file order."""
+    return files.read_jsonl(spark, path, schema, pos_col="pos")
 
 
 def prepare_contexts(spark: SparkSession, input_dir: str, products_csv: str | None, out_path: str,
@@ -39,7 +39,7 @@ def prepare_contexts(spark: SparkSession, input_dir: str, products_csv: str | No
     if max_rows is not None:
         recs = files.limit_prefix(recs, max_rows)
     files.write_jsonl(recs, out_path)
-    return spark.read.schema(_with_pos(CONTEXT_RECORD_SCHEMA)).json(out_path).count()
+    return _records(spark, out_path, CONTEXT_RECORD_SCHEMA).count()
 
 
 def build_product_collection(spark: SparkSession, products_csv: str, collection_path: str, dim: int = 64,
@@ -52,8 +52,10 @@ def build_product_collection(spark: SparkSession, products_csv: str, collection_
     try:
         existing = records.open_collection(spark, collection_path)
         existing.schema  # noqa: B018 - resolve now: raises when absent
-    except Exception:  # noqa: BLE001 - no collection yet: create it
-        existing = None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        existing = None  # no collection yet: create it
     rows = records.upsert_collection(existing, new)
     records.write_collection(rows, collection_path, mode="append")
     return records.open_collection(spark, collection_path).count()
@@ -62,11 +64,11 @@ def build_product_collection(spark: SparkSession, products_csv: str, collection_
 def pseudo_label(spark: SparkSession, in_path: str, collection_path: str, out_path: str, top_k: int = 3,
                  dedup: bool = False, **label_kw) -> DataFrame:
     """Label every context record; writes JSONL and returns the label counts."""
-    recs = spark.read.schema(_with_pos(CONTEXT_RECORD_SCHEMA)).json(in_path)
+    recs = _records(spark, in_path, CONTEXT_RECORD_SCHEMA)
     coll = records.open_collection(spark, collection_path)
     out = labeling.label_reviews(recs, coll, k=top_k, keep_scores=False, **label_kw)
     files.write_jsonl(out, out_path)
-    written = spark.read.schema(_with_pos(LABELLED_RECORD_SCHEMA)).json(out_path)
+    written = _records(spark, out_path, LABELLED_RECORD_SCHEMA)
     if dedup:
         flagged = labeling.flag_duplicates(written)
         cleaned, dups = labeling.split_duplicates(flagged)
@@ -80,7 +82,7 @@ def small_dataset(spark: SparkSession, in_path: str, out_path: str, ratio_real_t
                   split: bool = False, test_ratio: float = 0.2, seed: int = 0) -> DataFrame:
     """Balanced (and optionally split) dataset; writes the combined set and, with ``split``,
     ``<stem>_train.jsonl`` / ``<stem>_test.jsonl``, each in a seeded shuffled order."""
-    recs = spark.read.schema(_with_pos(LABELLED_RECORD_SCHEMA)).json(in_path)
+    recs = _records(spark, in_path, LABELLED_RECORD_SCHEMA)
     ds = sampling.balanced_dataset(recs, ratio_real_to_fake, seed, split=split, test_ratio=test_ratio)
     # Three outputs come from one sample: materialise it once in the shared checkpoint folder.
     checkpoint_dir(spark)
@@ -101,7 +103,7 @@ def synthesize(spark: SparkSession, in_path: str, collection_path: str, out_fake
                generator=augment.template_generator) -> int:
     """Synthetic fakes written to ``out_fake_path``; originals + fakes in a seeded order to
     ``out_train_path``. With no steps to generate, the originals are written and an error raised."""
-    recs = spark.read.schema(_with_pos(LABELLED_RECORD_SCHEMA)).json(in_path)
+    recs = _records(spark, in_path, LABELLED_RECORD_SCHEMA)
     n_real = recs.where(F.col("pseudo_label") == "real").count()
     if int(ratio * n_real) <= 0:
         files.write_jsonl(recs, out_train_path)
@@ -120,7 +122,7 @@ def train(spark: SparkSession, train_path: str, model_dir: str, test_fraction: f
     """Fit the classifier on strict-encoded examples; saves the model; returns held-out metrics."""
     from credence.operators import dataset
 
-    recs = spark.read.schema(_with_pos(CONTEXT_RECORD_SCHEMA)).json(train_path)
+    recs = _records(spark, train_path, CONTEXT_RECORD_SCHEMA)
     if max_rows:
         recs = files.limit_prefix(recs, max_rows)
     model, summary = models.train_classifier(dataset.encode_labels_strict(recs), test_fraction, seed)
@@ -129,5 +131,5 @@ def train(spark: SparkSession, train_path: str, model_dir: str, test_fraction: f
 
 
 def evaluate(spark: SparkSession, model_dir: str, test_path: str, max_rows: int | None = None) -> DataFrame:
-    recs = spark.read.schema(_with_pos(CONTEXT_RECORD_SCHEMA)).json(test_path)
+    recs = _records(spark, test_path, CONTEXT_RECORD_SCHEMA)
     return models.evaluate_classifier(models.load_model(model_dir), recs, max_rows=max_rows)

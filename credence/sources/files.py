@@ -10,11 +10,12 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Cell texts that pandas reads as missing by default.
 NA_TOKENS = [
@@ -33,48 +34,66 @@ def normalise_na(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     ])
 
 
-def _csv_reader(spark: SparkSession, glob_filter: str | None = None):
-    r = (spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", "true")
+def _csv_reader(spark: SparkSession, multi_line: bool = True, glob_filter: str | None = None):
+    r = (spark.read.option("header", "true").option("inferSchema", "false").option("multiLine", str(multi_line).lower())
          .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("encoding", "UTF-8"))
     return r.option("pathGlobFilter", glob_filter) if glob_filter else r
 
 
-# Largest per-file table broadcast back to the rows (one small row per input file).
-MAX_BROADCAST_FILES = 200_000
-
-
-def with_file_position(df: DataFrame, file_col: str = "__file", out_col: str = "pos",
-                       n_files: int | None = None) -> DataFrame:
+def with_file_position(df: DataFrame, file_col: str = "__file", block_col: str = "__block",
+                       out_col: str = "pos") -> DataFrame:
     """``pos`` = rank of the file path * POS_STRIDE + row number inside the file.
 
-    Multi-line CSV files are never split, so a file's rows are contiguous in one scan
-    partition and ``monotonically_increasing_id`` minus the file's smallest id is the
-    row number. The per-file table (one row per input file, a bound the file listing
-    itself imposes) is broadcast back; the rows never leave their partition."""
+    Rows of one block of a file are read by one task in order, so
+    ``monotonically_increasing_id`` minus the block's smallest id is the row number in the
+    block; the rows of the file's earlier blocks are added. The block table has one row per
+    scan split and is joined without a hint."""
     tagged = df.withColumn("__mid", F.monotonically_increasing_id())
-    per_file = tagged.groupBy(file_col).agg(F.min("__mid").alias("__m0"))
-    per_file = per_file.withColumn("__fi", F.row_number().over(Window.orderBy(file_col)) - 1)
-    pos = F.col("__fi") * F.lit(POS_STRIDE) + (F.col("__mid") - F.col("__m0"))
-    # The per-file table has one row per input file: broadcast it when the file count
-    # (known from the listing) is within bounds; otherwise let the planner choose.
-    small = n_files is not None and n_files <= MAX_BROADCAST_FILES
-    side = F.broadcast(per_file) if small else per_file
-    return (tagged.join(side, file_col, "inner").withColumn(out_col, pos)
-            .drop("__mid", "__m0", "__fi", file_col))
+    blocks = tagged.groupBy(file_col, block_col).agg(F.min("__mid").alias("__m0"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(file_col).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    names = blocks.select(file_col).distinct().withColumn("__fi", F.row_number().over(Window.orderBy(file_col)) - 1)
+    blocks = blocks.join(names, file_col).drop("__n")
+    pos = F.col("__fi") * F.lit(POS_STRIDE) + F.col("__before") + (F.col("__mid") - F.col("__m0"))
+    return (tagged.join(blocks, [file_col, block_col]).withColumn(out_col, pos)
+            .drop("__mid", "__m0", "__fi", "__before", file_col, block_col))
+
+
+def _place() -> list:
+    return [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+
+
+def _by_header(spark: SparkSession, paths, glob_filter: str | None) -> dict[str, list[str]]:
+    """Header line -> files that start with it (one small row per file reaches the driver)."""
+    r = spark.read.option("pathGlobFilter", glob_filter) if glob_filter else spark.read
+    lines = r.text(paths).select("value", *_place()).filter("__block = 0").withColumn("__mid", F.monotonically_increasing_id())
+    first = lines.groupBy("__file").agg(F.min_by("value", "__mid").alias("header"))
+    out: dict[str, list[str]] = {}
+    for row in first.orderBy("__file").collect():
+        out.setdefault(row["header"], []).append(row["__file"])
+    return out
 
 
 def read_csv_table(spark: SparkSession, paths, glob_filter: str | None = None,
-                   columns: list[str] | None = None) -> DataFrame:
-    """All-string CSV scan (files read in path order) with NA normalisation and ``pos``."""
-    raw = _csv_reader(spark, glob_filter).csv(paths)
-    data_cols = [c for c in raw.columns]
-    raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in data_cols],
-                     F.col("_metadata.file_path").alias("__file"))
-    out = normalise_na(with_file_position(raw, n_files=len(raw.inputFiles())), data_cols)
-    if columns:
-        for c in columns:
-            if c not in out.columns:
-                out = out.withColumn(c, F.lit(None).cast("string"))
+                   columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """All-string CSV scan (files in path order) with NA normalisation and ``pos``.
+
+    Every file is read by its own header: files with equal headers are scanned together, and
+    columns that a file lacks are NULL. ``multi_line=False`` lets large files without line
+    breaks in cells be split."""
+    raw = None
+    for files_of in _by_header(spark, paths, glob_filter).values():
+        part = _csv_reader(spark, multi_line).csv([unquote(f) for f in files_of])
+        part = part.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in part.columns], *_place())
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    if raw is None:  # no file matches
+        raw = _csv_reader(spark, multi_line, glob_filter).csv(paths)
+        raw = raw.select(*raw.columns, *_place())
+    data_cols = [c for c in raw.columns if c not in ("__file", "__block")]
+    out = normalise_na(with_file_position(raw), data_cols)
+    for c in columns or []:
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
     return out
 
 
@@ -104,22 +123,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool
     """JSONL scan with an explicit schema.
 
     ``strict`` fails on a malformed line; otherwise malformed lines become NULL rows.
-    ``max_rows`` caps the rows in file order (``pos_col`` must then be in the data):
-    with ``cap_is_truthy`` a cap of 0 means no cap, otherwise 0 means no rows."""
-    reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    df = reader.json(path)
-    if max_rows is None or (cap_is_truthy and not max_rows):
-        return df
+    ``pos_col`` adds the row position: the one in the data when every row has it, else the
+    file order. ``max_rows`` caps the rows in position order: with ``cap_is_truthy`` a cap of
+    0 means no cap, otherwise 0 means no rows."""
+    capped = max_rows is not None and not (cap_is_truthy and not max_rows)
+    if capped and pos_col is None:
+        pos_col = "pos"
+    mode = "FAILFAST" if strict else "PERMISSIVE"
     if pos_col is None:
-        raise ValueError("a row cap needs a position column")
-    return limit_prefix(df, max_rows, pos_col)
+        return spark.read.schema(schema).option("mode", mode).json(path)
+    wide = StructType([f for f in schema.fields if f.name != pos_col] + [StructField(pos_col, LongType(), True)])
+    df = spark.read.schema(wide).option("mode", mode).json(path)
+    if not df.filter(F.col(pos_col).isNull()).isEmpty():
+        df = with_file_position(df.drop(pos_col).select("*", *_place()), out_col=pos_col)
+    return limit_prefix(df, max_rows, pos_col) if capped else df
 
 
 def limit_prefix(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
-    """The first ``n`` rows in position order (top-n per partition, then merged)."""
+    """The first ``n`` rows in position order, by rank: no task holds them all."""
+    from credence.operators.sampling import pos_rank
+
     if n <= 0:
         return df.limit(0)
-    return df.orderBy(pos).limit(n)
+    return pos_rank(df, pos, out_col="__nth").filter(F.col("__nth") <= n).drop("__nth")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
