@@ -231,7 +231,8 @@ def synth_fakes(records: DataFrame, collection: DataFrame, n_samples: int | None
     context (first well-formed of 3 attempts, else the step is skipped), random review
     info lands top-level. With ``troll`` every 1000th step adds 0-10 copies keeping the
     real record's meta; with ``combine_ratio`` m every m-th step adds an augmented copy
-    (and with ``troll`` 0-50 more on every 1000th step). ``kind`` says which."""
+    (and with ``troll`` 0-50 more on every 1000th step). ``kind`` says which. Every synthetic
+    row has a position of its own, after those of ``records`` (from step, kind and copy)."""
     pairs = pair_real_fake(records, n_samples, ratio, seed, label_field, pos)
     q = retrieval.embed_texts(pairs, "context", "__qvec")
     top1 = retrieval.topk_similar(q, collection, k=1, vec_col="__qvec", out_col="__top", **retrieval_kw)
@@ -245,7 +246,8 @@ def synth_fakes(records: DataFrame, collection: DataFrame, n_samples: int | None
             "fake": F.col("fake_context")}
     gen = generate_with_retry(top1, cols, generator, "__gen").where(F.col("__gen").isNotNull())
 
-    base_cols = [c for c in records.columns if c not in ("context", "meta", "pseudo_label", "side")]
+    base_cols = [c for c in records.columns if c not in ("context", "meta", "pseudo_label", "side", pos)]
+    last = records.agg(F.max(pos)).first()[0] or 0
 
     # Every output variant of a step comes from ONE pass: an array of (kind, copy) per
     # generated row, exploded once. (A union of branches would recompute the pairing,
@@ -285,7 +287,10 @@ def synth_fakes(records: DataFrame, collection: DataFrame, n_samples: int | None
     meta = F.when(kind == "generated", _union_meta(F.col("__pmeta"), PRODUCT_META_FIELDS)).otherwise(
         _union_meta(F.col("meta"), META_FIELDS))
     info = F.col("__ci")
+    slot = copy + F.when(kind == "combined", TROLL_MAX_COPIES + 1).otherwise(0)
+    own = F.lit(last + 1) + step * (TROLL_MAX_COPIES + TROLL_MAX_COMBINED + 2) + slot
     return rows.select(
+        own.cast("long").alias(pos),
         *[F.col(c) for c in base_cols],
         context.alias("context"), meta.alias("meta"), F.lit("fake").alias("pseudo_label"),
         info["rating"].alias("rating"), info["is_recommended"].alias("is_recommended"),

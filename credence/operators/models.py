@@ -1,7 +1,7 @@
 """Classifier training / evaluation with Spark ML, and the rule-backed explainer.
 
 The reference fine-tunes a transformer; here the same table contract (text -> 0/1, fake=0)
-is served by a distributed Spark ML pipeline: tokenise -> cap at 512 tokens -> hashed
+is served by a distributed Spark ML pipeline: tokenise the whole text -> hashed
 term frequencies -> IDF -> logistic regression. Fitting is a handful of tree-aggregated
 passes over the data; prediction is a map-only transform.
 """
@@ -10,25 +10,24 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.functions import rules
 from credence.operators import dataset, metrics, sampling
+from credence.sources import files
 
-MAX_TOKENS = 512
 NUM_FEATURES = 1 << 18
 
 
-def classifier_pipeline(max_tokens: int = MAX_TOKENS, num_features: int = NUM_FEATURES, reg: float = 0.01,
+def classifier_pipeline(num_features: int = NUM_FEATURES, reg: float = 0.01,
                         max_iter: int = 50) -> Pipeline:
-    tok = RegexTokenizer(inputCol="text", outputCol="tokens_all", pattern="\\W+", toLowercase=True)
-    cap = SQLTransformer(statement=f"SELECT *, slice(tokens_all, 1, {int(max_tokens)}) AS tokens FROM __THIS__")
+    tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern="\\W+", toLowercase=True)
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     idf = IDF(inputCol="tf", outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg, maxIter=max_iter)
-    return Pipeline(stages=[tok, cap, tf, idf, lr])
+    return Pipeline(stages=[tok, tf, idf, lr])
 
 
 def train_classifier(examples: DataFrame, test_fraction: float = 0.1, seed: int = 0, key: str = "pos",
@@ -54,7 +53,7 @@ def evaluate_classifier(model: PipelineModel, records: DataFrame, label_col: str
     """Classification report of ``model`` on labelled records (unknown labels count as real).
     ``max_rows`` (truthy) caps the rows in file order before labels are read."""
     if max_rows:
-        records = records.orderBy(pos).limit(max_rows)
+        records = files.limit_prefix(records, max_rows, pos)
     ex = dataset.encode_labels_lenient(records, label_col, text_col)
     return metrics.classification_report(predict(model, ex))
 

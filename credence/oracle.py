@@ -607,7 +607,7 @@ FROM records"""
 
 def sql_sort_products() -> str:
     return with_(PRODUCTS) + """
-SELECT product_id, row_number() OVER (ORDER BY product_name ASC NULLS LAST, product_id) AS name_rank FROM products"""
+SELECT *, row_number() OVER (ORDER BY product_name ASC NULLS LAST, product_id) AS name_rank FROM products"""
 
 
 def sql_build_request_context() -> str:
@@ -616,7 +616,7 @@ firsts0 AS (SELECT product_name, arg_min({'r': rating, 'b': brand_name, 'h': hig
             FROM products WHERE product_name IS NOT NULL GROUP BY product_name),
 firsts AS (SELECT product_name, f.r AS p_rating, f.b AS p_brand, f.h AS p_highlights FROM firsts0),
 req AS (SELECT r.review_id, r.review_title, r.review_text, p.product_name AS req_product_name,
-               r.is_recommended = '1' AS recommended
+               r.is_recommended IN ('1', '1.0') AS recommended
         FROM reviews r LEFT JOIN products p ON p.product_id = r.product_id)
 SELECT q.review_id,
        'Review title: ' || coalesce(q.review_title, '') || ' | Review text: ' || coalesce(q.review_text, '')
@@ -885,7 +885,7 @@ FROM rec"""
 
 
 def sql_product_name_fallback() -> str:
-    return sql_field_fallback()
+    return f"SELECT review_id, product_name FROM ({sql_field_fallback()})"
 
 
 ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())
@@ -1062,7 +1062,8 @@ keyed AS (
          CASE WHEN v.copy = 0 THEN CAST(v.step AS VARCHAR)
               ELSE CAST(v.step AS VARCHAR) || ':comb:' || CAST(v.copy AS VARCHAR) END AS akey
   FROM var v JOIN gen g ON g.step = v.step)
-SELECT step, kind, CAST(copy AS INTEGER) AS copy, review_id,
+SELECT (SELECT max(pos) FROM qlabels) + 1 + step * 62 + copy + CASE WHEN kind = 'combined' THEN 11 ELSE 0 END AS pos,
+       step, kind, CAST(copy AS INTEGER) AS copy, review_id,
        CASE WHEN kind = 'combined' THEN {augment_sql('gen_text', 'akey')} ELSE gen_text END AS context,
        'fake' AS pseudo_label, {info_sql('ikey')},
        CASE WHEN kind = 'generated' THEN m_product_name END AS meta_product_name

@@ -241,7 +241,7 @@ def q_parse_context(spark, sf):
 
 
 def q_sort_products(spark, sf):
-    return records.sort_products(testdata.products(spark, sf)).select("product_id", "name_rank")
+    return records.sort_products(testdata.products(spark, sf))
 
 
 def q_build_request_context(spark, sf):
@@ -467,11 +467,15 @@ def q_field_fallback(spark, sf):
                       dataset.field_fallback(rec, "rating", "n/a").alias("rating"))
 
 
+def q_product_name_fallback(spark, sf):
+    return q_field_fallback(spark, sf).select("review_id", "product_name")
+
+
 def q_synth_fakes(spark, sf):
     out = augment.synth_fakes(_qlabels(spark, sf).withColumn("meta", F.struct(*[
         F.lit(None).cast("string").alias(f) for f in augment.META_FIELDS])),
         jobs.product_collection(spark, sf), ratio=1.0, seed=SEED, combine_ratio=2, troll=True)
-    return out.select("step", "kind", "copy", "review_id", "context", "pseudo_label", "rating", "is_recommended",
+    return out.select("pos", "step", "kind", "copy", "review_id", "context", "pseudo_label", "rating", "is_recommended",
                       "total_feedback_count", "total_pos_feedback_count", "total_neg_feedback_count", "helpfulness",
                       "review_title", F.col("meta.product_name").alias("meta_product_name"))
 
@@ -490,7 +494,7 @@ QUERIES.update({
     "inflate_duplicates": q_inflate_duplicates,
     "build_prompt": q_build_prompt,
     "field_fallback": q_field_fallback,
-    "product_name_fallback": q_field_fallback,
+    "product_name_fallback": q_product_name_fallback,
     "synth_fakes": q_synth_fakes,
     "augment_union": q_augment_union,
 })
@@ -520,7 +524,8 @@ def q_train_classifier(spark, sf):
 
 def q_evaluate_classifier(spark, sf):
     model, _ = models.train_classifier(_classifier_examples(spark, sf), test_fraction=0.2, seed=SEED)
-    return models.evaluate_classifier(model, _qlabels(spark, sf))
+    held_out = sampling.random_split(_qlabels(spark, sf), 0.2, SEED).filter("split = 'test'").drop("split")
+    return models.evaluate_classifier(model, held_out)
 
 
 # ---------------------------------------------------------------------------------------
