@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm._groups import attach
+from credence.operators.skew import attach
 from credence.llm._runs import whole_groups
 from credence.llm._scratch import materialize
-from credence.llm.components import components
+from credence.llm.components import components, stars
 
 THRESHOLD = 0.93
 MIN_FILTERS = 16
@@ -79,21 +79,6 @@ def _units(bodies: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _star_edges(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star to the smallest row for each component of the links (a, b) among n rows."""
-    low = np.arange(n)
-    while len(a):
-        m = np.minimum(low[a], low[b])
-        before = low.copy()
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        low = low[low]
-        if (low == before).all():
-            break
-    x = np.flatnonzero(low != np.arange(n))
-    return x, low[x]
-
-
 def _compare(table: pa.Table, at: np.ndarray, threshold: float, kind: str) -> pa.RecordBatch:
     """Link counts (u, null, n) and star edges (u, v, 0) of whole (filter, block pair) groups."""
     ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
@@ -147,13 +132,13 @@ def _compare(table: pa.Table, at: np.ndarray, threshold: float, kind: str) -> pa
         seen[row[earlier], column] = 1
         counts[s] += (near & (seen @ seen.T == 0)) @ times[s]
         x, y = np.nonzero(np.triu(near))
-        x, y = _star_edges(x, y, len(unit))
+        x, y = stars(x, y, len(unit))
         ends_a.append(x + s.start)
         ends_b.append(y + s.start)
 
     a = np.concatenate(ends_a) if ends_a else np.zeros(0, np.int64)
     b = np.concatenate(ends_b) if ends_b else np.zeros(0, np.int64)
-    u, v = _star_edges(a, b, len(ids))
+    u, v = stars(a, b, len(ids))
     some = np.flatnonzero(counts)
     return pa.RecordBatch.from_pydict({
         "u": pa.array(np.concatenate([ids[some], ids[u]])),
