@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm import _text
-from credence.llm._groups import attach
+from credence.operators.skew import attach
 from credence.llm._runs import whole_groups
 from credence.llm._scratch import materialize
 from credence.llm.components import components
 
 WORDS = 4
 PERCENT = 85
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 EDGE_STEP = 128  # shingles of a tree edge between two looks at the bound
 
 
@@ -128,7 +128,7 @@ def candidates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col:
     have a partner. Materialised."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups, bits = 8 * parts, (parts - 1).bit_length()
+    groups, bits = 4 * parts, max(0, (parts - 1).bit_length() - 1)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), text), F.lit(groups)).cast("int").alias("g"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("fp"), text.alias("text"),
