@@ -161,9 +161,14 @@ def generate_with_retry(df: DataFrame, cols: dict, generator: Callable[[dict, in
     """``out_col`` = first non-empty, well-formed output of up to ``attempts`` generator
     calls, else NULL. A later attempt is only evaluated when the earlier ones failed.
     A generator marked ``deterministic`` returns the same text every time, so it is
-    called once (repeating it cannot turn a rejected text into an accepted one)."""
+    called once (repeating it cannot turn a rejected text into an accepted one). A
+    generator marked ``retries_inside`` makes its attempts itself; its second argument is
+    then their number."""
     if getattr(generator, "deterministic", False):
         attempts = 1
+    if getattr(generator, "retries_inside", False):  # one call per row: a projection of its own
+        made = df.withColumn(out_col, F.trim(generator(cols, attempts)))
+        return made.withColumn(out_col, F.when((F.col(out_col) != "") & rules.format_valid(F.col(out_col)), F.col(out_col)))
     if attempts == 1:  # one projection: nothing to retry
         g = F.trim(generator(cols, 0))
         ok = g.isNotNull() & (g != "") & rules.format_valid(g)
@@ -316,26 +321,27 @@ def augment_union(records: DataFrame, synthetic: DataFrame, seed: int = 0) -> Da
 def batch_generator(fn, deterministic: bool = False):
     """Plug a batch text generator (e.g. a local LLM client) into ``synth_fakes``:
     ``fn(prompts: list[str], attempt: int) -> list[str | None]``. Prompts are built with
-    ``build_prompt`` from the real and fake texts and the product facts; the call runs as
-    an Arrow-batched UDF on the executors, and failed or malformed outputs are retried by
-    ``generate_with_retry``."""
+    ``build_prompt`` from the real and fake texts and the product facts. One Arrow-batched,
+    non-deterministic UDF makes all attempts: each later one gets only the prompts whose
+    texts were missing or malformed, so a row costs one call when its first answer is valid."""
     from pyspark.sql.types import StringType
 
-    def make(attempt: int):
+    def generator(cols: dict, attempts: int) -> Column:
         @F.pandas_udf(StringType())
-        def _gen(prompts):  # pandas Series -> pandas Series
+        def generate(prompts):  # pandas Series -> pandas Series
             import pandas as pd
 
-            return pd.Series(fn(list(prompts), attempt), dtype=object)
+            given = list(prompts)
+            out, left = [None] * len(given), list(range(len(given)))
+            for attempt in range(1 if deterministic else attempts):
+                if not left:
+                    break
+                for i, text in zip(left, fn([given[i] for i in left], attempt), strict=True):
+                    out[i] = text
+                left = [i for i in left if not (out[i] and all(m in out[i] for m in rules.FORMAT_MARKERS))]
+            return pd.Series(out, dtype=object)
 
-        return _gen
+        return generate.asNondeterministic()(build_prompt(cols["real"], cols["fake"], cols["meta"]))
 
-    udfs = {}
-
-    def generator(cols: dict, attempt: int) -> Column:
-        if attempt not in udfs:
-            udfs[attempt] = make(attempt)
-        return udfs[attempt](build_prompt(cols["real"], cols["fake"], cols["meta"]))
-
-    generator.deterministic = deterministic  # type: ignore[attr-defined]
+    generator.retries_inside = True  # type: ignore[attr-defined]
     return generator

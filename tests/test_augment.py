@@ -35,27 +35,40 @@ def test_template_generator_output_is_valid(spark):
     assert got.ok and got.g.startswith("Review title: ")
 
 
-def test_batch_generator_retries(spark):
-    from credence.plans import catalog
-    from conftest import SF_SMALL
+def test_batch_generator_calls(spark, tmp_path):
+    """Prompts are counted through files, since the calls happen in other processes."""
+    import os
+    import uuid
 
-    calls = []
-
-    def fake_llm(prompts, attempt):
-        # attempt 0 returns junk, attempt 1 a well-formed context: the retry must take it
-        calls.append(attempt)
-        if attempt == 0:
-            return ["not the format" for _ in prompts]
-        return ["Review title: t | Review text: x | Rating: 5 | Product summary: p by b. Highlights: h."
-                for _ in prompts]
-
-    base = catalog._qlabels(spark, SF_SMALL).withColumn("meta", F.struct(*[
-        F.lit(None).cast("string").alias(f) for f in augment.META_FIELDS]))
-    from credence.plans import jobs
-    out = augment.synth_fakes(base, jobs.product_collection(spark, SF_SMALL), ratio=0.2, seed=1,
-                              generator=augment.batch_generator(fake_llm))
-    rows = out.collect()
-    assert rows and all(r.context.startswith("Review title: t") for r in rows)
+    from conftest import SF_SMALL
+    from credence.plans import catalog, jobs
+
+    good = "Review title: t | Review text: x | Rating: 5 | Product summary: p by b. Highlights: h."
+
+    def run(name, first_is_good):
+        folder = str(tmp_path / name)
+        os.makedirs(folder)
+
+        def fake_llm(prompts, attempt):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(f"{attempt} {len(prompts)}")
+            return [good if attempt or first_is_good else "not the format" for _ in prompts]
+
+        base = catalog._qlabels(spark, SF_SMALL).withColumn("meta", F.struct(*[
+            F.lit(None).cast("string").alias(f) for f in augment.META_FIELDS]))
+        rows = augment.synth_fakes(base, jobs.product_collection(spark, SF_SMALL), ratio=0.5, seed=1,
+                                   generator=augment.batch_generator(fake_llm)).collect()
+        assert rows and all(r.context == good for r in rows)
+        calls = {}
+        for f in os.listdir(folder):
+            attempt, n = map(int, open(os.path.join(folder, f)).read().split())
+            calls[attempt] = calls.get(attempt, 0) + n
+        return len(rows), calls
+
+    n, calls = run("valid", True)
+    assert calls == {0: n}
+    n, calls = run("retried", False)
+    assert calls == {0: n, 1: n}
 
 
 def test_batch_embedder(spark):
