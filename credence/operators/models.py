@@ -58,6 +58,12 @@ def evaluate_classifier(model: PipelineModel, records: DataFrame, label_col: str
     return metrics.classification_report(predict(model, ex))
 
 
+def predict_requests(model: PipelineModel, contexts: DataFrame) -> DataFrame:
+    """Verdict text of the model for a table of request contexts (``review_id, context``)."""
+    scored = predict(model, contexts.withColumn("text", F.col("context")))
+    return scored.select("review_id", "context", "prediction", rules.verdict_text(F.col("prediction")).alias("verdict"))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -85,6 +91,15 @@ def explain_reviews(df: DataFrame, label_col: str = "pseudo_label") -> DataFrame
     return out.withColumn("rules_fired", F.array_join(F.filter(fired, lambda x: x.isNotNull()), ","))
 
 
+def evaluate_explainer(explained: DataFrame, label_col: str = "pseudo_label", text_col: str = "explanation") -> DataFrame:
+    """Classification report of generated explanations: records with a valid label, the label parsed
+    from the text (``fake`` where it has none) against the record's (fake 0, real 1)."""
+    valid = explained.where(F.col(label_col).isin("real", "fake"))
+    code = lambda c: F.when(c == "fake", 0).otherwise(1)
+    return metrics.classification_report(valid.select(
+        code(F.col(label_col)).alias("label"), code(rules.parse_label(F.col(text_col))).alias("prediction")))
+
+
 def rule_flags(df: DataFrame, own_col: str = "own") -> DataFrame:
     """Per-rule booleans of a review against one product struct (``id, document, metadata``)
     plus the heuristic score, for ``explain_reviews``. Three projections: parsed inputs,

@@ -1078,7 +1078,17 @@ rows_all AS (
 SELECT row_key, pseudo_label, row_number() OVER (ORDER BY {hkey('row_key')}) AS shuffle_rank FROM rows_all"""
 
 
-ORACLES.update({"synth_fakes": sql_synth_fakes, "augment_union": sql_augment_union})
+def sql_evaluate_explainer() -> str:
+    report = sql_classification_report()
+    tail = report[report.index("SELECT CAST(cls"):]
+    return with_(f"""
+explained AS ({sql_explain_reviews()})""", """
+qlabels AS (SELECT CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS label, CASE WHEN e.parsed_label = 'fake' THEN 0 ELSE 1 END AS prediction
+            FROM explained e JOIN labels l ON CAST(l.doc_id AS VARCHAR) = e.review_id)""", PER_CLASS) + tail
+
+
+ORACLES.update({"synth_fakes": sql_synth_fakes, "augment_union": sql_augment_union,
+                "evaluate_explainer": sql_evaluate_explainer})
 
 
 def sql_distinct_texts() -> str:

@@ -513,6 +513,19 @@ def q_explain_reviews(spark, sf):
                      rules.parse_label(F.col("explanation")).alias("parsed_label"))
 
 
+def q_evaluate_explainer(spark, sf):
+    ex = models.explain_reviews(models.rule_flags(_own_pairs(spark, sf))).select("pos", "explanation")
+    truth = testdata.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("pos"), F.when(F.col("quality") == 1, "real").otherwise("fake").alias("pseudo_label"))
+    return models.evaluate_explainer(ex.join(truth, "pos"))
+
+
+def q_predict_requests(spark, sf):
+    model, _ = models.train_classifier(_classifier_examples(spark, sf), test_fraction=0.2, seed=SEED)
+    requests = records.request_contexts(testdata.reviews(spark, sf), testdata.products(spark, sf))
+    return models.predict_requests(model, requests).select("review_id", "prediction", "verdict")
+
+
 def _classifier_examples(spark, sf):
     return dataset.encode_labels_strict(_qlabels(spark, sf))
 
@@ -608,6 +621,8 @@ def q_upsert_products(spark, sf):
 QUERIES.update({
     "explain_reviews": q_explain_reviews,
     "train_classifier": q_train_classifier,
+    "evaluate_explainer": q_evaluate_explainer,
+    "predict_requests": q_predict_requests,
     "evaluate_classifier": q_evaluate_classifier,
     "scan_reviews_csv": q_scan_reviews_csv,
     "scan_products_csv": q_scan_products_csv,

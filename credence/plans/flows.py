@@ -130,6 +130,13 @@ def train(spark: SparkSession, train_path: str, model_dir: str, test_fraction: f
     return summary
 
 
+def predict(spark: SparkSession, model_dir: str, requests_csv: str, products_csv: str, out_path: str) -> int:
+    """Verdicts for a table of requests (review CSV columns), written as JSONL."""
+    requests = records.request_contexts(files.read_csv_table(spark, requests_csv, "*.csv"), files.read_products_csv(spark, products_csv))
+    files.write_jsonl(models.predict_requests(models.load_model(model_dir), requests), out_path)
+    return spark.read.json(out_path).count()
+
+
 def evaluate(spark: SparkSession, model_dir: str, test_path: str, max_rows: int | None = None) -> DataFrame:
     recs = _records(spark, test_path, CONTEXT_RECORD_SCHEMA)
     return models.evaluate_classifier(models.load_model(model_dir), recs, max_rows=max_rows)

@@ -5,6 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from credence.functions import rules
 from credence.plans import flows
 from credence.sources import files, testdata
 
@@ -33,5 +34,8 @@ def test_workflow(spark):
     assert aug.where(F.col("pseudo_label") == "fake").count() >= n_fake
     summary = flows.train(spark, f"{d}/small_train.jsonl", f"{d}/model", test_fraction=0.2, seed=1).first()
     assert 0.0 <= summary.accuracy <= 1.0
+    assert flows.predict(spark, f"{d}/model", f"{d}/reviews", f"{d}/products", f"{d}/verdicts.jsonl") > 0
+    assert {r.verdict for r in spark.read.json(f"{d}/verdicts.jsonl").select("verdict").distinct().collect()} <= {
+        rules.VERDICT_USEFUL, rules.VERDICT_USELESS}
     report = flows.evaluate(spark, f"{d}/model", f"{d}/small_test.jsonl").collect()
     assert {r["class"] for r in report} >= {"accuracy", "macro avg", "weighted avg"}
