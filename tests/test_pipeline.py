@@ -7,12 +7,14 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from credence.plans import catalog
 
 FAST_KEYS = ["label_reviews", "topk_similar_products", "build_context", "balanced_dataset", "stratified_split",
              "flag_duplicates", "classification_report", "running_label_counts", "augment_text", "pair_real_fake",
              "explain_reviews", "scan_reviews_csv", "sort_products", "parse_context", "fake_score", "label_counts",
              "metrics_summary", "text_norm", "random_review_info", "safe_casts", "distinct_texts",
-             "encode_labels_strict", "encode_labels_lenient"]
+             "encode_labels_strict", "encode_labels_lenient", "synth_fakes", "evaluate_explainer",
+             "build_request_context"]
 
 
 def test_entry(spark):
@@ -25,7 +27,8 @@ def test_entry(spark):
 def test_every_query_has_oracle_or_is_learned():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"train_classifier", "evaluate_classifier"}
+    learned = {"train_classifier", "evaluate_classifier", "predict_requests"}
+    assert set(catalog.QUERIES) <= set(q) and set(catalog.QUERIES) - set(o) == learned
 
 
 def _norm(v):
