@@ -1,14 +1,29 @@
-"""Plain Python versions of what the operators must return."""
+"""Plain Python versions of what the operators must return, and shared fixtures."""
 
 import collections
 import re
 import string
 
+import duckdb
+import pytest
+
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
+@pytest.fixture(scope="session")
+def small_docs():
+    return duckdb.sql(f"SELECT doc_id, text, source FROM '{SMALL}/documents.parquet' ORDER BY doc_id").fetchall()
+
+
+@pytest.fixture(scope="session")
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def rows_of(df):
     return [r.asDict() for r in df.collect()]
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import SMALL, jaccard_components, rows_of, smallest_reachable, without_repeats
+from helpers import SMALL, jaccard_components, rows_of, small_docs, smallest_reachable, without_repeats  # noqa: F401
 from pyspark.sql import functions as F
 
 from credence.llm import ngram_join, queries, substring_dedup, vector_dedup

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import SMALL, rows_of
+from helpers import SMALL, rows_of, small_docs, tokenizer_path  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
