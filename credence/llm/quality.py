@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from credence.llm import _text
 
-PER_CLASS = 4000
-POOL = 4000
+PER_CLASS = 2000
+POOL = 2000
 ROUNDS = 3
 BINS = 1 << 18
 CHOSEN = 400
@@ -110,7 +110,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.1) -> np.ndarray:
     """Weights (last: bias) of a class-balanced logistic fit by Adam over the whole matrix."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float32)
+    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1, dtype=np.float32)
     balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for t in range(1, steps + 1):
@@ -139,7 +139,7 @@ class View:
         hit[inside] = self.bins[at[inside]] == bins[inside]
         words = np.zeros((len(dense), len(self.bins)), np.float32)
         words[doc[hit], at[hit]] = 1
-        return np.concatenate([words, (dense - self.centre) / self.scale], 1)
+        return np.concatenate([words, (dense - self.centre) / self.scale], 1, dtype=np.float32)
 
     def probability(self, doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if len(self.combine) == 0:
@@ -150,11 +150,10 @@ class View:
 
 
 def _choose(doc: np.ndarray, bins: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """The bins whose document rates differ most between the classes (standardised)."""
-    pair = np.unique(doc[use[doc]] * BINS + bins[use[doc]])
-    d, b = pair // BINS, pair % BINS
-    pos = np.bincount(b[y[d] > 0.5], minlength=BINS)
-    neg = np.bincount(b[y[d] <= 0.5], minlength=BINS)
+    """The bins whose document rates differ most between the classes (standardised). A document has
+    each of its bins once."""
+    pos = np.bincount(bins[(use & (y > 0.5))[doc]], minlength=BINS)
+    neg = np.bincount(bins[(use & (y <= 0.5))[doc]], minlength=BINS)
     n1, n0 = max((y[use] > 0.5).sum(), 1), max((y[use] <= 0.5).sum(), 1)
     p = (pos + neg) / (n1 + n0)
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
@@ -172,7 +171,7 @@ def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.nda
     view = View()
     view.bins = _choose(doc, bins, np.nan_to_num(y), train)
     view.centre, view.scale = dense[train].mean(0), dense[train].std(0) + 1e-3
-    text = view.text_matrix(doc, bins, dense).astype(np.float32)
+    text = view.text_matrix(doc, bins, dense)
     pseudo = {"text": np.full(len(y), np.nan), "meta": np.full(len(y), np.nan)}
     for _ in range(ROUNDS):
         for name, x, other in (("text", text, "meta"), ("meta", meta, "text")):
@@ -239,8 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: i
     if got.num_rows == 0:
         return {t: View() for t in TARGETS}
     words = [np.frombuffer(x, np.uint32) for x in got["words"].to_pylist()]
-    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    bins = np.concatenate(words).astype(np.int64)
+    doc = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+    bins = np.concatenate(words)
     dense, meta = (np.stack([np.frombuffer(x) for x in got[c].to_pylist()]) for c in ("dense", "meta"))
     ids = got["id"].to_numpy().astype(np.int64).view(np.uint64)
     fold = _text.mix(ids + np.uint64(77)) % np.uint64(4) == 0
