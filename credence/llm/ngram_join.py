@@ -278,8 +278,8 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     judged = candidates(docs, k, percent, id_col, text_col)
     open_ = F.col("digest").isNotNull()
-    classes = judged.filter(open_).groupBy("digest").agg(F.min("id").alias("class"))
-    member = materialize(judged.filter(open_).select("id", "digest").join(classes, "digest").select("id", "class").distinct(), "set-classes")
+    member = attach(judged.filter(open_).select("id", "digest"), ["digest"], F.col("id"), {"__m": F.min("id")}, {"class": F.min("__m")})
+    member = materialize(member.select("id", "class").distinct(), "set-classes")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +292,10 @@ def similar_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     # rows of one id with different sets are one node: all their prefixes count
     tokens = judged.filter(open_).select("id", "prefix").join(reps, "id").mapInArrow(spread, "token long, id long")
     tokens = materialize(tokens, "prefix-shingles")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__low")).filter("__n > 1")
-    chained = attach(tokens.join(shared.select("token"), "token", "left_semi"), ["token"], F.col("id"), {"__m": F.min("id")}, {"low": F.min("__m")})
+    chained = attach(
+        tokens, ["token"], F.col("id"), {"__m": F.min("id"), "__c": F.count(F.lit(1))}, {"low": F.min("__m"), "__n": F.sum("__c")},
+        then=lambda t: t.filter("__n > 1"),
+    )
     groups = materialize(components(chained.select(F.col("id").alias("u"), F.col("low").alias("v")), "candidate-groups"), "candidate-groups")
 
     sets = judged.filter(open_).select("id", "n", "hashes").join(reps, "id").join(groups.withColumnRenamed("node", "id"), "id")
