@@ -3,20 +3,25 @@
 Two targets are learned from the same machinery: low quality and toxic. For each, a text classifier
 (hashed words chosen by their log-odds, plus character statistics of the whole text) and a metadata
 classifier (language, source, length) are fitted on a bounded labelled sample; over ``ROUNDS``
-rounds each view gives the other its confident pseudo-labels of a bounded unlabelled pool. Each
-view's logit is then calibrated, and both are combined, by a logistic fit on a held-out fold. Every
+rounds each view scores all unlabelled documents on the executors and gives the other a draw of its
+confident pseudo-labels. Each view's logit is then calibrated, and both are combined, by a logistic fit on a held-out fold. Every
 document, whole text, is scored on the executors. A document is rejected when a combined probability
 reaches the target's limit: at least 0.5, and high enough that at most ``FALSE_REJECTS`` of the
 good documents reach it, of the held-out ones and of all that are known.
 
-Bounds: ``PER_CLASS`` labelled documents of each of (good, low quality, toxic) and ``POOL``
-unlabelled ones are fitted on, taken in md5 order of their ids; only their features reach the
-driver. Scores cover all rows.
+Bounds: ``PER_CLASS`` labelled documents of each of (good, low quality, toxic) are fitted on, taken
+in md5 order of their ids. In each round every document that the target has no label for is scored
+by each view; all confident ones are fitted on, or where there are more than ``POOL`` of a label, a
+seeded draw over all of them of ``POOL`` expected documents, a new one each time. Word counts are
+taken and words chosen on the executors; only chosen words and statistics of the sample and of the
+draws reach the driver. Scores cover all rows.
 
 Defined cases
 -------------
 * null text: empty text; null metadata: a value of its own; a label row with a null id or null label
-  is not used for that target; two labels for one id: the larger value counts.
+  is not used for that target; two labels for one id: the larger value counts. A document with a
+  null id, or with a null label for a target, is unlabelled there.
+* unlabelled rows equal in id, text, language and source are drawn together, as one.
 * no labels at all, or one class only: probability 0, nothing is rejected.
 * repeated rows and ids: each row is scored on its own. Empty table: empty result.
 * extra columns stay in ``keep``; names used here do not clash, features are taken by position.
@@ -33,9 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm import _text
+from credence.llm._scratch import materialize
+from credence.operators.skew import spread_lookup
 
-PER_CLASS = 2000
-POOL = 2000
+PER_CLASS = 4000
+POOL = 4000
 ROUNDS = 3
 BINS = 1 << 18
 CHOSEN = 400
@@ -86,19 +93,23 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return doc, bins, np.sqrt(np.abs(np.stack(shares, 1)))
 
 
-def meta_features(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
-    n = len(lang)
-    out = np.zeros((n, 2 * META_SLOTS + 14))
+def meta_codes(lang: list, source: list, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: codes of lang and source, and its size."""
 
     def slot(value: str | None) -> int:
         code = 0 if value is None else int.from_bytes(value.encode()[-8:], "little") + 1 + len(value)
         return int(_text.mix(np.array([code & (2**64 - 1)], np.uint64))[0] % np.uint64(META_SLOTS))
 
     slots: dict = {}
-    for at, values in ((0, lang), (META_SLOTS, source)):
-        cols = np.fromiter((slots[v] if v in slots else slots.setdefault(v, slot(v)) for v in values), np.int64, n)
+    lang, source = (np.fromiter((slots[v] if v in slots else slots.setdefault(v, slot(v)) for v in x), np.int64, len(x)) for x in (lang, source))
+    return lang, source, np.log1p(np.maximum(n_chars, 0)) / 12
+
+
+def meta_matrix(lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> np.ndarray:
+    n = len(size)
+    out = np.zeros((n, 2 * META_SLOTS + 14))
+    for at, cols in ((0, lang), (META_SLOTS, source)):
         out[np.arange(n), at + cols] = 1
-    size = np.log1p(np.maximum(n_chars, 0)) / 12
     out[:, 2 * META_SLOTS] = size
     out[np.arange(n), 2 * META_SLOTS + 1 + np.minimum((size * 12).astype(int), 12)] = 1
     return out
@@ -132,57 +143,146 @@ class View:
     combine: np.ndarray = field(default_factory=lambda: np.zeros(0))
     limit: float = 2.0
 
-    def text_matrix(self, doc: np.ndarray, bins: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def chosen(self, doc: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, place in ``bins``) of the chosen words."""
         at = np.searchsorted(self.bins, bins)
         hit = np.zeros(len(bins), bool)
         inside = at < len(self.bins)
         hit[inside] = self.bins[at[inside]] == bins[inside]
+        return doc[hit], at[hit]
+
+    def matrix(self, doc: np.ndarray, at: np.ndarray, dense: np.ndarray) -> np.ndarray:
         words = np.zeros((len(dense), len(self.bins)), np.float32)
-        words[doc[hit], at[hit]] = 1
+        words[doc, at] = 1
         return np.concatenate([words, (dense - self.centre) / self.scale], 1, dtype=np.float32)
 
     def probability(self, doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if len(self.combine) == 0:
             return np.zeros(len(dense))
-        a = self.text_matrix(doc, bins, dense) @ self.text[:-1] + self.text[-1]
+        a = self.matrix(*self.chosen(doc, bins), dense) @ self.text[:-1] + self.text[-1]
         b = meta @ self.meta[:-1] + self.meta[-1]
         return _sigmoid(a * self.combine[0] + b * self.combine[1] + self.combine[2])
 
 
-def _choose(doc: np.ndarray, bins: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """The bins whose document rates differ most between the classes (standardised). A document has
-    each of its bins once."""
-    pos = np.bincount(bins[(use & (y > 0.5))[doc]], minlength=BINS)
-    neg = np.bincount(bins[(use & (y <= 0.5))[doc]], minlength=BINS)
-    n1, n0 = max((y[use] > 0.5).sum(), 1), max((y[use] <= 0.5).sum(), 1)
+def _choose(bins: np.ndarray, pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The bins whose document rates differ most between the classes (standardised). ``pos``, ``neg``:
+    documents of each class that have the bin; ``n1``, ``n0``: documents of each class."""
+    n1, n0 = max(n1, 1), max(n0, 1)
     p = (pos + neg) / (n1 + n0)
     z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     z[pos + neg < 5] = 0
-    best = np.argsort(-z, kind="stable")[:CHOSEN]
-    return np.sort(best[z[best] > 5.5])
-
-
-def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: np.ndarray, fold: np.ndarray) -> View:
-    """``y``: labels, NaN where unknown; ``pool``: unlabelled documents; ``fold``: held out."""
-    known = ~np.isnan(y) & ~pool
-    train, held = known & ~fold, known & fold
-    if any(len(np.unique(y[s])) < 2 for s in (train, held)):
-        return View()
-    view = View()
-    view.bins = _choose(doc, bins, np.nan_to_num(y), train)
-    view.centre, view.scale = dense[train].mean(0), dense[train].std(0) + 1e-3
-    text = view.text_matrix(doc, bins, dense)
-    pseudo = {"text": np.full(len(y), np.nan), "meta": np.full(len(y), np.nan)}
-    for _ in range(ROUNDS):
-        for name, x, other in (("text", text, "meta"), ("meta", meta, "text")):
-            given = np.where(pool, pseudo[other], y)  # confident labels of the other view
-            use = (train | pool) & ~np.isnan(given)
-            w = _logistic(x[use], given[use], max(1e-4, 0.3 / use.sum()))
-            setattr(view, name, w)
-            p = _sigmoid(x @ w[:-1] + w[-1])
-            prior = y[train].mean()  # the fit is class-balanced: back to the sample's odds
-            p = p * prior / (p * prior + (1 - p) * (1 - prior))
-            pseudo[name] = np.where(p <= CONFIDENT[0], 0.0, np.where(p >= CONFIDENT[1], 1.0, np.nan))
+    best = np.lexsort((bins, -z))[:CHOSEN]
+    return np.sort(bins[best[z[best] > 5.5]])
+
+
+def _fold(ids: np.ndarray) -> np.ndarray:
+    """Whether a labelled document is held out."""
+    return _text.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) % np.uint64(4) == 0
+
+
+def _binary(doc: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """``values`` of each of ``n`` documents, in document order, as bytes."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _values(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """(document, value) of what ``_binary`` made."""
+    data, offsets = _text.utf8(column)
+    values = np.frombuffer(data.tobytes(), dtype)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // values.itemsize), values
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _one(table: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in table.columns], names=table.column_names)
+
+
+def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, dict]:
+    """For columns (text, lang, source, n_chars): (document, bin) of the distinct words, and the
+    columns dense, lang, source, size."""
+    data, offsets = _text.utf8(batch.column(0))
+    doc, bins, dense = text_features(data, offsets)
+    pair = np.unique(doc * BINS + bins)
+    lang, source, size = _codes_of(batch, 1)
+    n = batch.num_rows
+    columns = {"dense": _binary(np.repeat(np.arange(n), dense.shape[1]), dense.astype(np.float32).ravel(), n), "lang": pa.array(lang), "source": pa.array(source), "size": pa.array(size)}
+    return pair // BINS, pair % BINS, columns
+
+
+_REST = "dense binary, lang long, source long, size double, low_quality double, toxic double"
+_NARROW = f"key long, words_low_quality binary, words_toxic binary, {_REST}"
+
+
+def _rest(batch: pa.RecordBatch) -> dict:
+    return {c: batch.column(c) for c in ("dense", "lang", "source", "size", "low_quality", "toxic")}
+
+
+def _matrix(batch: pa.RecordBatch, name: str, target: str, view: View) -> np.ndarray:
+    """One view's features of narrow rows."""
+    if name == "meta":
+        return meta_matrix(*(batch.column(c).to_numpy() for c in ("lang", "source", "size")))
+    dense = _values(batch.column("dense"), np.float32)[1].reshape(batch.num_rows, len(view.centre))
+    return view.matrix(*_values(batch.column(f"words_{target}"), np.uint16), dense)
+
+
+def _confident(batch: pa.RecordBatch, name: str, views: dict[str, View], priors: dict[str, float]) -> dict[str, np.ndarray]:
+    """Each target's confident labels by one view for the rows without a label there, else NaN."""
+    out = {}
+    for t, view in views.items():
+        w = getattr(view, name)
+        p = _sigmoid(_matrix(batch, name, t, view) @ w[:-1] + w[-1])
+        p = p * priors[t] / (p * priors[t] + (1 - p) * (1 - priors[t]))  # the fit is class-balanced: back to the sample's odds
+        out[t] = np.where(p <= CONFIDENT[0], 0.0, np.where(p >= CONFIDENT[1], 1.0, np.nan))
+        out[t][~np.isnan(_numbers(batch.column(t)))] = np.nan
+    return out
+
+
+def _draw(rows: DataFrame, name: str, views: dict[str, View], priors: dict[str, float], pool: int, seed: int) -> dict[str, pa.RecordBatch]:
+    """Per target: narrow rows with one view's confident labels in place of the target's, drawn over
+    all of ``rows``; each label has ``pool`` expected rows, or all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * len(views), np.int64)
+        for batch in batches:
+            got = _confident(batch, name, views, priors)
+            n += [int((y == v).sum()) for y in got.values() for v in (0, 1)]
+        yield pa.RecordBatch.from_pydict({"label": pa.array(np.arange(len(n))), "n": pa.array(n)})
+
+    counts = np.zeros(2 * len(views))
+    found = rows.mapInArrow(count, "label long, n long").groupBy("label").sum("n").toArrow()
+    counts[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    shares = dict(zip(views, (pool / np.maximum(counts, 1)).reshape(-1, 2), strict=True))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # equal rows have equal keys: drawn ones only
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            u = _text.mix(keys.view(np.uint64) + np.uint64(seed)) / 2.0**64
+            got = _confident(batch, name, views, priors)
+            for t, y in got.items():
+                y[~(u < np.where(y > 0.5, shares[t][1], shares[t][0]))] = np.nan
+            take = np.zeros(len(keys), bool)
+            for i in np.flatnonzero(np.any([~np.isnan(y) for y in got.values()], axis=0)):
+                take[i] = keys[i] not in seen
+                seen.add(keys[i])
+            none = np.full(len(keys), np.nan)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {t: pa.array(got.get(t, none), from_pandas=True) for t in TARGETS}
+            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(take))
+
+    got = _one(rows.mapInArrow(draw, _NARROW).toArrow())
+    keys, first = np.unique(got.column("key").to_numpy(), return_index=True)
+    got = got.take(pa.array(first))
+    return {t: got.filter(got.column(t).is_valid()) for t in views}
+
+
+def _finish(view: View, text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray) -> None:
+    """Calibrates and combines the two views on the held-out labelled rows; sets the limit."""
+    known = ~np.isnan(y)
+    held = known & fold
     logits = np.stack([text @ view.text[:-1] + view.text[-1], meta @ view.meta[:-1] + view.meta[-1]], 1)
     scale = np.maximum(logits[held].std(0), 1e-6)
     use = np.ones(2)
@@ -192,72 +292,134 @@ def _co_train(doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.nda
     view.combine = np.append(np.maximum(w[:2], 0) * use / scale, w[2])
     reach = [_sigmoid(logits[s & (y == 0)] @ view.combine[:2] + view.combine[2]) for s in (held, known)]
     view.limit = max(0.5, *(float(np.quantile(good, 1 - FALSE_REJECTS)) + 1e-6 for good in reach))
-    return view
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, per_class: int, pool: int, seed: str) -> DataFrame:
-    """(id, low_quality, toxic) of the bounded sample; both null in the pool."""
+def _known(labels: DataFrame, id_col: str) -> DataFrame:
+    """(id, low_quality, toxic) of the ids with a label for one target at least."""
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(
         (1 - F.max("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
+    return known.filter(F.col("low_quality").isNotNull() | F.col("toxic").isNotNull())
+
+
+def _sample(docs: DataFrame, known: DataFrame, id_col: str, per_class: int, seed: str) -> DataFrame:
+    """The rows of ``known`` in the bounded sample."""
     order: Column = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
     ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
-    bad, toxic = F.col("low_quality") == 1, F.col("toxic") == 1
+    bad, toxic = F.coalesce(F.col("low_quality") == 1, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
     known = known.join(ids, id_col, "left_semi")
-    parts = [known.filter(c).orderBy(order).limit(per_class) for c in (bad, toxic & ~F.coalesce(bad, F.lit(False)), ~F.coalesce(bad, F.lit(False)) & ~F.coalesce(toxic, F.lit(False)))]
-    unknown = ids.join(known, id_col, "left_anti").orderBy(order).limit(pool)
-    nothing = F.lit(None).cast("int")
-    parts.append(unknown.select(id_col, nothing.alias("low_quality"), nothing.alias("toxic")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [known.filter(c).orderBy(order).limit(per_class) for c in (bad, toxic & ~bad, ~bad & ~toxic)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = PER_CLASS, pool: int = POOL, seed: str = "quality") -> dict[str, View]:
-    """The two targets' models. ``docs``: id, text, lang, source, n_chars; ``labels``: id, quality, toxic."""
-    sample = F.broadcast(_sample(docs, labels, id_col, per_class, pool, seed))  # at most 3 * per_class + pool rows
-    rows = docs.select(id_col, "text", "lang", "source", "n_chars").join(sample, id_col)
+def _labelled(rows: DataFrame) -> DataFrame:
+    """Features of labelled rows (id, text, lang, source, n_chars, low_quality, toxic) with all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.chunks(batches):
+            doc, bins, columns = _features(batch.select([1, 2, 3, 4]))
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.int64()), "words": _binary(doc, bins.astype(np.uint32), batch.num_rows), **columns,
+                                              "low_quality": batch.column(5).cast(pa.float64()), "toxic": batch.column(6).cast(pa.float64())})
+
+    return materialize(rows.mapInArrow(run, f"id long, words binary, {_REST}"), "quality-labelled")
+
+
+def _chosen_bins(labelled: DataFrame) -> dict[str, np.ndarray]:
+    """Each target's chosen bins, from counts over the training rows that are taken on the executors."""
+    names = [f"{t}_{v}" for t in TARGETS for v in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, bins = _values(batch.column("words"), np.uint32)
+            train = ~_fold(batch.column("id").to_numpy())
+            sets = [train & (_numbers(batch.column(t)) == v) for t in TARGETS for v in (0, 1)]
+            n = np.stack([np.append(np.bincount(bins[s[doc]], minlength=BINS), s.sum()) for s in sets])  # last: documents
+            some = np.flatnonzero(n.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x) for x in n[:, some])], names=["bin", *names])
+
+    counts = labelled.mapInArrow(run, ", ".join(["bin long", *(f"{c} long" for c in names)])).groupBy("bin").agg(*(F.sum(c).alias(c) for c in names))
+    got = counts.toArrow().sort_by("bin")  # at most BINS + 1 rows
+    bins, n = got["bin"].to_numpy(), np.zeros(4, np.int64)
+    columns = [got[c].to_numpy() for c in names]
+    if len(bins):
+        n[:] = [c[bins == BINS].sum() for c in columns]
+    word = bins < BINS
+    return {t: _choose(bins[word], columns[2 * i + 1][word], columns[2 * i][word], n[2 * i + 1], n[2 * i]) for i, t in enumerate(TARGETS)}
+
+
+def _unlabelled(docs: DataFrame, known: DataFrame, views: dict[str, View], id_col: str) -> DataFrame:
+    """Narrow rows of all documents without a label for one of the targets in ``views``."""
+    keyed = docs.select("text", "lang", "source", "n_chars", F.col(id_col).alias("__id"), F.xxhash64(id_col, "text", "lang", "source").alias("key"))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.chunks(batches):
-            data, offsets = _text.utf8(batch.column(1))
-            doc, bins, dense = text_features(data, offsets)
-            pair = np.unique(doc * BINS + bins)
-            counts = np.bincount(pair // BINS, minlength=batch.num_rows)
-            meta = _meta_of(batch, 2)
-            f = lambda a: [x.tobytes() for x in a]
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column(0).cast(pa.int64()),
-                "words": pa.array([x.astype(np.uint32).tobytes() for x in np.split(pair % BINS, np.cumsum(counts)[:-1])], pa.binary()),
-                "dense": pa.array(f(dense), pa.binary()), "meta": pa.array(f(meta), pa.binary()),
-                "low_quality": batch.column(5).cast(pa.float64()), "toxic": batch.column(6).cast(pa.float64()),
-            })
-
-    got = rows.mapInArrow(features, "id long, words binary, dense binary, meta binary, low_quality double, toxic double").toArrow()
-    got = got.sort_by("id")
-    if got.num_rows == 0:
-        return {t: View() for t in TARGETS}
-    words = [np.frombuffer(x, np.uint32) for x in got["words"].to_pylist()]
-    doc = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
-    bins = np.concatenate(words)
-    dense, meta = (np.stack([np.frombuffer(x) for x in got[c].to_pylist()]) for c in ("dense", "meta"))
-    ids = got["id"].to_numpy().astype(np.int64).view(np.uint64)
-    fold = _text.mix(ids + np.uint64(77)) % np.uint64(4) == 0
-    ys = [got[t].to_numpy().astype(float) for t in TARGETS]
-    unlabelled = np.isnan(ys[0]) & np.isnan(ys[1])
-    return {t: _co_train(doc, bins, dense, meta, y, unlabelled, fold) for t, y in zip(TARGETS, ys, strict=True)}
-
-
-def _meta_of(batch: pa.RecordBatch, at: int) -> np.ndarray:
+            doc, bins, columns = _features(batch)
+            words = {}
+            for t in TARGETS:
+                d, at = views[t].chosen(doc, bins) if t in views else (doc[:0], bins[:0])
+                words[f"words_{t}"] = _binary(d, at.astype(np.uint16), batch.num_rows)
+            yield pa.RecordBatch.from_pydict({"__id": batch.column(4), "key": batch.column(5), **words, **columns})
+
+    rows = keyed.mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, {_NARROW.rsplit(', ', 2)[0]}")
+    rows = rows.withColumn("__nth", F.monotonically_increasing_id())
+    rows = spread_lookup(rows, known.withColumnRenamed(id_col, "__id"), "__id", F.col("__nth"))
+    rows = rows.withColumns({t: F.col(t).cast("double") for t in TARGETS})
+    return materialize(rows.filter(" OR ".join(f"{t} IS NULL" for t in views)).select(*[c.split()[0] for c in _NARROW.split(", ")]), "quality-unlabelled")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = PER_CLASS, pool: int = POOL, seed: str = "quality") -> dict[str, View]:
+    """The two targets' models. ``docs``: id, text, lang, source, n_chars; ``labels``: id, quality, toxic."""
+    known = _known(labels, id_col)
+    sample = F.broadcast(_sample(docs, known, id_col, per_class, seed))  # at most 3 * per_class rows
+    labelled = _labelled(docs.select(id_col, "text", "lang", "source", "n_chars").join(sample, id_col))
+    models = {t: View(bins=bins) for t, bins in _chosen_bins(labelled).items()}
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, bins = _values(batch.column("words"), np.uint32)
+            words = {f"words_{t}": models[t].chosen(doc, bins) for t in TARGETS}
+            yield pa.RecordBatch.from_pydict({"key": batch.column("id")} | {c: _binary(d, at.astype(np.uint16), batch.num_rows) for c, (d, at) in words.items()} | _rest(batch))
+
+    got = _one(labelled.mapInArrow(narrow, _NARROW).toArrow().sort_by([(c, "ascending") for c in ("key", "source", "lang", "size")]))
+    fold = _fold(got.column("key").to_numpy())
+    ys = {t: _numbers(got.column(t)) for t in TARGETS}
+    views = {t: v for t, v in models.items() if all(len(np.unique(ys[t][~np.isnan(ys[t]) & s])) == 2 for s in (fold, ~fold))}
+    if views:
+        _co_train(got, ys, fold, views, _unlabelled(docs, known, views, id_col), pool)
+    return {t: views.get(t, View()) for t in TARGETS}
+
+
+def _co_train(got: pa.RecordBatch, ys: dict[str, np.ndarray], fold: np.ndarray, views: dict[str, View], rows: DataFrame, pool: int) -> None:
+    """Fits ``views``. ``got``: narrow labelled rows; ``ys``: their labels, NaN where unknown; ``fold``:
+    held out; ``rows``: all rows without a label."""
+    train = {t: ~np.isnan(ys[t]) & ~fold for t in views}
+    dense = _values(got.column("dense"), np.float32)[1].reshape(got.num_rows, -1).astype(float)
+    for t, view in views.items():
+        view.centre, view.scale = dense[train[t]].mean(0), dense[train[t]].std(0) + 1e-3
+    priors = {t: float(ys[t][train[t]].mean()) for t in views}
+    given: dict[str, pa.RecordBatch] = {}
+    for step in range(2 * ROUNDS):
+        name = ("text", "meta")[step % 2]
+        for t, view in views.items():
+            x, y = _matrix(got.filter(pa.array(train[t])), name, t, view), ys[t][train[t]]
+            if t in given:  # the other view's labels
+                x, y = np.concatenate([x, _matrix(given[t], name, t, view)]), np.concatenate([y, _numbers(given[t].column(t))])
+            setattr(view, name, _logistic(x, y, max(1e-4, 0.3 / len(y))))
+        if step < 2 * ROUNDS - 1:
+            given = _draw(rows, name, views, priors, pool, step + 1)
+    for t, view in views.items():
+        _finish(view, *(_matrix(got, name, t, view) for name in ("text", "meta")), ys[t], fold)
+
+
+def _codes_of(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n_chars = batch.column(at + 2).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
-    return meta_features(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), np.nan_to_num(n_chars))
+    return meta_codes(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), np.nan_to_num(n_chars))
 
 
 def _probabilities(batch: pa.RecordBatch, model: dict[str, View]) -> tuple[list[np.ndarray], np.ndarray]:
     """For columns (text, lang, source, n_chars): each target's probability, and whether to keep."""
     data, offsets = _text.utf8(batch.column(0))
     doc, bins, dense = text_features(data, offsets)
-    meta = _meta_of(batch, 1)
+    meta = meta_matrix(*_codes_of(batch, 1))
     p = [model[t].probability(doc, bins, dense, meta) for t in TARGETS]
     keep = np.ones(batch.num_rows, bool)
     for t, x in zip(TARGETS, p, strict=True):

@@ -67,3 +67,26 @@ def test_held_out_accuracy(spark, column, bad):
     clean = [a for q, t, a in held if q == 1 and t == 0]
     rejected = [not a for q, t, a in held if (q if column == "quality" else t) == bad]
     assert sum(clean) >= 0.97 * len(clean) and sum(rejected) >= 0.7 * len(rejected)
+
+
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark, monkeypatch):
+    """Rounds draw anew over all documents without a label; a null label or id counts as none."""
+    rows, labels = corpus(2400)
+    rows.append((None, *rows[0][1:]))
+    docs = spark.createDataFrame(rows, DOC).repartition(4)
+    known = [(i, q, t) for i, _, q, t in labels if i % 4 == 0] + [(1, None, None), (2, 1, None)]
+    drawn, draw = [], quality._draw
+    unlabelled = []
+
+    def spy(rows, name, views, *rest):
+        unlabelled.append(rows.count())
+        drawn.append(draw(rows, name, views, *rest))
+        return drawn[-1]
+
+    monkeypatch.setattr(quality, "_draw", spy)
+    quality.fit(docs, spark.createDataFrame(known, "doc_id long, quality int, toxic int"), pool=60)
+    assert set(unlabelled) == {1801} and len(drawn) == 2 * quality.ROUNDS - 1
+    for t in quality.TARGETS:
+        sets = [set(d[t].column("key").to_pylist()) for d in drawn]
+        assert all(0 < len(s) < 2 * 60 + 60 for s in sets) and len(set.union(*sets)) > 2 * 60 + 60
+    assert quality.PER_CLASS == quality.POOL == 4000
