@@ -10,9 +10,10 @@ words long. At a factor's end the next window, which overlaps it by all but one
 anew, so no duplicate across factor boundaries is missed. Windows are judged on the input; the words
 covered by factors are removed.
 
-Equality is that of 64-bit anchor hashes plus 40 bits of the window's hash (104 bits). Blocks of
-more than ``HOT_ROWS`` segments are parsed window by window with salted aggregates instead, so one
-passage in a third of all documents is neither held nor read by one task.
+Equality is that of the 64-bit anchor hashes, the anchor's place and the windows' 64-bit hashes.
+Blocks of more than ``HOT_ROWS`` segments are parsed window by window with salted aggregates instead,
+so one passage in a third of all documents is neither held nor read by one task; as all their windows
+share one anchor, they are also compared by a second 64-bit hash over other byte codes.
 
 Defined cases
 -------------
@@ -40,7 +41,7 @@ from credence.llm._scratch import materialize
 WINDOW = 50
 ANCHOR = 20
 HOT_ROWS = 50_000
-PRINT_BYTES = 5
+PRINT_BYTES = 8  # of one window hash
 PARSE_ROWS = 30_000
 
 
@@ -57,9 +58,9 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int, prints: int = 1) -> tuple[np.ndarray, ...]:
     """Per segment: document, its first window (words from 0), the anchor's place in that window,
-    the number of windows, the anchor's hash; and the hashes of all windows in segment order."""
+    the number of windows, the anchor's hash; and ``prints`` (1 or 2) independent hashes of all windows in segment order."""
     starts, ends, first = _text.words(data, offsets)
     hashes = _text.word_hashes(data, starts, ends)
     n = np.diff(first)
@@ -67,11 +68,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) ->
     at = _text.ranges(first[:-1], counts)  # first words of the windows
     if len(at) == 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64), np.zeros((0, prints), np.uint64)
     doc = np.repeat(np.arange(len(n)), counts)
     grams = _text.run_hashes(hashes, anchor)
     owner = _sliding_min(grams, window - anchor + 1)[at].astype(np.int64)
-    whole = _text.run_hashes(hashes, window)[at]
+    words = [hashes] + [_text.word_hashes(data ^ np.uint8(0x5A), starts, ends)] * (prints - 1)
+    whole = np.stack([_text.run_hashes(h, window)[at] for h in words], 1)
     new = np.ones(len(at), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
@@ -85,17 +87,18 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("fp"), F.col(text_col).alias("text"))
 
 
-def _segment_rows(keyed: DataFrame, window: int, anchor: int, prints: bool) -> DataFrame:
+def _segment_rows(keyed: DataFrame, window: int, anchor: int, prints: int) -> DataFrame:
     """(anchor) of every segment, or with ``prints`` (anchor, id, fp, start, place, windows): the
-    windows as the first bytes of their hashes."""
+    windows as their first or, one after the other, their two hashes."""
+    width = prints * PRINT_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.chunks(batches):
-            doc, start, place, size, key, whole = segments(*_text.utf8(batch.column(2)), window, anchor)
+            doc, start, place, size, key, whole = segments(*_text.utf8(batch.column(2)), window, anchor, max(prints, 1))
             out = {"anchor": pa.array(key.view(np.int64))}
             if prints:
-                body = np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES]).tobytes()
-                ends = np.concatenate([[0], np.cumsum(size) * PRINT_BYTES]).astype(np.int32)
+                body = whole.astype("<u8").tobytes()
+                ends = np.concatenate([[0], np.cumsum(size) * width]).astype(np.int32)
                 at = pa.array(doc)
                 out |= {
                     "id": batch.column(0).take(at), "fp": batch.column(1).take(at), "start": pa.array(start, pa.int32()), "place": pa.array(place, pa.int32()),
@@ -107,14 +110,13 @@ def _segment_rows(keyed: DataFrame, window: int, anchor: int, prints: bool) -> D
     return keyed.mapInArrow(run, schema)
 
 
-def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(table: pa.Table, prints: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For segments: window hashes, the row of each, its number in the row, and rows' sizes."""
     bodies = table.column("windows").to_pylist()
-    size = np.array([len(b) // PRINT_BYTES for b in bodies], np.int64)
-    raw = np.zeros((int(size.sum()), 8), np.uint8)
-    raw[:, :PRINT_BYTES] = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, PRINT_BYTES)
+    size = np.array([len(b) // (prints * PRINT_BYTES) for b in bodies], np.int64)
+    hashes = np.frombuffer(b"".join(bodies), "<u8").reshape(-1, prints)
     row = np.repeat(np.arange(len(bodies)), size)
-    return raw.view("<u8")[:, 0], row, _text.ranges(np.zeros(len(size), np.int64), size), size
+    return hashes, row, _text.ranges(np.zeros(len(size), np.int64), size), size
 
 
 def parse(table: pa.Table, at: np.ndarray, window: int) -> pa.RecordBatch:
@@ -124,12 +126,12 @@ def parse(table: pa.Table, at: np.ndarray, window: int) -> pa.RecordBatch:
     lone = ids[at[:-1]] == ids[at[1:] - 1]  # blocks of one document have nothing to parse
     table, block = table.filter(pa.array(~lone[block])), block[~lone[block]]
     ids = table.column("id").to_numpy()
-    print_, row, nth, _ = _windows(table)
-    place = table.column("place").to_numpy()[row] - nth
-    key = (block[row].astype(np.uint64) * np.uint64(64) + place.astype(np.uint64)) << np.uint64(8 * PRINT_BYTES) | print_
-    order = np.argsort(key, kind="stable")  # rows are in id order: the first of equal keys is the earliest
+    hashes, row, nth, _ = _windows(table, 1)
+    print_ = hashes[:, 0]
+    key = block[row] * 64 + table.column("place").to_numpy()[row] - nth
+    order = np.lexsort((print_, key))  # stable, rows are in id order: the first of equal ones is the earliest
     new = np.ones(len(key), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
+    new[1:] = (key[order][1:] != key[order][:-1]) | (print_[order][1:] != print_[order][:-1])
     source = np.empty(len(key), np.int64)
     source[order] = ids[row[order]][np.flatnonzero(new)][np.cumsum(new) - 1]
     hit = source < ids[row]
@@ -156,32 +158,31 @@ def factors(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_row
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = _keyed(docs, id_col, text_col)
-    counts = _segment_rows(keyed, window, anchor, prints=False).groupBy("anchor").count()
+    counts = _segment_rows(keyed, window, anchor, prints=0).groupBy("anchor").count()
     hot = materialize(counts.filter(F.col("count") > hot_rows).select("anchor"), "hot-anchors")
-    rows = _segment_rows(keyed, window, anchor, prints=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, 1, PARSE_ROWS, 16 << 20):
             yield parse(table, at, window)
 
-    cold = rows.join(hot, "anchor", "left_anti").select("anchor", "id", "fp", "start", "place", "windows")
+    cold = _segment_rows(keyed, window, anchor, prints=1).join(hot, "anchor", "left_anti").select("anchor", "id", "fp", "start", "place", "windows")
     cold = cold.repartition(parts, "anchor").sortWithinPartitions("anchor", "id").mapInArrow(run, _FACTOR)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            print_, row, nth, _ = _windows(pa.Table.from_batches([batch]))
+            hashes, row, nth, _ = _windows(pa.Table.from_batches([batch]), 2)
             at = pa.array(row)
             yield pa.RecordBatch.from_pydict({
-                "anchor": batch.column(0).take(at), "place": pa.array((batch.column(4).to_numpy()[row] - nth).astype(np.int32)), "print": pa.array(print_.astype(np.int64)),
+                "anchor": batch.column(0).take(at), "place": pa.array((batch.column(4).to_numpy()[row] - nth).astype(np.int32)), "print": pa.array(hashes[:, 0].astype(np.int64)), "print2": pa.array(hashes[:, 1].astype(np.int64)),
                 "id": batch.column(1).take(at), "fp": batch.column(2).take(at), "start": pa.array((batch.column(3).to_numpy()[row] + nth).astype(np.int32)),
             })
 
     if hot.isEmpty():
         return cold
-    single = rows.join(hot, "anchor", "left_semi").select("anchor", "id", "fp", "start", "place", "windows").mapInArrow(
-        explode, "anchor long, place int, print long, id long, fp long, start int")
+    single = _segment_rows(keyed, window, anchor, prints=2).join(hot, "anchor", "left_semi").select("anchor", "id", "fp", "start", "place", "windows").mapInArrow(
+        explode, "anchor long, place int, print long, print2 long, id long, fp long, start int")
     single = materialize(single, "hot-windows")
-    single = attach(single, ["anchor", "place", "print"], F.col("id"), {"__m": F.min("id")}, {"source": F.min("__m")})
+    single = attach(single, ["anchor", "place", "print", "print2"], F.col("id"), {"__m": F.min("id")}, {"source": F.min("__m")})
     single = single.filter(F.col("source") < F.col("id"))
     return cold.unionByName(single.select("id", "fp", "start", (F.col("start") + window).cast("int").alias("end"), "source"))
 

@@ -200,3 +200,14 @@ def test_vectors_repeated_ids_empty_table(spark):
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows_of(vector_dedup.link_counts(spark.createDataFrame(rows, VECTORS)))), key=str)
     assert got == sorted([(3, 2, 2, False), (3, 2, 2, False), (2, 2, 2, True), (None, 0, None, False), (9, 0, 9, True)], key=str)
     assert vector_dedup.link_counts(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [substring_dedup.HOT_ROWS, 1])
+def test_windows_are_told_apart_by_their_whole_hashes(spark, hot_rows):
+    """49 common words are below the window. The hashes of the two windows in each pair are equal in
+    their low 40 bits; the third text repeats the first."""
+    common = " ".join(f"c{i}" for i in range(49))
+    for a, b in ((2112757, 3794778), (1694179, 2081677), (1119288, 3823921)):
+        rows = [(1, f"{common} w{a}"), (2, f"{common} w{b}"), (3, f"{common} w{a}")]
+        got = {r["doc_id"]: r["n_removed"] for r in rows_of(substring_dedup.remove_repeats(spark.createDataFrame(rows, DOC), hot_rows=hot_rows))}
+        assert got == {1: 0, 2: 0, 3: 50}
