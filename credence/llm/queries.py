@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, substring_dedup, token_counts, token_files, vector_dedup
+from credence.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, spelling, substring_dedup, token_counts, token_files, vector_dedup
 from credence.llm._scratch import folder
+from credence.llm._sql import crc32_ctes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,6 +88,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter runs, some of them with a character left out by a hash of document and run."""
+    occurrences = spelling.runs(_read(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")))
+    word = F.when(h % 31 == 0, spelling.without(F.col("word"), h % F.char_length("word"))).otherwise(F.col("word"))
+    return spelling.variant_forms(spelling.count_words(occurrences.select(word.alias("word"))))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = f"""
@@ -168,6 +177,42 @@ FROM files LEFT JOIN found USING (r)
 """
 
 
+OP13_SQL = f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+counted AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key, run, count(*) AS times
+  FROM found WHERE length(run) >= 7 GROUP BY ALL),
+{crc32_ctes("counted")},
+damaged AS (
+  SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, times
+  FROM counted JOIN crcs USING (key)),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+places AS (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM words),
+complete AS (SELECT substr(word, i + 1) || '$' || substr(word, 1, i) AS prefix, word, n FROM places),
+skipping AS (
+  SELECT substr(word, i + 2) || '$' || substr(word, 1, i) AS prefix, word, n, substr(word, i + 1, 1) <> substr(word, i + 2, 1) AS apart
+  FROM places WHERE i < length(word)),
+links AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM skipping a JOIN skipping b ON a.prefix = b.prefix AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM complete a JOIN skipping b ON a.prefix = b.prefix AND b.apart
+  UNION ALL SELECT b.word, a.word, a.n FROM complete a JOIN skipping b ON a.prefix = b.prefix AND b.apart),
+ranked AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place FROM links),
+formed AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form,
+         CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+walked(word, spot) AS (
+  SELECT word, word FROM formed
+  UNION ALL SELECT walked.word, form FROM walked JOIN formed ON formed.word = walked.spot WHERE form IS NOT NULL)
+SELECT word, form, spot AS root, n, n_near, form_n
+FROM formed JOIN walked USING (word) WHERE spot IN (SELECT word FROM formed WHERE form IS NULL)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -179,10 +224,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
     "op10_ngram_join": op10_ngram_join,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op6_license_scan": _op6_sql(),
     "op9_mix_sources": OP9_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
