@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, spelling, substring_dedup, token_counts, token_files, vector_dedup
+from credence.llm import dialogue, exact_dedup, licenses, mixing, ngram_join, packing, quality, spelling, substring_dedup, token_counts, token_files, vector_dedup
 from credence.llm._scratch import folder
 from credence.llm._sql import crc32_ctes
 
@@ -88,6 +88,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
 
 
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a hash of conversation and turn, then repaired."""
+    rows = _read(spark, sf_dir, "conversations")
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    h = F.crc32(key) % 20
+    text = F.coalesce("text", blank)
+    damaged = rows.select(
+        "conv_id", "turn", (h != 0).alias("present"),
+        F.when(h == 4, F.lit("user")).otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(h == 1, F.lit("")).when(h == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(h == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return dialogue.digests(dialogue.repair(damaged, present=F.col("present")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letter runs, some of them with a character left out by a hash of document and run."""
     occurrences = spelling.runs(_read(spark, sf_dir, "documents"))
@@ -177,6 +193,67 @@ FROM files LEFT JOIN found USING (r)
 """
 
 
+def _op12_sql() -> str:
+    """Costs to finish, least edits and repaired lines for each state, row by row from the end."""
+
+    def way(cost: str, edit: str, after: str, line: str = "") -> str:
+        lines = f"list_prepend({line}, {after}.lines)" if line else f"{after}.lines"
+        return f"{{'cost': CAST({cost} + {after}.cost AS BIGINT), 'audit': '{edit}' || {after}.audit, 'lines': {lines}}}"
+
+    given = {"z": ("u", "user"), "s": ("u", "user"), "u": ("a", "assistant"), "a": ("u", "user")}
+    kept = {"z": ("s", "u"), "s": ("u",), "u": ("a",), "a": ("u",)}
+    plain, closed = [], []
+    for q, (to, role) in given.items():
+        ways = [way("2", "D", f"p.{q}"), f"CASE WHEN NOT must_go THEN {way('1 + extra', 'R', f'p.{to}', repr(role + ':') + ' || text')} END"]
+        ways += [f"CASE WHEN NOT must_go AND kind = '{k}' THEN {way('extra', 'K', f'p.{k}', chr(39).join(['role || ', ':', ' || text']))} END" for k in kept[q]]
+        plain.append(f"list_min([{', '.join(ways)}]) AS {q}")
+        then = given[to][0]
+        once, twice = way("5", "I", f"h.{to}", repr(role + ":")), f"{{'cost': 10 + h.{then}.cost, 'audit': 'II' || h.{then}.audit, 'lines': list_concat(['{role}:', '{given[to][1]}:'], h.{then}.lines)}}"
+        closed.append(f"list_min([h.{q}, {once}, {twice}]) AS {q}")
+    end = {"z": (0, "", "[]"), "s": (10, "II", "['user:', 'assistant:']"), "u": (5, "I", "['assistant:']"), "a": (0, "", "[]")}
+    ends = ", ".join(f"{{'cost': CAST({c} AS BIGINT), 'audit': '{e}', 'lines': CAST({rows} AS VARCHAR[])}} AS {q}" for q, (c, e, rows) in end.items())
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+{crc32_ctes("keyed")},
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc % 20 AS h FROM keyed JOIN crcs USING (key)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hit WHERE h <> 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), copy) AS i,
+         substr(role, 1, 1) AS kind, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail
+  FROM damaged),
+judged AS (
+  SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY i) || kind AS pair,
+         CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM ordered),
+steps AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged),
+found AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+plans AS (
+  SELECT conv_id, n + 1 AS i, {ends} FROM found
+  UNION ALL
+  SELECT h.conv_id, h.i, {", ".join(closed)}
+  FROM (SELECT r.conv_id, r.i, {", ".join(plain)}
+        FROM plans p JOIN steps r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i - 1) h)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(plans.z.cost, 0) AS cost,
+       coalesce(plans.z.audit, '') AS audit, sha256(coalesce(array_to_string(plans.z.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN plans ON plans.conv_id IS NOT DISTINCT FROM ids.conv_id AND plans.i = 1
+"""
+
+
 OP13_SQL = f"""
 WITH RECURSIVE found AS (
   SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
@@ -224,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
     "op10_ngram_join": op10_ngram_join,
+    "op12_dialogue_repair": op12_dialogue_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -231,5 +309,6 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op6_license_scan": _op6_sql(),
     "op9_mix_sources": OP9_SQL,
+    "op12_dialogue_repair": _op12_sql(),
     "op13_spelling_variants": OP13_SQL,
 }
