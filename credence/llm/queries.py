@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import dialogue, exact_dedup, licenses, mixing, ngram_join, packing, quality, spelling, substring_dedup, token_counts, token_files, vector_dedup
+from credence.llm import dialogue, exact_dedup, licenses, mixing, ngram_join, packing, quality, spelling, substring_dedup, token_counts, token_files, toxicity, vector_dedup
 from credence.llm._scratch import folder
 from credence.llm._sql import crc32_ctes
 
@@ -88,6 +88,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the ids held out by their hash are never learned from."""
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), learn=~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations damaged by a hash of conversation and turn, then repaired."""
     rows = _read(spark, sf_dir, "conversations")
@@ -301,6 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_mix_sources": op9_mix_sources,
     "op10_ngram_join": op10_ngram_join,
+    "op11_toxicity": op11_toxicity,
     "op12_dialogue_repair": op12_dialogue_repair,
     "op13_spelling_variants": op13_spelling_variants,
 }
