@@ -17,7 +17,7 @@
 Bounds: the classifier is fitted on at most ``PER_CLASS`` labelled documents of each class, the first
 in the order of their ids' md5, so that the sample's ids can be broadcast and no text is shuffled. The
 language model and the scores cover all rows and whole texts. Restored words are remembered per Python
-worker, at most ``MEMORY`` of them, which changes no result.
+worker, at most ``MEMORY`` of each kind, which changes no result.
 
 Defined cases
 -------------
@@ -63,9 +63,12 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _N = 64
 _OTHER = 60  # letters outside Latin-1
 
+_EDGE = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in RESEMBLES)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters without a doubled one, amid punctuation that cannot be a letter: nothing to decode.
 _PLAIN = re.compile(r"(?![^\w\s]*(?:\S*?([^\W\d_])\1))[^\w$@]*[^\W\d_]+(?:[^\w$@]*|[^\w]{3,})\Z")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_DOUBLED_ONLY = re.compile(r"(?!.*([^\W\d_])\1\1)[^\W\d_]+\Z")
 #: Single characters, each between white space.
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S(?!\S)){2,}")
 
@@ -152,6 +155,11 @@ def _ways(sign: str, run: int, inner: bool, spelled: bool) -> list[tuple[str, fl
     return out
 
 
+def bare(token: str) -> str:
+    """The token in lower case without the signs around it that can only be boundaries."""
+    return token.strip(_EDGE).lower()
+
+
 class Decoder:
     """Least-cost reading of spans under a language model (costs as of ``language_model``)."""
 
@@ -191,13 +199,25 @@ class Decoder:
         ends = [(cost + (costs[a][b][0] if b else 0.0), text) for (a, b), (cost, text) in best.items()]
         return " ".join(min(ends)[1].split())
 
+    def doubled(self, word: str) -> str:
+        """A word whose only signs are letters, at most doubled: what is before a doubled letter and
+        what follows is the same with one of it, so each is decided for itself."""
+        table, costs = classes(), self.costs
+
+        def choose(m: re.Match) -> str:
+            at, end = m.span()
+            b, c, d = (int(table[ord(x)]) if x else 0 for x in (word[at - 1 : at], word[at], word[end : end + 1]))
+            return m.group(1) if costs[b][c][c] + costs[c][c][d] > costs[b][c][d] + DOUBLED else m.group()
+
+        return _DOUBLE.sub(choose, word)
+
     def word(self, token: str) -> str:
-        """The restored words of one token without white space."""
+        """The restored words of one token without white space, as of ``bare``."""
         if _PLAIN.match(token):
             return " ".join(_WORD.findall(token.lower()))
         found = self.known.get(token)
         if found is None:
-            found = self.span(token)
+            found = self.doubled(token) if _DOUBLED_ONLY.match(token) else self.span(token)
             if len(self.known) >= MEMORY:
                 self.known.clear()
             self.known[token] = found
@@ -206,7 +226,7 @@ class Decoder:
     def text(self, text: str) -> str:
         """The restored text: words in lower case, one blank apart."""
         joined = _SPACED.sub(lambda m: self.span(m.group()), text)
-        return " ".join(filter(None, map(self.word, joined.split())))
+        return " ".join(filter(None, map(self.word, map(bare, joined.split()))))
 
 
 def _bins(word: str) -> set[int]:
@@ -221,19 +241,29 @@ class Features:
     def __init__(self, costs: np.ndarray, places: dict[int, int] | None = None):
         self.decoder, self.places = Decoder(costs), places
         self.known: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}
 
     def _token(self, token: str) -> tuple[int, ...]:
+        key = bare(token)
+        out = self.bare.get(key)
+        if out is None:
+            out = self._bare(key)
+            if len(self.bare) >= MEMORY:
+                self.bare.clear()
+            self.bare[key] = out
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        self.known[token] = out
+        return out
+
+    def _bare(self, token: str) -> tuple[int, ...]:
         found: set[int] = set()
         for word in self.decoder.word(token).split():
             if len(word) > 2:
                 found |= _bins(word)
         if self.places is not None:
             found = {self.places[b] for b in found if b in self.places}
-        out = tuple(found)
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        self.known[token] = out
-        return out
+        return tuple(found)
 
     def of(self, text: str | None) -> set[int]:
         if not text:

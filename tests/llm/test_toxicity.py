@@ -79,6 +79,14 @@ def test_viterbi_finds_the_cheapest_reading(costs, span):
     assert got == want[1] or any(abs(c - want[0]) < 1e-3 and t == got for c, t in readings(costs, span))
 
 
+def test_doubled_letters_are_decided_one_by_one(costs):
+    decoder = toxicity.Decoder(costs)
+    rng = random.Random(3)
+    for _ in range(400):
+        word = "".join(c * rng.choice([1, 1, 2]) for c, _ in itertools.groupby(rng.choice("abelnorstéß") for _ in range(rng.randint(1, 9))))
+        assert decoder.doubled(word) == decoder.span(word), word
+
+
 def test_restores_disguised_words(costs):
     decoder = toxicity.Decoder(costs)
     for word in ["stupid", "moron", "loser", "clown", "pathetic", "worthless", "trash"]:
