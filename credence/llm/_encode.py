@@ -2,7 +2,8 @@
 
 A tokenizer that drops white space and never merges across it gives a text the concatenated ids of
 its words. This is checked when the file is loaded; any other tokenizer encodes whole texts. Words
-are looked up by a 64-bit hash in a sorted table per Python worker; only words not seen before reach
+are looked up by a 64-bit hash in a sorted table per Python worker, and a second, independent hash of
+every word must agree (else the chunk's texts are encoded whole); only words not seen before reach
 the library. The table is emptied when it holds ``MAX_WORDS`` words, which bounds memory and changes
 no result.
 """
@@ -39,6 +40,7 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.slots = np.zeros(0, np.int64)
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.check = np.zeros(0, np.uint64)
         self.flat = np.zeros(0, np.uint32)
         self.span = np.zeros((0, 2), np.int32)
 
@@ -58,7 +60,7 @@ class Encoder:
                 spans.append((span - base[owner][:, None]).astype(np.int32))
         return np.concatenate(ids), np.concatenate(counts), np.concatenate(spans) if spans else np.zeros((0, 2), np.int32)
 
-    def _find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _find(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Slots of sorted distinct word hashes; unknown words are encoded and kept."""
         if len(self.keys) > MAX_WORDS:
             self._reset()
@@ -73,6 +75,7 @@ class Encoder:
             slots = len(self.count) + np.arange(len(new))
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
+            self.check = np.concatenate([self.check, checks[new]])
             self.flat = np.concatenate([self.flat, flat])
             if self.offsets:
                 self.span = np.concatenate([self.span, span])
@@ -94,7 +97,10 @@ class Encoder:
         if len(starts) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), np.zeros((0, 2), np.int64)
         keys, at, inverse = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        slot = self._find(keys, data, starts[at], ends[at])[inverse]
+        checks = _text.word_hashes(data, starts, ends, seed=1)
+        slot = self._find(keys, checks[at], data, starts[at], ends[at])[inverse]
+        if (self.check[slot] != checks).any():  # two words with one hash, told apart by the other
+            return self._whole(data, offsets, spans)
         n = self.count[slot]
         total = np.concatenate([[0], np.cumsum(n)])
         pick = _text.ranges(self.begin[slot], n)

@@ -1,12 +1,15 @@
 """Whole texts of an Arrow batch as byte arrays: words, word hashes, hashes of word runs.
 
 All work is vectorised over a chunk of documents of bounded size (one longer document is a chunk of
-its own). Hashes are 64-bit polynomial sums over a fixed random table, taken as differences of
-prefix sums, so every substring's hash costs one subtraction and one multiplication.
+its own). Words are hashed eight bytes at a time by a non-linear mixer. Runs of words are hashed by
+polynomial sums over the words' hashes, taken as differences of prefix sums, so each costs one
+subtraction and one multiplication; runs are short (at most a window), too short for the repeating
+words on which such sums modulo 2**64 collide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TABLE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER))
-#: The same table with A-Z hashed as a-z.
-_FOLDED = _TABLE.copy()
-_FOLDED[65:91] = _TABLE[97:123]
+#: Bytes with A-Z as a-z.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Odd multipliers by seed (the fractional parts of the square roots of 2 and 3, made odd).
+_STEP = (0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)
+LONG_WORD = 64
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -92,12 +97,32 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hash of each word; ``fold`` takes A-Z as a-z."""
-    up, down = _pow(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _TABLE)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word; ``fold`` takes A-Z as a-z; hashes of different seeds are independent.
+
+    Eight bytes at a time pass through the (bijective, non-linear) finaliser, so equally long words of
+    up to eight bytes never collide; words over ``LONG_WORD`` bytes take a keyed BLAKE2 hash."""
+    if fold:
+        data = _FOLD[data]
+    size = ends - starts
+    h = mix((size.astype(np.uint64) + np.uint64(1 + 2 * seed)) * np.uint64(MULTIPLIER))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    live = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(live):
+        left = size[live] - at
+        lane = lanes[starts[live] + at]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        h[live] = mix((h[live] ^ lane) * np.uint64(_STEP[seed]))
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        body = data[starts[i] : ends[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(body, digest_size=8, key=bytes([1 + seed])).digest(), "little")
+    return h
 
 
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -29,6 +29,7 @@ Defined cases
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -94,11 +95,12 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def meta_codes(lang: list, source: list, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: codes of lang and source, and its size."""
+    """Per document: codes of lang and source (hashes of the whole values), and its size."""
 
     def slot(value: str | None) -> int:
-        code = 0 if value is None else int.from_bytes(value.encode()[-8:], "little") + 1 + len(value)
-        return int(_text.mix(np.array([code & (2**64 - 1)], np.uint64))[0] % np.uint64(META_SLOTS))
+        if value is None:
+            return 0
+        return 1 + int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little") % (META_SLOTS - 1)
 
     slots: dict = {}
     lang, source = (np.fromiter((slots[v] if v in slots else slots.setdefault(v, slot(v)) for v in x), np.int64, len(x)) for x in (lang, source))

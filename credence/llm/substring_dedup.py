@@ -72,7 +72,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int, pr
     doc = np.repeat(np.arange(len(n)), counts)
     grams = _text.run_hashes(hashes, anchor)
     owner = _sliding_min(grams, window - anchor + 1)[at].astype(np.int64)
-    words = [hashes] + [_text.word_hashes(data ^ np.uint8(0x5A), starts, ends)] * (prints - 1)
+    words = [hashes] + [_text.word_hashes(data, starts, ends, seed=1)] * (prints - 1)
     whole = np.stack([_text.run_hashes(h, window)[at] for h in words], 1)
     new = np.ones(len(at), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])

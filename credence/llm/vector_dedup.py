@@ -18,7 +18,8 @@ Defined cases
 -------------
 * null label, null vector, zero vector, null or non-finite components: links with nothing.
 * vectors of different lengths never link. A null id is returned with component null, no links.
-* rows of one id are one node; each row counts as a vector of its own in n_links.
+* rows of one id are one node; each row counts as a vector of its own and has its own n_links, also
+  where one id has unlike vectors.
 * empty table: empty result. Other columns are not read.
 """
 
@@ -80,7 +81,7 @@ def _units(bodies: list[bytes], kind: str) -> np.ndarray:
 
 
 def _compare(table: pa.Table, at: np.ndarray, threshold: float, kind: str) -> pa.RecordBatch:
-    """Link counts (u, null, n) and star edges (u, v, 0) of whole (filter, block pair) groups."""
+    """Link counts (u, mark, null, n) and star edges (u, null, v, 0) of whole (filter, block pair) groups."""
     ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
     own, filter_ = table.column("own").to_numpy(), table.column("filter").to_numpy()
     cross = table.column("i").to_numpy() != table.column("j").to_numpy()
@@ -142,6 +143,7 @@ def _compare(table: pa.Table, at: np.ndarray, threshold: float, kind: str) -> pa
     some = np.flatnonzero(counts)
     return pa.RecordBatch.from_pydict({
         "u": pa.array(np.concatenate([ids[some], ids[u]])),
+        "mark": pa.concat_arrays([pa.array(table.column("mark").to_numpy()[some]), pa.nulls(len(u), pa.int64())]),
         "v": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[v])]),
         "n": pa.array(np.concatenate([counts[some], np.zeros(len(u), np.int64)])),
     })
@@ -168,9 +170,11 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), x.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
     classes = attach(
         rows.filter("usable").drop("usable"), ["label", "vector"], F.col("id"),
-        {"__m": F.min("id"), "__n": F.count(F.lit(1))}, {"class": F.min("__m"), "times": F.sum("__n")},
+        {"__m": F.min("id"), "__n": F.count(F.lit(1)), "__h": F.min(F.xxhash64("label", "vector"))},
+        {"class": F.min("__m"), "times": F.sum("__n"), "mark": F.min("__h")},
     )
-    member = materialize(classes.select("id", "label", "class", "times", "vector"), "vector-classes")
+    # a class is known by its smallest id and a hash: one id may have several vectors
+    member = materialize(classes.select("id", "label", "class", "mark", "times", "vector"), "vector-classes")
     reps = member.filter("id = class").dropDuplicates(["id", "label", "vector"])
     words = MIN_WORDS
     while words * words < reps.count():
@@ -194,11 +198,11 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
                     one, per = pa.array(which[v]), pa.array(v)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(v), dim, np.int32)), part.column(1).take(one), pa.array(f), part.column(0).take(one),
-                        part.column(2).take(one), bodies.take(per), lists.take(per),
-                    ], names=["dim", "label", "filter", "id", "times", "vector", "filters"])
+                        part.column(2).take(one), bodies.take(per), lists.take(per), part.column(4).take(one),
+                    ], names=["dim", "label", "filter", "id", "times", "vector", "filters", "mark"])
 
-    schema = "dim int, label string, filter long, id long, times long, vector binary, filters array<int>"
-    spread = reps.select("id", "label", "times", "vector").repartition(parts, "id").mapInArrow(decode, schema)
+    schema = "dim int, label string, filter long, id long, times long, vector binary, filters array<int>, mark long"
+    spread = reps.select("id", "label", "times", "vector", "mark").repartition(parts, "id").mapInArrow(decode, schema)
     spread = materialize(spread, "caps")
     key = ["dim", "label", "filter"]
     full = spread.groupBy(*key).count().filter(F.col("count") > 1)
@@ -206,23 +210,22 @@ def link_counts(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     blocks = F.ceil(F.col("count") / F.lit(BLOCK_ROWS)).cast("int")
     placed = placed.withColumn("__b", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("__b")).cast("int"))
     placed = placed.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1))).select(
-        *key, F.least("own", "__o").alias("i"), F.greatest("own", "__o").alias("j"), "own", "id", "times", "vector", "filters")
+        *key, F.least("own", "__o").alias("i"), F.greatest("own", "__o").alias("j"), "own", "id", "times", "vector", "filters", "mark")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, 5, 8000):
             yield _compare(table, at, threshold, kind)
 
     order = [*key, "i", "j"]
-    found = placed.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "u long, v long, n long")
+    found = placed.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, "u long, mark long, v long, n long")
     found = materialize(found, "vector-links")
-    direct = found.filter("v IS NULL").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("__links"))
+    direct = found.filter("v IS NULL").groupBy(F.col("u").alias("class"), "mark").agg(F.sum("n").alias("__links"))
     same = member.select(F.col("id").alias("u"), F.col("class").alias("v"))
     groups = components(found.filter("v IS NOT NULL").select("u", "v").unionByName(same), "vector-links")
-    per_class = member.select("id", "label", "vector", "class", "times").join(direct, "class", "left")
-    per_id = per_class.groupBy("id").agg((F.sum(F.coalesce("__links", F.lit(0)) + F.col("times") - 1) / F.count(F.lit(1))).cast("long").alias("__links"))
-    out = rows.select("id", "usable").join(per_id, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    # every usable row is a member of one class, and each copy of its vector is another link
+    linked = member.select("id", "class", "mark", "times").join(direct, ["class", "mark"], "left")
+    linked = linked.select("id", F.lit(True).alias("usable"), (F.coalesce("__links", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"))
+    rest = rows.filter(~F.col("usable")).select("id", "usable", F.lit(0).cast("long").alias("n_links"))
+    out = linked.unionByName(rest).join(groups.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(
-        F.col("id").alias(id_col), F.when(F.col("usable"), F.coalesce("__links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
-    )
+    return out.select(F.col("id").alias(id_col), "n_links", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
