@@ -50,6 +50,7 @@ CHOSEN = 400
 FALSE_REJECTS = 0.003
 CONFIDENT = (0.01, 0.95)
 TARGETS = ("low_quality", "toxic")
+BROADCAST_LABELS = 500_000  # labelled ids that are sent to all tasks; more meet their documents by a shuffle
 META_SLOTS = 64  # hashed values of each of lang and source
 
 _LETTERS = np.zeros(256, bool)
@@ -107,27 +108,47 @@ def meta_codes(lang: list, source: list, n_chars: np.ndarray) -> tuple[np.ndarra
     return lang, source, np.log1p(np.maximum(n_chars, 0)) / 12
 
 
-def meta_matrix(lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> np.ndarray:
-    n = len(size)
-    out = np.zeros((n, 2 * META_SLOTS + 14))
-    for at, cols in ((0, lang), (META_SLOTS, source)):
-        out[np.arange(n), at + cols] = 1
-    out[:, 2 * META_SLOTS] = size
-    out[np.arange(n), 2 * META_SLOTS + 1 + np.minimum((size * 12).astype(int), 12)] = 1
-    return out
+@dataclass
+class Rows:
+    """Feature rows: a few dense columns behind ``wide`` columns of which each row has some (value 1),
+    as (row, column) pairs. Products with weights cost as much as there are pairs."""
+
+    row: np.ndarray
+    column: np.ndarray
+    wide: int
+    dense: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=len(self)) + self.dense @ w[self.wide :]
+
+    def under(self, r: np.ndarray) -> np.ndarray:
+        """The columns' sums weighted by ``r``."""
+        return np.append(np.bincount(self.column, weights=r[self.row], minlength=self.wide), r @ self.dense)
+
+    def above(self, other: Rows) -> Rows:
+        row = np.concatenate([self.row, other.row + np.int32(len(self))], dtype=np.int32)
+        return Rows(row, np.concatenate([self.column, other.column]), self.wide, np.concatenate([self.dense, other.dense]))
+
+
+def meta_rows(lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> Rows:
+    columns = np.stack([lang, META_SLOTS + source, 2 * META_SLOTS + np.minimum((size * 12).astype(int), 12)], 1)
+    return Rows(np.repeat(np.arange(len(size), dtype=np.int32), 3), columns.ravel().astype(np.int32), 2 * META_SLOTS + 13, size[:, None].astype(np.float32))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.1) -> np.ndarray:
-    """Weights (last: bias) of a class-balanced logistic fit by Adam over the whole matrix."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1, dtype=np.float32)
+def _logistic(x: Rows, y: np.ndarray, l2: float = 1e-3, steps: int = 250, rate: float = 0.1) -> np.ndarray:
+    """Weights (last: bias) of a class-balanced logistic fit by Adam over all rows."""
     balance = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    w, m, v = (np.zeros(x.wide + x.dense.shape[1] + 1) for _ in range(3))
     for t in range(1, steps + 1):
-        g = x.T @ ((_sigmoid(x @ w) - y) * balance).astype(np.float32) + l2 * np.append(w[:-1], 0)
+        r = (_sigmoid(x @ w[:-1] + w[-1]) - y) * balance
+        g = np.append(x.under(r) + l2 * w[:-1], r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -153,19 +174,22 @@ class View:
         hit[inside] = self.bins[at[inside]] == bins[inside]
         return doc[hit], at[hit]
 
-    def matrix(self, doc: np.ndarray, at: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        words = np.zeros((len(dense), len(self.bins)), np.float32)
-        words[doc, at] = 1
-        return np.concatenate([words, (dense - self.centre) / self.scale], 1, dtype=np.float32)
+    def rows(self, doc: np.ndarray, at: np.ndarray, dense: np.ndarray) -> Rows:
+        return Rows(doc.astype(np.int32), at.astype(np.int32), len(self.bins), ((dense - self.centre) / self.scale).astype(np.float32))
 
-    def probability(self, doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    def probability(self, doc: np.ndarray, bins: np.ndarray, dense: np.ndarray, meta: Rows) -> np.ndarray:
         if len(self.combine) == 0:
             return np.zeros(len(dense))
-        a = self.matrix(*self.chosen(doc, bins), dense) @ self.text[:-1] + self.text[-1]
+        a = self.rows(*_distinct(*self.chosen(doc, bins)), dense) @ self.text[:-1] + self.text[-1]
         b = meta @ self.meta[:-1] + self.meta[-1]
         return _sigmoid(a * self.combine[0] + b * self.combine[1] + self.combine[2])
 
 
+def _distinct(doc: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair = np.unique(doc * BINS + bins)
+    return pair // BINS, pair % BINS
+
+
 def _choose(bins: np.ndarray, pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """The bins whose document rates differ most between the classes (standardised). ``pos``, ``neg``:
     documents of each class that have the bin; ``n1``, ``n0``: documents of each class."""
@@ -208,11 +232,11 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, dict]:
     columns dense, lang, source, size."""
     data, offsets = _text.utf8(batch.column(0))
     doc, bins, dense = text_features(data, offsets)
-    pair = np.unique(doc * BINS + bins)
+    doc, bins = _distinct(doc, bins)
     lang, source, size = _codes_of(batch, 1)
     n = batch.num_rows
     columns = {"dense": _binary(np.repeat(np.arange(n), dense.shape[1]), dense.astype(np.float32).ravel(), n), "lang": pa.array(lang), "source": pa.array(source), "size": pa.array(size)}
-    return pair // BINS, pair % BINS, columns
+    return doc, bins, columns
 
 
 _REST = "dense binary, lang long, source long, size double, low_quality double, toxic double"
@@ -223,12 +247,12 @@ def _rest(batch: pa.RecordBatch) -> dict:
     return {c: batch.column(c) for c in ("dense", "lang", "source", "size", "low_quality", "toxic")}
 
 
-def _matrix(batch: pa.RecordBatch, name: str, target: str, view: View) -> np.ndarray:
+def _view_rows(batch: pa.RecordBatch, name: str, target: str, view: View) -> Rows:
     """One view's features of narrow rows."""
     if name == "meta":
-        return meta_matrix(*(batch.column(c).to_numpy() for c in ("lang", "source", "size")))
+        return meta_rows(*(batch.column(c).to_numpy() for c in ("lang", "source", "size")))
     dense = _values(batch.column("dense"), np.float32)[1].reshape(batch.num_rows, len(view.centre))
-    return view.matrix(*_values(batch.column(f"words_{target}"), np.uint16), dense)
+    return view.rows(*_values(batch.column(f"words_{target}"), np.uint16), dense)
 
 
 def _confident(batch: pa.RecordBatch, name: str, views: dict[str, View], priors: dict[str, float]) -> dict[str, np.ndarray]:
@@ -236,7 +260,7 @@ def _confident(batch: pa.RecordBatch, name: str, views: dict[str, View], priors:
     out = {}
     for t, view in views.items():
         w = getattr(view, name)
-        p = _sigmoid(_matrix(batch, name, t, view) @ w[:-1] + w[-1])
+        p = _sigmoid(_view_rows(batch, name, t, view) @ w[:-1] + w[-1])
         p = p * priors[t] / (p * priors[t] + (1 - p) * (1 - priors[t]))  # the fit is class-balanced: back to the sample's odds
         out[t] = np.where(p <= CONFIDENT[0], 0.0, np.where(p >= CONFIDENT[1], 1.0, np.nan))
         out[t][~np.isnan(_numbers(batch.column(t)))] = np.nan
@@ -281,7 +305,7 @@ def _draw(rows: DataFrame, name: str, views: dict[str, View], priors: dict[str,
     return {t: got.filter(got.column(t).is_valid()) for t in views}
 
 
-def _finish(view: View, text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray) -> None:
+def _finish(view: View, text: Rows, meta: Rows, y: np.ndarray, fold: np.ndarray) -> None:
     """Calibrates and combines the two views on the held-out labelled rows; sets the limit."""
     known = ~np.isnan(y)
     held = known & fold
@@ -289,7 +313,8 @@ def _finish(view: View, text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold:
     scale = np.maximum(logits[held].std(0), 1e-6)
     use = np.ones(2)
     for _ in range(2):  # a view whose logit falls with the target on held-out rows is left out
-        w = _logistic(logits[held] / scale * use, y[held], max(1e-3, 2 / held.sum()), steps=400)
+        none = np.zeros(0, np.int32)
+        w = _logistic(Rows(none, none, 0, logits[held] / scale * use), y[held], max(1e-3, 2 / held.sum()), steps=400)
         use *= w[:2] > 0
     view.combine = np.append(np.maximum(w[:2], 0) * use / scale, w[2])
     reach = [_sigmoid(logits[s & (y == 0)] @ view.combine[:2] + view.combine[2]) for s in (held, known)]
@@ -362,8 +387,11 @@ def _unlabelled(docs: DataFrame, known: DataFrame, views: dict[str, View], id_co
             yield pa.RecordBatch.from_pydict({"__id": batch.column(4), "key": batch.column(5), **words, **columns})
 
     rows = keyed.mapInArrow(run, f"__id {docs.schema[id_col].dataType.simpleString()}, {_NARROW.rsplit(', ', 2)[0]}")
-    rows = rows.withColumn("__nth", F.monotonically_increasing_id())
-    rows = spread_lookup(rows, known.withColumnRenamed(id_col, "__id"), "__id", F.col("__nth"))
+    known = materialize(known.withColumnRenamed(id_col, "__id"), "quality-known")
+    if known.count() <= BROADCAST_LABELS:
+        rows = rows.join(F.broadcast(known), "__id", "left")
+    else:
+        rows = spread_lookup(rows.withColumn("__nth", F.monotonically_increasing_id()), known, "__id", F.col("__nth"))
     rows = rows.withColumns({t: F.col(t).cast("double") for t in TARGETS})
     return materialize(rows.filter(" OR ".join(f"{t} IS NULL" for t in views)).select(*[c.split()[0] for c in _NARROW.split(", ")]), "quality-unlabelled")
 
@@ -402,14 +430,14 @@ def _co_train(got: pa.RecordBatch, ys: dict[str, np.ndarray], fold: np.ndarray,
     for step in range(2 * ROUNDS):
         name = ("text", "meta")[step % 2]
         for t, view in views.items():
-            x, y = _matrix(got.filter(pa.array(train[t])), name, t, view), ys[t][train[t]]
+            x, y = _view_rows(got.filter(pa.array(train[t])), name, t, view), ys[t][train[t]]
             if t in given:  # the other view's labels
-                x, y = np.concatenate([x, _matrix(given[t], name, t, view)]), np.concatenate([y, _numbers(given[t].column(t))])
+                x, y = x.above(_view_rows(given[t], name, t, view)), np.concatenate([y, _numbers(given[t].column(t))])
             setattr(view, name, _logistic(x, y, max(1e-4, 0.3 / len(y))))
         if step < 2 * ROUNDS - 1:
             given = _draw(rows, name, views, priors, pool, step + 1)
     for t, view in views.items():
-        _finish(view, *(_matrix(got, name, t, view) for name in ("text", "meta")), ys[t], fold)
+        _finish(view, *(_view_rows(got, name, t, view) for name in ("text", "meta")), ys[t], fold)
 
 
 def _codes_of(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -421,7 +449,7 @@ def _probabilities(batch: pa.RecordBatch, model: dict[str, View]) -> tuple[list[
     """For columns (text, lang, source, n_chars): each target's probability, and whether to keep."""
     data, offsets = _text.utf8(batch.column(0))
     doc, bins, dense = text_features(data, offsets)
-    meta = meta_matrix(*_codes_of(batch, 1))
+    meta = meta_rows(*_codes_of(batch, 1))
     p = [model[t].probability(doc, bins, dense, meta) for t in TARGETS]
     keep = np.ones(batch.num_rows, bool)
     for t, x in zip(TARGETS, p, strict=True):

@@ -15,7 +15,8 @@ def test_one_query_per_operator():
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     want = con.execute(queries.ORACLES[name])
     columns = sorted(d[0] for d in want.description)
     frame = want.fetchall()
