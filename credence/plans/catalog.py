@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from credence.functions import context as ctxf
 from credence.functions import rules
 from credence.functions import text as tx
-from credence.operators import labeling, records, retrieval
+from credence.operators import labeling, lsh, records, retrieval
 from credence.plans import jobs
 from credence.sources import testdata
 
@@ -31,6 +31,12 @@ def q_topk_similar_products(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.retrieval_rows(r, ["review_id"])
 
 
+def q_topk_similar_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate top-k of every review by hyperplane signatures (recall: tests, README)."""
+    q = retrieval.embed_texts(jobs.context_records(spark, sf), "context", "qvec")
+    return lsh.topk_similar_lsh(q, jobs.product_collection(spark, sf), "review_id", k=K, vec_col="qvec")
+
+
 def q_build_context(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.context_records(spark, sf).select("review_id", "product_id", "context")
 
@@ -49,6 +55,7 @@ def q_label_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "label_reviews": q_label_reviews,
     "topk_similar_products": q_topk_similar_products,
+    "topk_similar_lsh": q_topk_similar_lsh,
     "build_context": q_build_context,
     "product_document": q_product_document,
     "label_counts": q_label_counts,
