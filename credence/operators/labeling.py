@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credence.functions import rules
@@ -66,6 +66,19 @@ def flag_duplicates(df: DataFrame, col: str = "context", pos: str = "pos", label
     return out.drop("__h", "__first")
 
 
+def write_duplicate_split(flagged: DataFrame, path: str) -> None:
+    """One write of flagged records in two partitions, kept and duplicate rows. Only the partitions that
+    this run has rows for are replaced (dynamic partition overwrite)."""
+    flagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("is_duplicate").parquet(path)
+
+
+def read_duplicate_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(all records, duplicates relabelled; the duplicates alone) of a written split: the second reads
+    its partition only."""
+    stored = spark.read.parquet(path)
+    return split_duplicates(stored.withColumn("is_duplicate", F.col("is_duplicate").cast("boolean")))
+
+
 def split_duplicates(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(all records with duplicates relabelled, the duplicates alone)."""
     return flagged.drop("is_duplicate"), flagged.where(F.col("is_duplicate")).drop("is_duplicate")

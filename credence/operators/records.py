@@ -87,23 +87,6 @@ def build_collection(products: DataFrame, dim: int = DEFAULT_DIM, embedder=None)
     return embed_texts(first, "document", "embedding", dim=dim, embedder=embedder)
 
 
-def upsert_collection(existing: DataFrame | None, new_entries: DataFrame) -> DataFrame:
-    """Rows to append: new ids only (left-anti on ``id``), first row per id within the batch."""
-    batch = latest_per_key(new_entries.withColumn("__neg", -F.col("pos")), "id", "__neg").drop("__neg")
-    if existing is None:
-        return batch
-    return batch.join(existing.select("id"), "id", "left_anti")
-
-
-def write_collection(entries: DataFrame, path: str, mode: str = "append") -> None:
-    entries.select("id", "document", "metadata", "embedding").write.mode(mode).parquet(path)
-
-
-def open_collection(spark, path: str) -> DataFrame:
-    """Open a stored collection; fails when it does not exist."""
-    return spark.read.parquet(path)
-
-
 def sort_products(products: DataFrame, partitions: int | None = None) -> DataFrame:
     """Products by name (missing names last, ties by id) with ``name_rank``.
 

@@ -446,8 +446,7 @@ SELECT sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support
        CAST(sum(support) AS BIGINT) AS n FROM pcm"""
 
 
-def sql_classification_report() -> str:
-    return with_(QLABELS, PER_CLASS) + """
+REPORT = """
 SELECT CAST(cls AS VARCHAR) AS class, round(precision, 4) AS precision, round(recall, 4) AS recall,
        round(f1, 4) AS f1, CAST(support AS BIGINT) AS support FROM pcm
 UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM pcm
@@ -458,6 +457,10 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
                  CAST(sum(support) AS BIGINT) FROM pcm"""
 
 
+def sql_classification_report() -> str:
+    return with_(QLABELS, PER_CLASS) + REPORT
+
+
 def sql_running_accuracy() -> str:
     return with_(QLABELS) + """
 SELECT review_id, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) OVER w / count(*) OVER w AS running_accuracy
@@ -629,7 +632,8 @@ FROM req q JOIN firsts f ON f.product_name = q.req_product_name"""
 
 def sql_retrieval_rank() -> str:
     return with_(*retrieval_ctes()) + """
-SELECT r.review_id, 'Rank ' || CAST(k.rank AS VARCHAR) AS rank_label, k.id AS product_id, e.document
+SELECT r.review_id, 'Rank ' || CAST(k.rank AS VARCHAR) AS rank_label, k.id AS product_id, e.document,
+       substr(e.document, 1, 400) AS preview
 FROM topk k JOIN records r ON r.pos = k.pos JOIN entries e ON e.id = k.id"""
 
 
@@ -960,7 +964,65 @@ SELECT review_id, CAST(to_json({'author_id': m_author_id, 'rating': m_rating, 'i
 
 
 def sql_upsert_products() -> str:
-    return with_(PRODUCTS, FILLED, ENTRIES) + "\nSELECT id, document FROM entries WHERE pos % 2 <> 0"
+    return with_(PRODUCTS, FILLED, ENTRIES) + "\nSELECT id, document, CAST(64 AS INTEGER) AS dim FROM entries"
+
+
+def sql_duplicate_split_files() -> str:
+    return with_(REVIEWS) + """,
+flagged AS (
+  SELECT review_id, pos <> min(pos) OVER (PARTITION BY coalesce(review_text, '')) AS dup FROM reviews)
+SELECT review_id, CASE WHEN dup THEN 'fake' ELSE 'real' END AS pseudo_label, 'cleaned' AS file FROM flagged
+UNION ALL SELECT review_id, 'fake', 'duplicates' FROM flagged WHERE dup"""
+
+
+def sql_model_roundtrip() -> str:
+    return with_(QLABELS) + "\nSELECT review_id, true AS same FROM qlabels"
+
+
+def token_ctes(texts: str) -> list[str]:
+    """Weights of the training part, and each text's score; ``texts``: a select of key and text."""
+    words = "unnest(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'))"
+    return [
+        f"""
+train AS (SELECT label AS y, context AS text FROM examples WHERE {unit_draw('pos', 'split:')} >= 0.2)""",
+        f"""
+seen AS (
+  SELECT token, sum(y) AS n1, sum(1 - y) AS n0 FROM (SELECT {words.format('text')} AS token, y FROM train) GROUP BY token)""",
+        """
+weights AS (
+  SELECT token, ln(((n1 + 1) / ((SELECT sum(n1) FROM seen) + (SELECT count(*) FROM seen)))
+                   / ((n0 + 1) / ((SELECT sum(n0) FROM seen) + (SELECT count(*) FROM seen)))) AS weight FROM seen
+  UNION ALL SELECT '', (SELECT ln((count(*) FILTER (y = 1) + 1) / (count(*) FILTER (y = 0) + 1)) FROM train))""",
+        f"""
+texts AS ({texts})""",
+        f"""
+scored AS (
+  SELECT texts.key, coalesce(any_value(s), 0) + (SELECT weight FROM weights WHERE token = '') AS score
+  FROM texts LEFT JOIN (
+    SELECT key, sum(coalesce(weight, 0)) AS s
+    FROM (SELECT key, {words.format('text')} AS token FROM texts) t LEFT JOIN weights USING (token) GROUP BY key) USING (key)
+  GROUP BY texts.key)""",
+    ]
+
+
+def sql_token_model() -> str:
+    return with_(QLABELS.replace("qlabels AS", "examples AS"), *token_ctes("SELECT 1 AS key, '' AS text")) + "\nSELECT token, weight FROM weights"
+
+
+def sql_evaluate_token_model() -> str:
+    held = f"SELECT pos AS key, context AS text FROM examples WHERE {unit_draw('pos', 'split:')} < 0.2"
+    return with_(QLABELS.replace("qlabels AS", "examples AS"), *token_ctes(held), """
+qlabels AS (
+  SELECT label, CASE WHEN score >= 0 THEN 1 ELSE 0 END AS prediction FROM scored JOIN examples ON pos = key)""", PER_CLASS) + REPORT
+
+
+def sql_predict_token_model() -> str:
+    requests, shown = sql_build_request_context().rsplit("\nSELECT ", 1)
+    held = "SELECT review_id AS key, context AS text FROM requests"
+    ctes = ",".join([QLABELS.replace("qlabels AS", "examples AS"), f"\nrequests AS (SELECT {shown})", *token_ctes(held)])
+    return requests + "," + ctes + f"""
+SELECT key AS review_id, round(score, 4) AS score, CAST(CASE WHEN score >= 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction,
+       CASE WHEN score >= 0 THEN '{rules.VERDICT_USEFUL}' ELSE '{rules.VERDICT_USELESS}' END AS verdict FROM scored"""
 
 
 ORACLES.update({name[len("sql_"):]: fn for name, fn in list(globals().items())

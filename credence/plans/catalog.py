@@ -261,7 +261,8 @@ def q_retrieval_rank(spark, sf):
     r = retrieval.topk_similar(q, jobs.product_collection(spark, sf), k=K, vec_col="qvec")
     x = r.select("review_id", F.posexplode("retrieved").alias("i", "doc"))
     return x.select("review_id", F.concat(F.lit("Rank "), (F.col("i") + 1).cast("string")).alias("rank_label"),
-                    F.col("doc.id").alias("product_id"), F.col("doc.document").alias("document"))
+                    F.col("doc.id").alias("product_id"), F.col("doc.document").alias("document"),
+                    F.substring("doc.document", 1, 400).alias("preview"))
 
 
 # ---------------------------------------------------------------------------------------
@@ -510,7 +511,7 @@ QUERIES.update({
 # ---------------------------------------------------------------------------------------
 # Models and explanations
 # ---------------------------------------------------------------------------------------
-from credence.operators import models  # noqa: E402
+from credence.operators import collection, models, token_model  # noqa: E402
 
 
 def q_explain_reviews(spark, sf):
@@ -594,13 +595,13 @@ def _records_jsonl(spark, sf):
 
 def q_roundtrip_jsonl(spark, sf):
     path, schema = _records_jsonl(spark, sf)
-    back = files.read_jsonl(spark, path, schema, strict=True)
+    back = files.read_jsonl(spark, path, schema)
     return back.select("review_id", "product_id", "context", "pseudo_label", "meta.*")
 
 
 def q_scan_jsonl(spark, sf):
     path, schema = _records_jsonl(spark, sf)
-    back = files.read_jsonl(spark, path, schema, strict=False)
+    back = files.read_jsonl(spark, path, schema)
     return back.select("review_id", "context")
 
 
@@ -616,13 +617,63 @@ def q_json_roundtrip(spark, sf):
 
 
 def q_upsert_products(spark, sf):
-    entries = records.product_entries(testdata.products(spark, sf))
+    """Half of the products stored, then all offered with repeated ids, then once more: the re-opened collection."""
     path = _scratch(spark, "collection")
-    stored = records.build_collection(testdata.products(spark, sf).where(F.col("pos") % 2 == 0))
-    records.write_collection(stored, path, mode="overwrite")
-    existing = records.open_collection(spark, path)
-    batch = entries.unionByName(entries.where(F.col("pos") % 5 == 0))  # repeated ids within the batch
-    return records.upsert_collection(existing, batch).select("id", "document")
+    products = testdata.products(spark, sf)
+    collection.append(spark, path, records.build_collection(products.where(F.col("pos") % 2 == 0)))
+    batch = records.build_collection(products.unionByName(products.where(F.col("pos") % 5 == 0)))
+    collection.append(spark, path, batch)
+    collection.append(spark, path, batch)
+    stored = collection.open_collection(spark, path)
+    return stored.select("id", "document", F.size("embedding").alias("dim"))
+
+
+def q_duplicate_split_files(spark, sf):
+    """The flagged reviews written in two partitions, twice, and both outputs read back."""
+    rv = testdata.reviews(spark, sf).withColumn("pseudo_label", F.lit("real"))
+    path = _scratch(spark, "duplicates")
+    flagged = labeling.flag_duplicates(rv, "review_text").select("review_id", "pseudo_label", "is_duplicate")
+    for _ in range(2):
+        labeling.write_duplicate_split(flagged, path)
+    kept, duplicates = labeling.read_duplicate_split(spark, path)
+    return kept.withColumn("file", F.lit("cleaned")).unionByName(duplicates.withColumn("file", F.lit("duplicates")))
+
+
+def q_model_roundtrip(spark, sf):
+    """The trained classifier saved and loaded: equal predictions for every example."""
+    examples = _classifier_examples(spark, sf)
+    model, _ = models.train_classifier(examples, test_fraction=0.2, seed=SEED)
+    path = _scratch(spark, "model")
+    models.save_model(model, path)
+    again = models.predict(models.load_model(path), examples.select("review_id", "text")).select("review_id", F.col("prediction").alias("loaded"))
+    first = models.predict(model, examples.select("review_id", "text")).select("review_id", "prediction")
+    return first.join(again, "review_id").select("review_id", (F.col("prediction") == F.col("loaded")).alias("same"))
+
+
+def _token_model(spark, sf):
+    """Token weights of the training part, written and read back; the held-out part."""
+    split = sampling.random_split(_classifier_examples(spark, sf), 0.2, SEED)
+    weights = token_model.fit(split.filter("split = 'train'"))
+    path = _scratch(spark, "token-model")
+    weights.write.parquet(path)
+    return spark.read.parquet(path), split.filter("split = 'test'")
+
+
+def q_token_model(spark, sf):
+    return _token_model(spark, sf)[0]
+
+
+def q_evaluate_token_model(spark, sf):
+    weights, held_out = _token_model(spark, sf)
+    found = token_model.predict(weights, held_out).select("pos", "prediction")
+    return metrics.classification_report(held_out.select("pos", "label").join(found, "pos"))
+
+
+def q_predict_token_model(spark, sf):
+    weights, _ = _token_model(spark, sf)
+    requests = records.request_contexts(testdata.reviews(spark, sf), testdata.products(spark, sf))
+    found = token_model.predict(weights, requests, "review_id", "context")
+    return found.select("review_id", F.round("score", 4).alias("score"), "prediction", rules.verdict_text(F.col("prediction")).alias("verdict"))
 
 
 QUERIES.update({
@@ -638,6 +689,11 @@ QUERIES.update({
     "limit_prefix": q_limit_prefix,
     "json_roundtrip": q_json_roundtrip,
     "upsert_products": q_upsert_products,
+    "duplicate_split_files": q_duplicate_split_files,
+    "model_roundtrip": q_model_roundtrip,
+    "token_model": q_token_model,
+    "evaluate_token_model": q_evaluate_token_model,
+    "predict_token_model": q_predict_token_model,
 })
 
 

@@ -16,10 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.types import StructType
 
-from credence.operators import augment, labeling, models, records, sampling
+from credence.operators import augment, collection, labeling, models, records, sampling
 from credence.schemas import CONTEXT_RECORD_SCHEMA, LABELLED_RECORD_SCHEMA
 from credence.session import checkpoint_dir
 from credence.sources import files
@@ -49,23 +48,15 @@ def build_product_collection(spark: SparkSession, products_csv: str, collection_
     if products is None:
         raise FileNotFoundError(products_csv)
     new = records.build_collection(products, dim=dim, embedder=embedder)
-    try:
-        existing = records.open_collection(spark, collection_path)
-        existing.schema  # noqa: B018 - resolve now: raises when absent
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        existing = None  # no collection yet: create it
-    rows = records.upsert_collection(existing, new)
-    records.write_collection(rows, collection_path, mode="append")
-    return records.open_collection(spark, collection_path).count()
+    collection.append(spark, collection_path, new)
+    return collection.open_collection(spark, collection_path).count()
 
 
 def pseudo_label(spark: SparkSession, in_path: str, collection_path: str, out_path: str, top_k: int = 3,
                  dedup: bool = False, **label_kw) -> DataFrame:
     """Label every context record; writes JSONL and returns the label counts."""
     recs = _records(spark, in_path, CONTEXT_RECORD_SCHEMA)
-    coll = records.open_collection(spark, collection_path)
+    coll = collection.open_collection(spark, collection_path)
     out = labeling.label_reviews(recs, coll, k=top_k, keep_scores=False, **label_kw)
     files.write_jsonl(out, out_path)
     written = _records(spark, out_path, LABELLED_RECORD_SCHEMA)
@@ -108,7 +99,7 @@ def synthesize(spark: SparkSession, in_path: str, collection_path: str, out_fake
     if int(ratio * n_real) <= 0:
         files.write_jsonl(recs, out_train_path)
         raise ValueError(f"no synthetic samples to generate ({int(ratio * n_real)})")
-    coll = records.open_collection(spark, collection_path)
+    coll = collection.open_collection(spark, collection_path)
     fakes = augment.synth_fakes(recs, coll, ratio=ratio, seed=seed, combine_ratio=combine_ratio, troll=troll,
                                 generator=generator)
     files.write_jsonl(fakes, out_fake_path)

@@ -118,18 +118,18 @@ def write_csv(df: DataFrame, path: str) -> None:
      .option("nullValue", "").option("emptyValue", '""').csv(path))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = True,
+def read_jsonl(spark: SparkSession, path: str, schema: StructType,
                max_rows: int | None = None, cap_is_truthy: bool = True, pos_col: str | None = None) -> DataFrame:
     """JSONL scan with an explicit schema.
 
-    ``strict`` fails on a malformed line; otherwise malformed lines become NULL rows.
+    A malformed line fails the read; blank lines are skipped.
     ``pos_col`` adds the row position: the one in the data when every row has it, else the
     file order. ``max_rows`` caps the rows in position order: with ``cap_is_truthy`` a cap of
     0 means no cap, otherwise 0 means no rows."""
     capped = max_rows is not None and not (cap_is_truthy and not max_rows)
     if capped and pos_col is None:
         pos_col = "pos"
-    mode = "FAILFAST" if strict else "PERMISSIVE"
+    mode = "FAILFAST"
     if pos_col is None:
         return spark.read.schema(schema).option("mode", mode).json(path)
     wide = StructType([f for f in schema.fields if f.name != pos_col] + [StructField(pos_col, LongType(), True)])
