@@ -718,17 +718,16 @@ def q_stream_label_reviews(spark, sf):
 
 
 def q_stream_flag_duplicates(spark, sf):
-    src = _scratch(spark, "dup_in")
-    _write_ordered_csv(testdata.reviews(spark, sf), src)
-    header = testdata.reviews(spark, sf).drop("pos").columns
-    stream = scoring.read_review_stream(spark, src, header)  # one micro-batch: first copy = smallest id
-    # Synthetic event time, one second per review, well after the initial watermark (epoch 0).
-    stream = stream.withColumn("ts", F.timestamp_seconds(F.col("review_id").cast("long") + 1_600_000_000))
-    flags = scoring.flag_duplicates_stream(stream, "review_text", "review_id", "ts", "review_id", delay="3650 days")
-    out = _scratch(spark, "dup_out")
-    q = scoring.start_file_sink(flags, out, _scratch(spark, "dup_ckpt"))
+    """Reviews arriving in three parts, two files to a micro-batch; the first copy has the smallest id."""
+    src, out = _scratch(spark, "dup_in"), _scratch(spark, "dup_out")
+    reviews = testdata.reviews(spark, sf)
+    third = reviews.agg(F.max("pos")).first()[0] // 3 + 1
+    for i in range(3):
+        _write_ordered_csv(reviews.where(F.floor(F.col("pos") / third) == i), f"{src}/part{i}", parts=2)
+    stream = scoring.read_review_stream(spark, f"{src}/*", reviews.drop("pos").columns, max_files_per_trigger=2)
+    q = scoring.start_duplicate_flags(stream, out, _scratch(spark, "dup_ckpt"), "review_text", "review_id", "review_id")
     q.awaitTermination()
-    res = spark.read.parquet(out)
+    res = spark.read.parquet(f"{out}/flags")
     return res.select(F.col("row_key").alias("review_id"), "is_duplicate",
                       F.when(F.col("is_duplicate"), F.lit("fake")).otherwise(F.lit("real")).alias("pseudo_label"))
 

@@ -5,9 +5,10 @@ product summaries, embedding, top-k against the static product collection, rules
 the batch transforms run unchanged on a streaming DataFrame. Output goes to a file sink
 with a checkpoint (exactly-once; a restarted query resumes where it stopped).
 
-Duplicate flagging needs state: ``flag_duplicates_stream`` keeps, per text hash, whether
-the text was seen (``applyInPandasWithState``), relabelling later copies ``fake`` like the
-batch operator. State expires with the event-time watermark, so it stays bounded.
+Duplicate flagging needs state. ``start_duplicate_flags`` keeps it as a table and combines each
+micro-batch in two salted levels, so a hot text meets in no single task. ``flag_duplicates_stream``
+keeps, per text hash, whether the text was seen (``applyInPandasWithState``); its state expires with
+the event-time watermark, but the rows of one text in a micro-batch meet in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,6 +24,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from credence.functions.text import content_hash
 from credence.operators import labeling, records
+from credence.operators.skew import attach
 from credence.schemas import REVIEW_COLUMNS
 
 
@@ -92,6 +95,49 @@ def flag_duplicates_stream(df: DataFrame, col: str, order_col: str, event_time:
     return flags.select(F.col("row_key"), F.col("is_duplicate"))
 
 
+def start_duplicate_flags(df: DataFrame, path: str, checkpoint: str, col: str, order_col: str, key_col: str,
+                          available_now: bool = True):
+    """Streaming duplicate flags whose state is a table: ``<path>/flags`` gets ``row_key, is_duplicate``
+    per row, ``<path>/state`` the first order of each text, both in one folder per micro-batch.
+
+    First orders are combined in two levels, per (text, salt) before the shuffle's reduce side and then
+    per text, and are joined back per (text, salt): a text with a third of all rows is spread over
+    ``skew.SALTS`` tasks, and no task holds a text's rows. The state meets the per-text minima (one row
+    per text of the micro-batch), not the rows. A micro-batch that is repeated after a failure replaces
+    its own folders and reads the states of earlier ones, so the result is the same (exactly once).
+    The first copy within a micro-batch is the one with the smallest ``order_col``; a text seen in an
+    earlier micro-batch has no first copy any more. The state keeps every text."""
+
+    def state_before(spark: SparkSession, batch_id: int) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{path}/state").where(F.col("batch") < batch_id).select("__h", "seen")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        state = state_before(batch.sparkSession, batch_id)
+        rows = batch.select(content_hash(F.col(col)).alias("__h"), F.col(key_col).cast("string").alias("row_key"),
+                            F.col(order_col).cast("long").alias("__order"))
+
+        def known(firsts: DataFrame) -> DataFrame:
+            if state is None:
+                return firsts.withColumn("seen", F.lit(None).cast("boolean"))
+            return firsts.join(state, "__h", "left")
+
+        flagged = attach(rows, ["__h"], F.col("row_key"), {"__m": F.min("__order")}, {"__first": F.min("__m")}, then=known)
+        flags = flagged.select("row_key", (F.col("seen").isNotNull() | (F.col("__order") != F.col("__first"))).alias("is_duplicate"))
+        flags.write.mode("overwrite").parquet(f"{path}/flags/batch={batch_id}")
+        new = rows.select("__h").distinct().withColumn("seen", F.lit(True))
+        if state is not None:
+            new = new.join(state.select("__h"), "__h", "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+
+    w = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
+
+
 def drop_duplicates_stream(df: DataFrame, col: str, event_time: str, delay: str = "1 day") -> DataFrame:
     """Streaming "cleaned" output: one copy of each text within the watermark is kept
     (Spark's built-in ``dropDuplicatesWithinWatermark`` on the text hash; state expires

@@ -44,3 +44,30 @@ def test_drop_duplicates_stream(spark):
     q.awaitTermination()
     got = sorted(r.review_text for r in spark.read.parquet(out + "/data").collect())
     assert got == ["other", "same words"]
+
+
+def test_duplicate_flags_with_a_hot_text(spark):
+    """A third of all rows hold one text; several micro-batches equal the batch flags, also when the last
+    micro-batch is repeated."""
+    from credence.operators import labeling
+
+    src, out = tempfile.mkdtemp(prefix="credence-stream-hot-"), tempfile.mkdtemp(prefix="credence-stream-hot-out-")
+    rows = [(str(i), "hot words" if i % 3 == 0 else f"text {i % 200}") for i in range(900)]
+    now = time.time()
+    for part in range(4):
+        name = os.path.join(src, f"p{part}.csv")
+        _write(name, rows[part * 225 : (part + 1) * 225])
+        os.utime(name, (now - 100 + part, now - 100 + part))
+
+    def run(checkpoint):
+        stream = scoring.read_review_stream(spark, src, ["review_id", "review_text"], max_files_per_trigger=1)
+        q = scoring.start_duplicate_flags(stream, out + "/data", out + checkpoint, "review_text", "review_id", "review_id")
+        q.awaitTermination()
+        return len(q.recentProgress), {r.row_key: r.is_duplicate for r in spark.read.parquet(out + "/data/flags").collect()}
+
+    batch = spark.createDataFrame([(int(i), i, t) for i, t in rows], "pos long, review_id string, review_text string")
+    want = {r.review_id: r.is_duplicate for r in labeling.flag_duplicates(batch, "review_text").collect()}
+    progress, got = run("/first")
+    assert progress >= 4 and got == want
+    _, again = run("/second")  # all micro-batches once more, as after a lost checkpoint
+    assert again == want
