@@ -61,11 +61,13 @@ def _unit_factor(unit: Column) -> Column:
 def extract_capacity(text) -> Column:
     """All ``[amount, unit]`` capacity mentions in the lower-cased text, in order."""
     t = F.lower(col_(text))
-    amounts = F.regexp_extract_all(t, F.lit(CAPACITY_PATTERN), 1)
-    units = F.regexp_extract_all(t, F.lit(CAPACITY_PATTERN), 3)
+    # one pass over the text; amount and unit are taken from the short mentions
+    mentions = F.regexp_extract_all(t, F.lit(CAPACITY_PATTERN), 0)
     return F.transform(
-        F.arrays_zip(amounts.alias("a"), units.alias("u")),
-        lambda z: F.struct(z["a"].try_cast("double").alias("amount"), z["u"].alias("unit")),
+        mentions,
+        lambda m: F.struct(
+            F.regexp_extract(m, CAPACITY_PATTERN, 1).try_cast("double").alias("amount"),
+            F.regexp_extract(m, CAPACITY_PATTERN, 3).alias("unit")),
     )
 
 
