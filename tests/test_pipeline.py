@@ -14,7 +14,8 @@ FAST_KEYS = ["label_reviews", "topk_similar_products", "build_context", "balance
              "explain_reviews", "scan_reviews_csv", "sort_products", "parse_context", "fake_score", "label_counts",
              "metrics_summary", "text_norm", "random_review_info", "safe_casts", "distinct_texts",
              "encode_labels_strict", "encode_labels_lenient", "synth_fakes", "evaluate_explainer",
-             "build_request_context"]
+             "build_request_context", "retrieval_rank", "upsert_products", "duplicate_split_files", "model_roundtrip",
+             "token_model", "evaluate_token_model", "predict_token_model"]
 
 
 def test_entry(spark):
@@ -24,10 +25,10 @@ def test_entry(spark):
     assert len(rows) == 200 and {r.pseudo_label for r in rows} <= {"real", "fake"}
 
 
-def test_every_query_has_oracle_or_is_learned():
+def test_every_query_has_oracle_or_is_learned_or_approximate():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    learned = {"train_classifier", "evaluate_classifier", "predict_requests"}
+    learned = {"train_classifier", "evaluate_classifier", "predict_requests", "topk_similar_lsh"}
     assert set(catalog.QUERIES) <= set(q) and set(catalog.QUERIES) - set(o) == learned
 
 
