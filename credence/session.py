@@ -43,8 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getConf().get(_CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not path:
-        # Unset: only happens in local tests. A cluster always names a shared folder.
-        path = tempfile.mkdtemp(prefix="credence-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="credence-ckpt-")  # local tests: one machine
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
