@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from credence.operators.skew import require_key
+
 # Cell texts that pandas reads as missing by default.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -139,13 +141,37 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType,
     return limit_prefix(df, max_rows, pos_col) if capped else df
 
 
-def limit_prefix(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
-    """The first ``n`` rows in position order, by rank: no task holds them all."""
-    from credence.operators.sampling import pos_rank
+_PREFIX_BUCKETS = 4096
 
+
+def prefix_end(df: DataFrame, n: int, pos: str = "pos") -> int | None:
+    """The position of the ``n``-th row, or None when there are no more than ``n``. Counts over ranges of
+    positions, each pass inside the range that holds the n-th row: at most ``_PREFIX_BUCKETS`` rows reach
+    the driver per pass, and only the position column is read."""
+    only = require_key(df.select(pos), pos)
+    whole = only.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if whole["n"] <= n:
+        return None
+    lo, hi, left = int(whole["lo"]), int(whole["hi"]), n
+    while lo < hi:
+        width = -(-(hi - lo + 1) // _PREFIX_BUCKETS)
+        inside = only.filter(F.col(pos).between(lo, hi))
+        counts = inside.groupBy(F.expr(f"(`{pos}` - {lo}L) div {width}L").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(counts.collect(), key=lambda r: r["b"]):
+            if left <= r["n"]:
+                lo, hi = lo + int(r["b"]) * width, min(hi, lo + (int(r["b"]) + 1) * width - 1)
+                break
+            left -= r["n"]
+    return lo
+
+
+def limit_prefix(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """The first ``n`` rows in position order (``pos`` unique, not NULL): a filter on the n-th row's
+    position, which is pushed to the scan where ``pos`` is stored. No row is ranked or shuffled."""
     if n <= 0:
         return df.limit(0)
-    return pos_rank(df, pos, out_col="__nth").filter(F.col("__nth") <= n).drop("__nth")
+    end = prefix_end(df, n, pos)
+    return df if end is None else df.filter(F.col(pos) <= end)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
