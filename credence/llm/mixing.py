@@ -4,34 +4,38 @@ Words are summed per source. Sources in code-point order (null last) weigh 5, 2,
 share 100 % of all words by weight; a target stops at ``cap`` times its source's words and the
 excess is shared among the others by weight until none is above (water filling, solved in closed
 form from prefix sums over the sources ordered by cap / weight). A source's repetition rate is
-target / words. Each document is emitted floor(rate) times, plus one hash-seeded Bernoulli copy
-whose probability is the fraction: the draws of one stratum (source, size class, bucket of about
-``bucket_rows`` documents) share a hashed uniform offset and follow the md5 order of the ids, so
-every document has exactly that probability and the number of extra copies in a stratum differs
-from its expectation by less than one.
+target / words. Each document is emitted floor(rate) times, plus one hash-seeded Bernoulli copy: its
+draw is the md5 of (seed, id, md5 of the whole text), below the fraction or not. No two documents
+share anything, so a document's copies depend on itself and its source's rate alone, no rows are
+ordered or numbered, and texts never shuffle.
+
+The words taken of a source have the target as their expectation and sqrt(f * (1 - f) * sum(size^2))
+as their standard deviation (f: the fraction), at most half of sqrt(sum(size^2)). ``mix_plan`` over
+50,000 documents in 20 sources comes within some percent; a source of 50 documents may be off by a
+fifth.
 
 Defined cases
 -------------
-* null text: size 0, taken 0. Null source: a source of its own, after all others ('' is first).
+* null text: size 0, taken 0, hashed like an empty one. Null source: a source of its own, after all
+  others ('' is first).
 * a source without words: target 0, its documents are emitted 0 times.
-* the same id twice: ties in the md5 order; equal rows get interchangeable draws.
-* empty table: empty result. Extra columns stay in ``mix``; its own result columns replace input
-  columns of the same name.
+* the same id (or a null id) on unlike texts: a draw each. Rows equal in id and text are the same
+  document, they share their draw.
+* empty table: empty result. Extra columns stay in ``mix``, also those named like its own results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.operators.skew import attach
+from credence.operators.skew import spread_lookup
 from credence.llm._ranks import ordered_sums
 from credence.llm._scratch import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BUCKET_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -60,52 +64,54 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFram
     ).drop("__rank", "__weight", "__ratio", "__cap_before", "__w_before", "__level")
 
 
-def copies(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size",
-           weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, bucket_rows: int = BUCKET_ROWS, seed: str = "mix") -> DataFrame:
-    """``sized`` (materialised, narrow) plus source_size, target, copies."""
-    rows = sized.withColumns({"__null": F.col(source_col).isNull(), "__source": F.coalesce(F.col(source_col), F.lit(""))})
-    rows = attach(
-        rows, ["__null", "__source"], F.col(id_col),
-        {"__s": F.sum(size_col), "__n": F.count(F.lit(1))},
-        {"source_size": F.sum("__s"), "__rows": F.sum("__n")},
-        then=lambda t: _targets(t, weights, cap),
-    )
+def source_key(source: Column) -> Column:
+    """One non-null key per source; null and '' stay apart."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
+
+
+def rates(sized: DataFrame, source_col: str = "source", size_col: str = "size",
+          weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row per source: __key, source_size, target, __rate. Sums are combined before the shuffle."""
+    sources = sized.groupBy(F.col(source_col).isNull().alias("__null"), F.coalesce(F.col(source_col), F.lit("")).alias("__source")).agg(
+        F.sum(size_col).alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    bucket = F.floor(draw(f"{seed}:bucket", F.col(id_col)) * F.ceil(F.col("__rows") / F.lit(bucket_rows)))
-    rows = rows.withColumns({
-        "__rate": rate,
-        "__class": F.floor(F.log2(F.col(size_col) + 1)),
-        "__bucket": bucket,
-        "__order": F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col(id_col).cast("string"))),
-    })
-    stratum = ["__null", "__source", "__class", "__bucket"]
-    at = F.row_number().over(Window.partitionBy(*stratum).orderBy("__order", id_col))
-    u = draw(f"{seed}:offset", F.col("__null").cast("int"), F.col("__source"), F.col("__class"), F.col("__bucket"))
-    fraction = F.col("__rate") - F.floor("__rate")
-    rows = rows.withColumns({"__at": at, "__u": u, "__f": fraction})
-    extra = F.floor(F.col("__at") * F.col("__f") + F.col("__u")) - F.floor((F.col("__at") - 1) * F.col("__f") + F.col("__u"))
-    rows = rows.withColumn("copies", (F.floor("__rate") + extra).cast("long"))
-    return rows.select(*sized.columns, "source_size", "target", "copies")
-
-
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """Per document: id, size, source_size, target, copies, taken. Texts are read once and never shuffle."""
-    sized = materialize(docs.select(id_col, source_col, word_count(F.col(text_col)).alias("size")), "sizes")
-    out = copies(sized, id_col, source_col, **options)
+    key = source_key(F.when(~F.col("__null"), F.col("__source")))
+    return materialize(_targets(sources, weights, cap).select(key.alias("__key"), "source_size", "target", rate.alias("__rate")), "rates")
+
+
+def document_draw(seed: str, doc_id: Column, text: Column) -> Column:
+    """The document's own uniform draw."""
+    return draw(seed, doc_id, F.md5(F.coalesce(text, F.lit(""))))
+
+
+def with_copies(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """``rows`` (with __key and __draw) plus source_size, target and copies. The rates are broadcast by
+    the planner when their size allows, else met by salted keys, so that a hot source spreads."""
+    joined = spread_lookup(rows, per_source, "__key", F.col("__draw"))
+    extra = (F.col("__draw") < F.col("__rate") - F.floor("__rate")).cast("long")
+    return joined.withColumn("copies", (F.floor("__rate") + extra).cast("long"))
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+             seed: str = "mix", **options) -> DataFrame:
+    """Per document: id, size, source_size, target, copies, taken. Texts are read once and never shuffle.
+    Options: ``weights``, ``cap``."""
+    sized = materialize(docs.select(
+        F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col)).alias("__key"),
+        document_draw(seed, F.col(id_col), F.col(text_col)).alias("__draw"),
+    ), "sizes")
+    out = with_copies(sized, rates(sized, source_col, **options))
     return out.select(id_col, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mixed rows of ``docs``: each row as often as the plan says, same columns. Rows meet the
-    plan by (id, size); rows that share both are numbered, and take the plan's entries in order."""
-    plan = mix_plan(docs, id_col, source_col, text_col, **options)
-    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(
-        F.sort_array(F.collect_list("copies")).alias("__copies"))
-    rows = docs.withColumn("__words", word_count(F.col(text_col)))
-    on = rows[id_col].eqNullSafe(plan["__id"]) & (rows["__words"] == plan["__size"])
-    alone = rows.join(plan.filter(F.size("__copies") == 1), on).withColumn("__n", F.col("__copies")[0])
-    nth = F.row_number().over(Window.partitionBy("__id", "__size").orderBy("__id"))
-    shared = rows.join(plan.filter(F.size("__copies") > 1), on).withColumn("__n", nth)
-    shared = shared.withColumn("__n", F.element_at("__copies", F.col("__n")))
-    out = alone.unionByName(shared).filter("__n > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+        seed: str = "mix", **options) -> DataFrame:
+    """The mixed rows of ``docs``: each row as often as the plan says, same columns. Every row finds its
+    own number of copies; rows are not joined with a plan."""
+    sized = materialize(docs.select(F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size")), "sizes")
+    per_source = rates(sized, "__source", "__size", **options).select("__key", "__rate")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), source_key(F.col(source_col)).alias("__key"),
+        document_draw(seed, F.col(id_col), F.col(text_col)).alias("__draw"))
+    out = with_copies(rows, per_source).filter("copies > 0")
+    return out.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")

@@ -136,10 +136,11 @@ def _duck_draw(key: str) -> str:
 
 OP9_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         {_duck_draw("concat_ws(':', 'mix', doc_id, md5(coalesce(text, '')))")} AS draw
   FROM documents),
 sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          (CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3
           WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) AS w
   FROM sized GROUP BY source),
@@ -149,20 +150,13 @@ levels AS (
   FROM sources
   WINDOW o AS (ORDER BY 3 * source_size / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, n, least(max(level) OVER () * w, CAST(3 * source_size AS DOUBLE)) AS target FROM levels),
-placed AS (
-  SELECT doc_id, s.source, size, source_size, target,
-         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         floor(log2(size + 1)) AS class,
-         floor({_duck_draw("'mix:bucket:' || doc_id")} * ceil(n / 4096.0::DOUBLE)) AS bucket
+  SELECT source, source_size, least(max(level) OVER () * w, CAST(3 * source_size AS DOUBLE)) AS target FROM levels),
+rated AS (
+  SELECT doc_id, size, source_size, target, draw,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-drawn AS (
-  SELECT *, row_number() OVER (PARTITION BY source, class, bucket ORDER BY md5('mix:order:' || doc_id), doc_id) AS nth,
-         rate - floor(rate) AS f,
-         {_duck_draw("'mix:offset:' || CASE WHEN source IS NULL THEN 1 ELSE 0 END || ':' || coalesce(source, '') || ':' || CAST(class AS BIGINT) || ':' || CAST(bucket AS BIGINT)")} AS u
-  FROM placed),
 copied AS (
-  SELECT *, CAST(floor(rate) + floor(nth * f + u) - floor((nth - 1) * f + u) AS BIGINT) AS copies FROM drawn)
+  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rated)
 SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM copied
 """
 

@@ -1,3 +1,5 @@
+import hashlib
+
 from helpers import WORD, rows_of
 
 from credence.llm import mixing
@@ -47,8 +49,12 @@ def test_targets_copies_and_words(spark):
         rate = want[s] / sizes[s] if sizes[s] else 0
         assert int(rate) <= r["copies"] <= int(rate) + 1
         taken[s] += r["taken"]
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 200
+    squares = dict.fromkeys(sizes, 0)
+    for i, s, _, _ in rows:
+        squares[s] += got[i]["size"] ** 2
+    for s in sizes:  # independent draws: five standard deviations
+        f = want[s] / sizes[s] % 1 if sizes[s] else 0
+        assert abs(taken[s] - want[s]) <= 5 * (f * (1 - f) * squares[s]) ** 0.5 + 1e-6
     again = {r["doc_id"]: r["copies"] for r in rows_of(mixing.mix_plan(docs.repartition(7)))}
     assert again == {i: r["copies"] for i, r in got.items()}
 
@@ -69,3 +75,39 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert mixing.mix(docs).count() == mixing.mix_plan(docs).selectExpr("sum(copies)").first()[0]
     empty = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_draws_are_independent_of_other_documents(spark):
+    rows, docs = make(spark)
+    one_rate = [(i, "a", t) for i, _, t, _ in rows] + [(-1, "b", "w " * 900_000)]
+    docs = spark.createDataFrame(one_rate, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in rows_of(mixing.mix_plan(docs))}
+    rate = got[0]["target"] / got[0]["source_size"]
+    for i, _, t in one_rate:  # every row's copies follow from its own id, text and rate
+        key = f"mix:{i}:{hashlib.md5((t or '').encode()).hexdigest()}"
+        u = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / 2**52
+        r = got[i]["target"] / got[i]["source_size"]
+        assert got[i]["copies"] == int(r) + (u < r - int(r))
+    extra = [got[i]["copies"] - int(rate) for i in range(6000)]
+    f = rate - int(rate)
+    assert 0.02 < f < 0.98
+    blocks = [sum(extra[j : j + 60]) for j in range(0, 6000, 60)]  # 100 sums of 60 draws
+    mean = sum(blocks) / 100
+    spread = sum((b - mean) ** 2 for b in blocks) / 99
+    assert 0.5 < spread / (60 * f * (1 - f)) < 1.7  # shared offsets would make it far smaller
+
+
+def test_hot_null_ids_clashing_columns_and_long_text(spark):
+    rows = [(None, "a", f"t{i} " * (1 + i % 9)) for i in range(2000)] + [(1, "b", "w " * 1_000_000), (2, None, None), (3, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "7 AS copies", "'k' AS target", "source AS size")
+    plan = rows_of(mixing.mix_plan(docs))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and out.filter("copies = 7 and target = 'k' and size <=> source").count() == sum(r["copies"] for r in plan)
+    assert len({r["copies"] for r in plan if r["doc_id"] is None and r["size"]}) > 1 or plan[0]["target"] % plan[0]["source_size"] == 0
+
+
+def test_no_python_and_no_window_over_documents(spark):
+    docs = spark.createDataFrame([(1, "a", "x y"), (2, "b", "z")], "doc_id long, source string, text string")
+    for frame in (mixing.mix_plan(docs), mixing.mix(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Window" not in plan
