@@ -50,3 +50,28 @@ def test_repeated_and_null_ids_and_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "mit license")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_only_anchor_words_are_looked_up(spark):
+    """Candidates follow the rarest key word's places; the common words of a phrase give none."""
+    rows = [(i, "license " * 400 + "mit") for i in range(20)] + [(100, "mit license general public license")] + [(200 + i, "license") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    words = docs.selectExpr("doc_id", "split(trim(text), ' ') AS __words")
+    df = words.selectExpr("explode(array_distinct(__words)) AS word").groupBy("word").count().withColumnRenamed("count", "df")
+    idx = licenses.index(spark, df, docs.selectExpr("count(*) AS n_docs")).cache()
+    anchors = {r["template"]: r["word"] for r in idx.filter("anchor").collect()}
+    assert anchors[0] == "mit" and anchors[1] == "apache" and anchors[2] in ("general", "public")
+    placed = words.crossJoin(licenses.lookup_tables(idx)).withColumn("__candidates", licenses.candidates())
+    got = {r["doc_id"]: r["c"] for r in placed.selectExpr("doc_id", "__candidates AS c").collect()}
+    templates = {t for t, w in anchors.items() if w == "mit"}
+    for i in range(20):  # 400 common words, one anchor word: one candidate a template, none for "license"
+        assert {(c["template"]) for c in got[i]} == templates and len(got[i]) == len(templates)
+    assert all(got[200 + i] == [] for i in range(30))
+
+
+def test_edges_and_files_without_whole_phrase(spark):
+    texts = ["license mit", "mit", "by 4 0 licensed under cc", "cc by 4 0", "under cc by 4 0", "license\x00mit license", "x " * 9 + "mit license"]
+    got = {r["doc_id"]: r for r in rows_of(licenses.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)))}
+    assert [got[i]["n_base"] for i in range(7)] == [0, 0, 0, 0, 0, 1, 1]
+    assert got[3]["labels"] == got[4]["labels"] == "cc-by-4.0" and got[2]["labels"] == ""  # positions outside the file match nothing
+    assert got[3]["score"] < got[4]["score"] < 1.0 and (got[5]["first_word"], got[6]["first_word"]) == (1, 9)
