@@ -8,8 +8,9 @@ Steps are rows of ``spark.range(n)``: nothing is looped over on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -318,30 +319,44 @@ def augment_union(records: DataFrame, synthetic: DataFrame, seed: int = 0) -> Da
     return sampling.hash_rank(both, seed, "row_key", out_col="shuffle_rank")
 
 
-def batch_generator(fn, deterministic: bool = False):
+def batch_generator(fn=None, deterministic: bool = False, batch_size: int | None = None, load=None):
     """Plug a batch text generator (e.g. a local LLM client) into ``synth_fakes``:
     ``fn(prompts: list[str], attempt: int) -> list[str | None]``. Prompts are built with
     ``build_prompt`` from the real and fake texts and the product facts. One Arrow-batched,
     non-deterministic UDF makes all attempts: each later one gets only the prompts whose
-    texts were missing or malformed, so a row costs one call when its first answer is valid."""
+    texts were missing or malformed, so a row costs one call when its first answer is valid.
+
+    ``batch_size`` bounds the prompts of one call (None: those of the Arrow batch). ``load() -> fn``
+    stands in for ``fn`` where the model is too large to ship: every task calls it once, before its
+    first batch. An answer list of another length than the prompts fails the task."""
     from pyspark.sql.types import StringType
 
+    if (fn is None) == (load is None):
+        raise ValueError("give either fn or load")
+
     def generator(cols: dict, attempts: int) -> Column:
-        @F.pandas_udf(StringType())
-        def generate(prompts):  # pandas Series -> pandas Series
-            import pandas as pd
-
-            given = list(prompts)
-            out, left = [None] * len(given), list(range(len(given)))
-            for attempt in range(1 if deterministic else attempts):
-                if not left:
-                    break
-                for i, text in zip(left, fn([given[i] for i in left], attempt), strict=True):
-                    out[i] = text
-                left = [i for i in left if not (out[i] and all(m in out[i] for m in rules.FORMAT_MARKERS))]
-            return pd.Series(out, dtype=object)
-
-        return generate.asNondeterministic()(build_prompt(cols["real"], cols["fake"], cols["meta"]))
+        tries = 1 if deterministic else attempts
+
+        def generate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            call = load() if fn is None else fn
+            for prompts in batches:
+                yield pd.Series(_answers(call, list(prompts), tries, batch_size), dtype=object)
+
+        udf = F.pandas_udf(StringType())(generate)
+        return udf.asNondeterministic()(build_prompt(cols["real"], cols["fake"], cols["meta"]))
 
     generator.retries_inside = True  # type: ignore[attr-defined]
     return generator
+
+
+def _answers(call, prompts: list, tries: int, batch_size: int | None) -> list:
+    """The last answer to every prompt; a prompt is asked again while its answer is malformed."""
+    out, left = [None] * len(prompts), list(range(len(prompts)))
+    for attempt in range(tries):
+        size = batch_size or max(1, len(left))
+        for at in range(0, len(left), size):
+            some = left[at : at + size]
+            for i, text in zip(some, call([prompts[i] for i in some], attempt), strict=True):
+                out[i] = text
+        left = [i for i in left if not (out[i] and all(m in out[i] for m in rules.FORMAT_MARKERS))]
+    return out

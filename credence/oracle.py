@@ -854,7 +854,8 @@ def sql_inflate_duplicates() -> str:
 FROM documents d, range(100) c WHERE d.doc_id % {a.TROLL_EVERY} = 0 AND c.range < {n}"""
 
 
-def sql_build_prompt() -> str:
+def _prompt_cte() -> str:
+    """prompts(review_id, prompt) of every review with a known product."""
     from credence.operators import augment as a
 
     parts = a.PROMPT_TEMPLATE.split("%s")
@@ -868,8 +869,12 @@ def sql_build_prompt() -> str:
     expr = lit(parts[0])
     for v, p in zip(vals, parts[1:]):
         expr += f" || coalesce({v}, 'null') || {lit(p)}"
-    return with_(*CTX_BASE, FILLED, ENTRIES) + f"""
-SELECT o.review_id, {expr} AS prompt FROM records o JOIN entries e ON e.id = o.product_id"""
+    return f"""
+prompts AS (SELECT o.review_id, {expr} AS prompt FROM records o JOIN entries e ON e.id = o.product_id)"""
+
+
+def sql_build_prompt() -> str:
+    return with_(*CTX_BASE, FILLED, ENTRIES, _prompt_cte()) + "\nSELECT review_id, prompt FROM prompts"
 
 
 def sql_field_fallback() -> str:
@@ -1159,3 +1164,42 @@ SELECT review_id FROM reviews QUALIFY pos = min(pos) OVER (PARTITION BY coalesce
 
 
 ORACLES.update({"distinct_texts": sql_distinct_texts})
+
+
+# ---------------------------------------------------------------------------------------
+# Plug-in models
+# ---------------------------------------------------------------------------------------
+def sql_generate_plugin() -> str:
+    from credence.operators.augment import ATTEMPTS
+    from credence.plans import catalog as c
+
+    def answer(i: int) -> str:
+        code = f"md5('{i}:' || prompt)"
+        before, after = c.STUB_ANSWER.replace("{attempt}", str(i)).split("{text}")
+        return (f"CASE WHEN NOT contains('{c.STUB_SILENT}{c.STUB_MALFORMED}', substr({code}, 1, 1)) "
+                f"THEN '{before}' || substr({code}, 1, 8) || '{after}' END")
+
+    return with_(*CTX_BASE, FILLED, ENTRIES, _prompt_cte()) + f"""
+SELECT review_id, coalesce({', '.join(answer(i) for i in range(ATTEMPTS))}) AS generated FROM prompts"""
+
+
+def sql_retrieve_plugin() -> str:
+    from credence.plans import catalog as c
+
+    def shape(text: str) -> str:
+        return (f"length({text}) AS c0, length({text}) - length(replace({text}, 'e', '')) AS c1, "
+                f"length({text}) - length(replace({text}, ' ', '')) AS c2, "
+                f"length({text}) - length(regexp_replace({text}, '[0-9]', '', 'g')) AS c3")
+
+    dist = " + ".join(f"pow(CAST(q.c{i} - p.c{i} AS DOUBLE), 2)" for i in range(c.STUB_DIM))
+    return with_(*CTX_BASE, FILLED, ENTRIES) + f""",
+q AS (SELECT pos, review_id, {shape("coalesce(context, '')")} FROM records),
+p AS (SELECT id, {shape('document')} FROM entries),
+ranked AS (
+  SELECT q.review_id, p.id AS product_id, {dist} AS dist,
+         row_number() OVER (PARTITION BY q.pos ORDER BY {dist}, p.id) AS rank
+  FROM q, p QUALIFY rank <= {c.K})
+SELECT review_id, CAST(rank AS INTEGER) AS rank, product_id, dist FROM ranked"""
+
+
+ORACLES.update({"generate_plugin": sql_generate_plugin, "retrieve_plugin": sql_retrieve_plugin})

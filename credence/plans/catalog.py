@@ -743,3 +743,49 @@ def q_distinct_texts(spark, sf):
 
 
 QUERIES.update({"distinct_texts": q_distinct_texts})
+
+
+# ---------------------------------------------------------------------------------------
+# Plug-in models: the batch interfaces of a language model and of a sentence encoder
+# ---------------------------------------------------------------------------------------
+#: One line in the generated format; first hex digits that give no answer, or a malformed one.
+STUB_ANSWER = "Review title: try {attempt} | Review text: {text} | Rating: 1 | Product summary: p by b. Highlights: h."
+STUB_SILENT, STUB_MALFORMED = "012", "345"
+STUB_DIM = 4
+
+
+def load_stub_model():
+    """A seeded stand-in for a language model: some prompts get no answer, some a malformed one."""
+    import hashlib
+
+    def answer(prompt: str, attempt: int) -> str | None:
+        code = hashlib.md5(f"{attempt}:{prompt}".encode()).hexdigest()
+        if code[0] in STUB_SILENT:
+            return None
+        return "not in the format" if code[0] in STUB_MALFORMED else STUB_ANSWER.format(attempt=attempt, text=code[:8])
+
+    return lambda prompts, attempt: [answer(p, attempt) for p in prompts]
+
+
+def load_stub_encoder():
+    """Text shape as a vector: code points, letters e, spaces, ASCII digits."""
+    return lambda texts: [[len(t), t.count("e"), t.count(" "), sum(c in "0123456789" for c in t)] for t in texts]
+
+
+def q_generate_plugin(spark, sf):
+    """A plugged-in generator asked up to three times for every review with a known product."""
+    own = _own_pairs(spark, sf).where(F.col("own").isNotNull()).select("review_id", "context", "own")
+    cols = {"real": F.col("context"), "fake": F.col("own.document"), "meta": F.col("own.metadata")}
+    model = augment.batch_generator(load=load_stub_model, batch_size=32)
+    return augment.generate_with_retry(own, cols, model, "generated").select("review_id", "generated")
+
+
+def q_retrieve_plugin(spark, sf):
+    """Exact top-k of every review among all products, both embedded by a plugged-in encoder."""
+    encoder = retrieval.batch_embedder(dim=STUB_DIM, batch_size=64, load=load_stub_encoder)
+    q = retrieval.embed_texts(jobs.context_records(spark, sf), "context", "qvec", embedder=encoder)
+    coll = jobs.product_collection(spark, sf, dim=STUB_DIM, embedder=encoder)
+    return retrieval.retrieval_rows(retrieval.topk_similar(q, coll, k=K, vec_col="qvec", keep_dist=True), ["review_id"])
+
+
+QUERIES.update({"generate_plugin": q_generate_plugin, "retrieve_plugin": q_retrieve_plugin})

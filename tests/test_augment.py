@@ -80,3 +80,51 @@ def test_batch_embedder(spark):
     df = spark.createDataFrame([("abc",), (None,)], "t string")
     got = [r.v for r in retrieval.embed_texts(df, "t", "v", embedder=emb).collect()]
     assert got == [[3.0, 1.0], [0.0, 1.0]]
+
+
+def test_plugins_load_once_a_task_and_bound_their_batches(spark, tmp_path):
+    import os
+    import uuid
+
+    import pytest
+    from credence.operators import retrieval
+
+    folder = str(tmp_path)
+
+    def note(kind, n):
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            f.write(f"{kind} {n}")
+
+    def load_encoder():
+        note("load", 1)
+
+        def encode(texts):
+            note("encode", len(texts))
+            return [[len(t)] for t in texts]
+
+        return encode
+
+    df = spark.range(0, 1000, 1, 4).selectExpr("repeat('x', int(id % 7)) AS t", "id")
+    out = df.select("id", retrieval.batch_embedder(dim=1, batch_size=30, load=load_encoder)(F.col("t")).alias("v")).collect()
+    assert all(r.v == [float(r.id % 7)] for r in out) and len(out) == 1000
+    notes = [open(os.path.join(folder, f)).read().split() for f in os.listdir(folder)]
+    assert sum(k == "load" for k, _ in notes) == 4  # one a task
+    sizes = [int(n) for k, n in notes if k == "encode"]
+    assert max(sizes) <= 30 and sum(sizes) == 1000
+
+    asked = []
+
+    def model(prompts, attempt):
+        asked.append((attempt, len(prompts)))
+        good = "Review text: x Rating: 5 Product summary: p Highlights: h"
+        return [good if int(p) % 3 <= attempt else None for p in prompts]
+
+    answers = augment._answers(model, [str(i) for i in range(100)], 2, 16)
+    assert [a is None for a in answers] == [i % 3 == 2 for i in range(100)]
+    assert max(n for _, n in asked) <= 16 and sum(n for a, n in asked if a == 0) == 100 and sum(n for a, n in asked if a == 1) == 66
+    assert augment._answers(model, [], 3, None) == []
+    with pytest.raises(ValueError):
+        augment._answers(lambda prompts, attempt: [], ["0"], 1, None)
+    for plug in (augment.batch_generator, retrieval.batch_embedder):
+        with pytest.raises(ValueError):
+            plug()
