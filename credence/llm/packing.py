@@ -124,12 +124,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     pieces = materialize(_pieces(docs, tokenizer, end_id, capacity, min_piece, id_col, text_col), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = materialize(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     k = F.floor(F.lit(capacity) / F.col("length"))
     classes = counts.groupBy("length").agg(F.sum("n").alias("n")).withColumn("k", k)
     classes = classes.withColumn("full", F.floor(F.col("n") / F.col("k")) * F.col("k"))
-    # bases: one row for each task and class, 24 bytes; classes: at most min_piece + log2(capacity)
-    ranked = pieces.join(F.broadcast(bases), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # bases grow with the tasks (one row for each task and class): a written table, so the planner knows its
+    # size and broadcasts it below its threshold only. classes: at most min_piece + log2(capacity) rows
+    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     ranked = ranked.drop("part", "nth", "base").join(F.broadcast(classes.select("length", "k", "full")), "length")
     tail = ~_is_power(F.col("length"))
     stays = ranked.filter(~tail | (F.col("rank") < F.col("full")))
