@@ -4,15 +4,16 @@ Words are summed per source. Sources in code-point order (null last) weigh 5, 2,
 share 100 % of all words by weight; a target stops at ``cap`` times its source's words and the
 excess is shared among the others by weight until none is above (water filling, solved in closed
 form from prefix sums over the sources ordered by cap / weight). A source's repetition rate is
-target / words. Each document is emitted floor(rate) times, plus one hash-seeded Bernoulli copy: its
-draw is the md5 of (seed, id, md5 of the whole text), below the fraction or not. No two documents
-share anything, so a document's copies depend on itself and its source's rate alone, no rows are
-ordered or numbered, and texts never shuffle.
+target / words. Each document is emitted floor(rate) times, plus one hash-seeded Bernoulli copy whose
+probability is the fraction: its draw is a hash of (seed number, id, md5 of the whole text), below the
+fraction or not. No two documents share anything in their draws; no rows are ordered or numbered, and
+texts never shuffle.
 
-The words taken of a source have the target as their expectation and sqrt(f * (1 - f) * sum(size^2))
-as their standard deviation (f: the fraction), at most half of sqrt(sum(size^2)). ``mix_plan`` over
-50,000 documents in 20 sources comes within some percent; a source of 50 documents may be off by a
-fifth.
+Independent draws miss the target of a small source: their standard deviation is sqrt(f * (1 - f) *
+sum(size^2)), a fifth of the words of 50 documents. So ``SEEDS`` seed numbers are tried and a source
+takes the one whose copies come nearest to its target (ties: the smallest number), as in rejective
+sampling: all are summed in one pass over the sizes. The draws under two seed numbers are independent,
+both come from one md5 (u + number * v modulo 2**48).
 
 Defined cases
 -------------
@@ -36,16 +37,24 @@ from credence.llm._scratch import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
+SEEDS = 32
+SPACE = 1 << 48
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(seed: str, *parts: Column) -> Column:
-    """Uniform in [0, 1) with 52 bits of md5."""
-    key = F.concat_ws(":", F.lit(seed), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+def _hashes(seed: str, doc_id: Column, text: Column) -> Column:
+    """(u, v): two 48-bit numbers of the document."""
+    code = F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")))))
+    return F.struct(F.conv(F.substring(code, 1, 12), 16, 10).cast("long").alias("u"), F.conv(F.substring(code, 13, 12), 16, 10).cast("long").alias("v"))
+
+
+def extra_copy(number: Column | int, rate: Column) -> Column:
+    """1 where the document's draw under this seed number is below the rate's fraction, else 0."""
+    at = F.pmod(F.col("__hash.u") + number * F.col("__hash.v"), F.lit(SPACE)).cast("double")
+    return (at < (rate - F.floor(rate)) * F.lit(float(SPACE))).cast("long")
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -69,49 +78,50 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
-def rates(sized: DataFrame, source_col: str = "source", size_col: str = "size",
-          weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per source: __key, source_size, target, __rate. Sums are combined before the shuffle."""
-    sources = sized.groupBy(F.col(source_col).isNull().alias("__null"), F.coalesce(F.col(source_col), F.lit("")).alias("__source")).agg(
-        F.sum(size_col).alias("source_size"))
+def rates(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seeds: int = SEEDS) -> DataFrame:
+    """One row per source: __key, source_size, target, __rate, __number (its seed number). ``sized`` is
+    narrow and materialised: __src, __size, __key, __hash. Sums are combined before the shuffles."""
+    sources = sized.groupBy(F.col("__src").isNull().alias("__null"), F.coalesce("__src", F.lit("")).alias("__source")).agg(
+        F.sum("__size").alias("source_size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     key = source_key(F.when(~F.col("__null"), F.col("__source")))
-    return materialize(_targets(sources, weights, cap).select(key.alias("__key"), "source_size", "target", rate.alias("__rate")), "rates")
-
-
-def document_draw(seed: str, doc_id: Column, text: Column) -> Column:
-    """The document's own uniform draw."""
-    return draw(seed, doc_id, F.md5(F.coalesce(text, F.lit(""))))
+    per_source = materialize(_targets(sources, weights, cap).select(key.alias("__key"), "source_size", "target", rate.alias("__rate")), "rates")
+    rows = spread_lookup(sized, per_source.select("__key", "__rate"), "__key", F.col("__hash.u"))
+    taken = rows.groupBy("__key").agg(*[F.sum(F.col("__size") * (F.floor("__rate") + extra_copy(i, F.col("__rate")))).alias(f"__t{i}") for i in range(seeds)])
+    off = F.array_sort(F.array(*[F.struct(F.abs(F.col(f"__t{i}") - F.col("target")).alias("off"), F.lit(i).alias("number")) for i in range(seeds)]))
+    chosen = taken.join(per_source, "__key").withColumn("__number", off[0]["number"])
+    return materialize(chosen.select("__key", "source_size", "target", "__rate", "__number"), "rates")
 
 
 def with_copies(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """``rows`` (with __key and __draw) plus source_size, target and copies. The rates are broadcast by
+    """``rows`` (with __key and __hash) plus source_size, target and copies. The rates are broadcast by
     the planner when their size allows, else met by salted keys, so that a hot source spreads."""
-    joined = spread_lookup(rows, per_source, "__key", F.col("__draw"))
-    extra = (F.col("__draw") < F.col("__rate") - F.floor("__rate")).cast("long")
-    return joined.withColumn("copies", (F.floor("__rate") + extra).cast("long"))
+    joined = spread_lookup(rows, per_source, "__key", F.col("__hash.u"))
+    return joined.withColumn("copies", (F.floor("__rate") + extra_copy(F.col("__number"), F.col("__rate"))).cast("long"))
+
+
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str, *more: Column) -> DataFrame:
+    return materialize(docs.select(
+        *more, F.col(source_col).cast("string").alias("__src"), word_count(F.col(text_col)).alias("__size"),
+        source_key(F.col(source_col)).alias("__key"), _hashes(seed, F.col(id_col), F.col(text_col)).alias("__hash")), "sizes")
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
              seed: str = "mix", **options) -> DataFrame:
     """Per document: id, size, source_size, target, copies, taken. Texts are read once and never shuffle.
-    Options: ``weights``, ``cap``."""
-    sized = materialize(docs.select(
-        F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col)).alias("__key"),
-        document_draw(seed, F.col(id_col), F.col(text_col)).alias("__draw"),
-    ), "sizes")
-    out = with_copies(sized, rates(sized, source_col, **options))
-    return out.select(id_col, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    Options: ``weights``, ``cap``, ``seeds``."""
+    sized = _sized(docs, id_col, source_col, text_col, seed, F.col(id_col))
+    out = with_copies(sized, rates(sized, **options))
+    return out.select(id_col, F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         seed: str = "mix", **options) -> DataFrame:
     """The mixed rows of ``docs``: each row as often as the plan says, same columns. Every row finds its
     own number of copies; rows are not joined with a plan."""
-    sized = materialize(docs.select(F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size")), "sizes")
-    per_source = rates(sized, "__source", "__size", **options).select("__key", "__rate")
+    per_source = rates(_sized(docs, id_col, source_col, text_col, seed), **options).select("__key", "__rate", "__number")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), source_key(F.col(source_col)).alias("__key"),
-        document_draw(seed, F.col(id_col), F.col(text_col)).alias("__draw"))
+        _hashes(seed, F.col(id_col), F.col(text_col)).alias("__hash"))
     out = with_copies(rows, per_source).filter("copies > 0")
     return out.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__doc.*")

@@ -130,14 +130,12 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
-def _duck_draw(key: str) -> str:
-    return f"CAST(CAST('0x' || substr(md5({key}), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0"
-
+_EXTRA = f"CASE WHEN CAST((u + number * v) % {mixing.SPACE} AS DOUBLE) < (rate - floor(rate)) * {mixing.SPACE}.0::DOUBLE THEN 1 ELSE 0 END"
 
 OP9_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         {_duck_draw("concat_ws(':', 'mix', doc_id, md5(coalesce(text, '')))")} AS draw
+         md5(concat_ws(':', 'mix', doc_id, md5(coalesce(text, '')))) AS code
   FROM documents),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -152,11 +150,19 @@ levels AS (
 targets AS (
   SELECT source, source_size, least(max(level) OVER () * w, CAST(3 * source_size AS DOUBLE)) AS target FROM levels),
 rated AS (
-  SELECT doc_id, size, source_size, target, draw,
+  SELECT doc_id, s.source, size, source_size, target,
+         CAST('0x' || substr(code, 1, 12) AS BIGINT) AS u, CAST('0x' || substr(code, 13, 12) AS BIGINT) AS v,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+tried AS (
+  SELECT source, number, any_value(target) AS target, sum(size * (floor(rate) + {_EXTRA})) AS taken
+  FROM rated, range({mixing.SEEDS}) n(number) GROUP BY source, number),
+chosen AS (
+  SELECT source, number FROM tried
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), number) = 1),
 copied AS (
-  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rated)
+  SELECT doc_id, size, source_size, target, CAST(floor(rate) AS BIGINT) + {_EXTRA} AS copies
+  FROM rated r JOIN chosen c ON r.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM copied
 """
 
