@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from credence.operators import labeling, records, sampling
+from credence.operators.skew import spread_lookup
 
 
 def test_hot_duplicate_text(spark):
@@ -40,3 +41,15 @@ def test_hot_product_join_keeps_rows(spark):
     assert recs.count() == 3000
     expected = sum(1 for i in range(3000) if ("P1" if i % 3 == 0 else f"P{i % 50}") == "P1")
     assert recs.where(F.col("context").contains("Product summary: name 1 by b")).count() == expected
+
+
+def test_lookup_is_neither_broadcast_nor_repeated_whole(spark):
+    """The lookup's rows are repeated for the salts that its key has only; a million keys of 8 MB by
+    the planner's estimate do not pass the driver."""
+    rows = spark.createDataFrame([(i, 7 if i % 3 == 0 else i) for i in range(300)] + [(300, -1), (301, None)], "pos long, key long")
+    lookup = spark.range(1_000_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+    out = spread_lookup(rows, lookup, "key", F.col("pos"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    got = {r.pos: r.v for r in out.collect()}
+    assert got == {i: 14 if i % 3 == 0 else 2 * i for i in range(300)} | {300: None, 301: None}
