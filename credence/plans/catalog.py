@@ -701,6 +701,7 @@ QUERIES.update({
 # ---------------------------------------------------------------------------------------
 # Streaming
 # ---------------------------------------------------------------------------------------
+from credence.operators.scratch import written  # noqa: E402
 from credence.streaming import scoring  # noqa: E402
 
 
@@ -710,24 +711,34 @@ def q_stream_label_reviews(spark, sf):
     _write_ordered_csv(testdata.reviews(spark, sf), src)
     header = testdata.reviews(spark, sf).drop("pos").columns
     stream = scoring.read_review_stream(spark, src, header, max_files_per_trigger=2)
-    labelled = scoring.label_review_stream(stream, testdata.products(spark, sf), jobs.product_collection(spark, sf))
+    products, collection = testdata.products(spark, sf), written(jobs.product_collection(spark, sf), "stream-products")
+
+    def labelled(batch):
+        found = scoring.label_review_stream(batch, products, collection)
+        return found.select("review_id", "pseudo_label", "fact_label", "fake_score")
+
     out = _scratch(spark, "stream_out")
-    q = scoring.start_file_sink(labelled.select("review_id", "pseudo_label", "fact_label", "fake_score"), out,
-                                _scratch(spark, "stream_ckpt"))
+    q = scoring.start_file_sink(stream, out, _scratch(spark, "stream_ckpt"), each=labelled)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
+
+
+#: Rows of an arriving file (some 5 KB each on the test tables).
+ARRIVING_FILE_ROWS = 20_000
 
 
 def q_stream_flag_duplicates(spark, sf):
-    """Reviews arriving in three parts, two files to a micro-batch; the first copy has the smallest id."""
-    src, out = _scratch(spark, "dup_in"), _scratch(spark, "dup_out")
+    """Reviews arriving in three parts, each a micro-batch of two files or more; the first copy has the smallest
+    id. A file is read by one task, so a part has as many files as its rows need."""
+    src, out, ckpt = _scratch(spark, "dup_in"), _scratch(spark, "dup_out"), _scratch(spark, "dup_ckpt")
     reviews = testdata.reviews(spark, sf)
-    third = reviews.agg(F.max("pos")).first()[0] // 3 + 1
+    last, rows = reviews.agg(F.max("pos"), F.count(F.lit(1))).first()
+    third, parts = last // 3 + 1, max(2, -(-rows // (3 * ARRIVING_FILE_ROWS)))
     for i in range(3):
-        _write_ordered_csv(reviews.where(F.floor(F.col("pos") / third) == i), f"{src}/part{i}", parts=2)
-    stream = scoring.read_review_stream(spark, f"{src}/*", reviews.drop("pos").columns, max_files_per_trigger=2)
-    q = scoring.start_duplicate_flags(stream, out, _scratch(spark, "dup_ckpt"), "review_text", "review_id", "review_id")
-    q.awaitTermination()
+        _write_ordered_csv(reviews.where(F.floor(F.col("pos") / third) == i), f"{src}/part{i}", parts=parts)
+        stream = scoring.read_review_stream(spark, f"{src}/*", reviews.drop("pos").columns, max_files_per_trigger=parts)
+        q = scoring.start_duplicate_flags(stream, out, ckpt, "review_text", "review_id", "review_id")
+        q.awaitTermination()
     res = spark.read.parquet(f"{out}/flags")
     return res.select(F.col("row_key").alias("review_id"), "is_duplicate",
                       F.when(F.col("is_duplicate"), F.lit("fake")).otherwise(F.lit("real")).alias("pseudo_label"))

@@ -13,7 +13,7 @@ the event-time watermark, but the rows of one text in a micro-batch meet in one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -47,13 +47,23 @@ def read_review_stream(spark: SparkSession, input_dir: str, columns: list[str] |
 
 def label_review_stream(reviews: DataFrame, products: DataFrame | None, collection: DataFrame, k: int = 3,
                         **label_kw) -> DataFrame:
-    """Streaming labelled records (the batch pipeline on a streaming source)."""
+    """Labelled records of a stream, or of one micro-batch (``start_file_sink(each=...)``: a large
+    collection needs that, since a stream meets it block after block in joined rows)."""
     recs = records.review_records(reviews.withColumn("pos", F.lit(None).cast("long")), products)
     return labeling.label_reviews(recs, collection, k=k, **label_kw)
 
 
-def start_file_sink(df: DataFrame, path: str, checkpoint: str, available_now: bool = True, fmt: str = "parquet"):
-    """Append to a file sink with a checkpoint (exactly-once)."""
+def start_file_sink(df: DataFrame, path: str, checkpoint: str, available_now: bool = True, fmt: str = "parquet",
+                    each: Callable[[DataFrame], DataFrame] | None = None):
+    """Append to a file sink with a checkpoint (exactly-once). ``each`` transforms every micro-batch as a
+    batch table, with the batch plans' sorts and adaptive joins; its rows go to ``<path>/batch=<id>``,
+    and a micro-batch that is repeated after a failure replaces its own folder."""
+    if each is not None:
+        def one(batch: DataFrame, batch_id: int) -> None:
+            each(batch).write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+
+        w = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(one)
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
     w = df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

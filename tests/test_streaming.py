@@ -71,3 +71,35 @@ def test_duplicate_flags_with_a_hot_text(spark):
     assert progress >= 4 and got == want
     _, again = run("/second")  # all micro-batches once more, as after a lost checkpoint
     assert again == want
+
+
+def test_file_sink_transforms_micro_batches_as_batch_tables(spark):
+    """Sorts and windows of the batch plans work on each micro-batch; a repeated run replaces its folders."""
+    src, out = tempfile.mkdtemp(prefix="credence-stream-each-"), tempfile.mkdtemp(prefix="credence-stream-each-out-")
+    now = time.time()
+    for part in range(2):
+        _write(os.path.join(src, f"p{part}.csv"), [(str(part * 3 + i), "t") for i in range(3)])
+        os.utime(os.path.join(src, f"p{part}.csv"), (now - 100 + part, now - 100 + part))
+    for checkpoint in ("/first", "/second"):
+        stream = scoring.read_review_stream(spark, src, ["review_id", "review_text"], max_files_per_trigger=1)
+        q = scoring.start_file_sink(stream, out + "/data", out + checkpoint, each=lambda b: (
+            b.sortWithinPartitions("review_id") if not b.isStreaming else b.limit(0)).select("review_id"))
+        q.awaitTermination()
+        got = spark.read.parquet(out + "/data")
+        assert sorted((r.batch, r.review_id) for r in got.collect()) == [(i // 3, str(i)) for i in range(6)]
+
+
+def test_arriving_files_have_bounded_rows(spark, monkeypatch):
+    """More rows are more files, not larger ones; still three micro-batches and the batch flags."""
+    from credence.operators import labeling
+    from credence.plans import catalog
+
+    where = tempfile.mkdtemp(prefix="credence-arriving-")
+    spark.range(90).selectExpr("id AS doc_id", "concat('text ', id % 40) AS text").write.parquet(where + "/documents.parquet")
+    written = []
+    monkeypatch.setattr(catalog, "ARRIVING_FILE_ROWS", 5, raising=False)
+    monkeypatch.setattr(catalog, "_write_ordered_csv", lambda df, path, parts=None, f=catalog._write_ordered_csv: written.append(parts) or f(df, path, parts))
+    got = {r.review_id: r.is_duplicate for r in catalog.q_stream_flag_duplicates(spark, where).collect()}
+    reviews = catalog.testdata.reviews(spark, where)
+    assert got == {r.review_id: r.is_duplicate for r in labeling.flag_duplicates(reviews, "review_text").collect()}
+    assert written == [6, 6, 6]
