@@ -12,6 +12,8 @@ several tasks. Texts without a known token have the prior's score. Scores at or
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +21,28 @@ from credence.operators.skew import spread_lookup
 
 #: The weight table's row of the prior and of tokens that were never seen.
 PRIOR = ""
+#: Rows whose words are counted at once.
+COUNTED_ROWS = 256
 
 
 def tokens(df: DataFrame, key_col: str, text_col: str = "text") -> DataFrame:
-    """``key_col, token, n``: occurrences per text, counted inside the row's own array."""
+    """``key_col, token, n``: occurrences per text, counted inside the row's own array (no shuffle)."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    pairs = df.select(key_col, F.explode(words).alias("token"))
-    return pairs.groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("n"))
+    key_type = df.schema[key_col].dataType.simpleString()
+    return df.select(F.col(key_col).alias("key"), words.alias("words")).mapInArrow(
+        _counted, f"key {key_type}, token string, n bigint").select(F.col("key").alias(key_col), "token", "n")
+
+
+def _counted(batches):
+    """One row per (row, distinct token), a few rows' words at a time."""
+    for rb in batches:
+        for s in range(0, rb.num_rows, COUNTED_ROWS):
+            keys, words = (c.slice(s, COUNTED_ROWS) for c in rb.columns)
+            coded = words.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            pair, n = np.unique(row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, code = np.divmod(pair, max(1, len(coded.dictionary)))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), coded.dictionary.take(pa.array(code)), pa.array(n)], names=["key", "token", "n"])
 
 
 def fit(examples: DataFrame, key_col: str = "pos", text_col: str = "text", label_col: str = "label") -> DataFrame:
