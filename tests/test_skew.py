@@ -53,3 +53,18 @@ def test_lookup_is_neither_broadcast_nor_repeated_whole(spark):
     assert "Broadcast" not in plan and "Generate" not in plan
     got = {r.pos: r.v for r in out.collect()}
     assert got == {i: 14 if i % 3 == 0 else 2 * i for i in range(300)} | {300: None, 301: None}
+
+
+def test_met_lookup_rows_are_not_broadcast_at_run_time(spark):
+    """The lookup rows that the keys meet grow with the rows: they are shuffled, however large the threshold."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        rows = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") % 40).alias("key"))
+        lookup = spark.range(30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+        out = spread_lookup(rows, lookup, "key", F.col("pos"))
+        assert sorted((r.pos, r.v) for r in out.collect()) == [(i, 2 * (i % 40) if i % 40 < 30 else None) for i in range(2000)]
+        plan = out._jdf.queryExecution().executedPlan().toString()  # as AQE ran it
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
