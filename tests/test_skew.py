@@ -55,16 +55,18 @@ def test_lookup_is_neither_broadcast_nor_repeated_whole(spark):
     assert got == {i: 14 if i % 3 == 0 else 2 * i for i in range(300)} | {300: None, 301: None}
 
 
-def test_met_lookup_rows_are_not_broadcast_at_run_time(spark):
-    """The lookup rows that the keys meet grow with the rows: they are shuffled, however large the threshold."""
+def test_met_summaries_are_not_broadcast_at_run_time(spark):
+    """The summaries that the reviews meet grow with the reviews: they are shuffled, however large the threshold."""
+    reviews = spark.range(2000).selectExpr("id AS pos", "cast(id AS string) AS review_id", "concat('P', id % 40) AS product_id")
+    products = spark.range(30).selectExpr("id AS pos", "concat('P', id) AS product_id", "concat('name ', id) AS product_name",
+                                          "'b' AS brand_name", "'h' AS highlights")
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
     try:
-        rows = spark.range(2000).select(F.col("id").alias("pos"), (F.col("id") % 40).alias("key"))
-        lookup = spark.range(30).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
-        out = spread_lookup(rows, lookup, "key", F.col("pos"))
-        assert sorted((r.pos, r.v) for r in out.collect()) == [(i, 2 * (i % 40) if i % 40 < 30 else None) for i in range(2000)]
+        out = records.join_product_summary(reviews, products)
+        got = sorted((r.pos, r.product_summary) for r in out.collect())
         plan = out._jdf.queryExecution().executedPlan().toString()  # as AQE ran it
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == [(i, f"name {i % 40} by b. Highlights: h." if i % 40 < 30 else None) for i in range(2000)]
     assert "isFinalPlan=true" in plan and "Broadcast" not in plan
