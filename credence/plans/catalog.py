@@ -354,7 +354,8 @@ def q_fake_score(spark, sf):
 
 def q_final_label(spark, sf):
     o = q_factual_label(spark, sf)
-    r = jobs.context_records(spark, sf).join(o, "review_id", "inner")
+    # Shuffled: a row for every review would pass the driver under a large broadcast threshold.
+    r = jobs.context_records(spark, sf).join(o.hint("merge"), "review_id", "inner")
     r = rules.with_fake_score(rules.with_fake_score(r, "s_nan", missing="nan"), "s_null", missing="null")
     return r.select("review_id", rules.final_label(F.col("fact_label"), F.col("s_nan"), F.col("context"),
                                                    F.col("meta")).alias("label_nan"),
@@ -526,7 +527,8 @@ def q_evaluate_explainer(spark, sf):
     ex = models.explain_reviews(models.rule_flags(_own_pairs(spark, sf))).select("pos", "explanation")
     truth = testdata.table(spark, sf, "labels").select(
         F.col("doc_id").alias("pos"), F.when(F.col("quality") == 1, "real").otherwise("fake").alias("pseudo_label"))
-    return models.evaluate_explainer(ex.join(truth, "pos"))
+    # Shuffled: a labels file of a few MB may hold a million rows, too many for the driver.
+    return models.evaluate_explainer(ex.join(truth.hint("merge"), "pos"))
 
 
 def q_predict_requests(spark, sf):

@@ -70,3 +70,24 @@ def test_met_summaries_are_not_broadcast_at_run_time(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert got == [(i, f"name {i % 40} by b. Highlights: h." if i % 40 < 30 else None) for i in range(2000)]
     assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_labels_do_not_pass_the_driver(spark, tmp_path):
+    """final_label joins two tables of a row per review, evaluate_explainer all labels: both shuffled,
+    however large the threshold."""
+    from credence.plans import catalog
+
+    d = str(tmp_path)
+    spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{d}/documents.parquet")
+    spark.range(150).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "'Brand#1' AS p_brand", "cast(id % 50 AS int) AS p_size",
+                                "id + 0.5D AS p_retailprice").write.parquet(f"{d}/part.parquet")
+    spark.range(0, 200, 2).selectExpr("id AS doc_id", "id % 4 AS quality", "0L AS toxic").write.parquet(f"{d}/labels.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        final, report = catalog.q_final_label(spark, d), catalog.q_evaluate_explainer(spark, d)
+        assert sorted(int(r.review_id) for r in final.collect()) == list(range(200)) and report.count() > 0
+        for df in (final, report):
+            assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
