@@ -91,3 +91,24 @@ def test_labels_do_not_pass_the_driver(spark, tmp_path):
             assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_queries_on_context_records_broadcast_nothing(spark, tmp_path):
+    """One product a review: neither the summaries nor the entries pass the driver, however large the threshold."""
+    from credence.plans import catalog
+
+    d = str(tmp_path)
+    spark.range(60).selectExpr("id AS doc_id", "concat('a 25 ml jar, paid 7.50 ', id) AS text").write.parquet(f"{d}/documents.parquet")
+    spark.range(60).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "'Brand#1' AS p_brand", "cast(id % 50 AS int) AS p_size",
+                               "id + 0.5D AS p_retailprice").write.parquet(f"{d}/part.parquet")
+    names = ["capacity_mismatch", "embed_texts", "explain_reviews", "extract_capacity", "extract_price", "factual_label", "format_valid"]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        for name in names:
+            df = catalog.QUERIES[name](spark, d)
+            assert {int(r.review_id) for r in df.collect()} == set(range(60)), name
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "isFinalPlan=true" in plan and "Broadcast" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
