@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from credence.functions import rules
 from credence.functions.text import content_hash
 from credence.operators.skew import attach, require_key
-from credence.operators.retrieval import DEFAULT_BLOCK_BYTES, DEFAULT_DIM, embed_texts, topk_similar
+from credence.operators.retrieval import DEFAULT_BLOCK_BYTES, DEFAULT_DIM, Packed, embed_texts, topk_similar
 
 
 def score_reviews(df: DataFrame, missing: str = "nan", strict_int: bool = True, with_price: bool = False,
@@ -36,7 +36,7 @@ def score_reviews(df: DataFrame, missing: str = "nan", strict_int: bool = True,
     return scored.select(*out, "fact_label", "fake_score")
 
 
-def label_reviews(records: DataFrame, collection: DataFrame, k: int = 3, missing: str = "nan",
+def label_reviews(records: DataFrame, collection: DataFrame | Packed, k: int = 3, missing: str = "nan",
                   strict_int: bool = True, with_price: bool = False, dim: int = DEFAULT_DIM, embedder=None,
                   keep_scores: bool = True, keep_dist: bool = False,
                   max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:

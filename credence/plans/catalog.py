@@ -703,7 +703,6 @@ QUERIES.update({
 # ---------------------------------------------------------------------------------------
 # Streaming
 # ---------------------------------------------------------------------------------------
-from credence.operators.scratch import written  # noqa: E402
 from credence.streaming import scoring  # noqa: E402
 
 
@@ -713,7 +712,7 @@ def q_stream_label_reviews(spark, sf):
     _write_ordered_csv(testdata.reviews(spark, sf), src)
     header = testdata.reviews(spark, sf).drop("pos").columns
     stream = scoring.read_review_stream(spark, src, header, max_files_per_trigger=2)
-    products, collection = testdata.products(spark, sf), written(jobs.product_collection(spark, sf), "stream-products")
+    products, collection = testdata.products(spark, sf), retrieval.pack_collection(jobs.product_collection(spark, sf))
 
     def labelled(batch):
         found = scoring.label_review_stream(batch, products, collection)

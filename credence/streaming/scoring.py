@@ -24,6 +24,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from credence.functions.text import content_hash
 from credence.operators import labeling, records
+from credence.operators.retrieval import Packed
 from credence.operators.skew import attach
 from credence.schemas import REVIEW_COLUMNS
 
@@ -45,10 +46,11 @@ def read_review_stream(spark: SparkSession, input_dir: str, columns: list[str] |
     return normalise_na(df, [f.name for f in schema.fields])
 
 
-def label_review_stream(reviews: DataFrame, products: DataFrame | None, collection: DataFrame, k: int = 3,
+def label_review_stream(reviews: DataFrame, products: DataFrame | None, collection: DataFrame | Packed, k: int = 3,
                         **label_kw) -> DataFrame:
     """Labelled records of a stream, or of one micro-batch (``start_file_sink(each=...)``: a large
-    collection needs that, since a stream meets it block after block in joined rows)."""
+    collection needs that, since a stream meets it block after block in joined rows). Micro-batches
+    can share a collection that is packed once (``retrieval.pack_collection``)."""
     recs = records.review_records(reviews.withColumn("pos", F.lit(None).cast("long")), products)
     return labeling.label_reviews(recs, collection, k=k, **label_kw)
 
